@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardspark.llm import packing, secrets, toxicity
+from wardspark.llm import mixing, neardup, packing, secrets, toxicity
 from wardspark.llm.common import stored, table
 
 
@@ -17,11 +17,21 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.accepted(docs, toxicity.fit(spark, sf_dir, docs))
 
 
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates."""
+    return neardup.deduplicated(docs)
+
+
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts blotted out."""
     return secrets.redact(docs)
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents drawn so that sources, languages and topics meet their target weights."""
+    return mixing.sample(docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their sequences and offsets."""
     return packing.pack(packing.pieces(docs))
@@ -29,7 +39,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("toxicity", toxicity_stage),
+    ("MinHash near-dedup", neardup_stage),
     ("secret scans", secrets_stage),
+    ("mixing sources to target weights", mixing_stage),
     ("best-fit packing", packing_stage),
 ]
 
