@@ -29,8 +29,7 @@ sig STRUCT<alg:STRING,keyId:STRING,value:STRING>, anchor STRUCT<log:STRING,ref:S
 """
 #: Codes of verification, in the order in which a receipt is held against them.
 OK, HASH, PREVIOUS, SEQUENCE, SIGNATURE, ANCHOR, ANCHOR_UNKNOWN, SCHEMA = 0, 10, 11, 12, 13, 14, 15, 20
-#: Receipt versions, and where model and client names may come from.
-VERSIONS = ("receipt/0.1", "receipt/0.2", "receipt/0.3", "receipt/0.4")
+#: Where model and client names may come from.
 META_SOURCES = ("protocol", "measured", "operator-declared", "undeclared")
 
 
