@@ -1,6 +1,988 @@
-"""Every query outside the training-data subpackage by name, and its SQL."""
+"""Every query outside the training-data subpackage by name, and its SQL.
+
+Each query applies one operator to whole tables. Statements and receipts that the tables do not hold are written out
+as rows; expected decisions stand beside them in the SQL.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardspark import governed
+from wardspark.functions import checks
+from wardspark.functions import patterns as P
+from wardspark.functions.custom import CustomPattern
+from wardspark.functions.names import label_by_name
+from wardspark.functions.scan import Detectors
+from wardspark.operators import clients, evidence, mask, reconcile, search
+from wardspark.plans import caps
+from wardspark.plans.policy import Policy
+from wardspark.sources import catalog, files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(function: Query) -> Query:
+        QUERIES[name] = function
+        if sql:
+            ORACLE_SQL[name] = sql
+        return function
+
+    return add
+
+
+def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def values(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    return spark.createDataFrame(rows, columns)
+
+
+# Governed statements: gate, lineage, cap and masks over the registered tables.
+
+
+def statement(name: str, sql: str, oracle: str, **policy) -> None:
+    """A statement that is gated, traced, capped and masked; ``oracle`` is what the policy should make of it."""
+    rules = Policy(**{"allow_tables": ("tpch.*",), "mask_columns": ("*.c_name",), "max_rows": 10000} | policy)
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        catalog.register(spark, folder)
+        return governed.query(spark, sql, rules).df
+
+    QUERIES[name], ORACLE_SQL[name] = run, oracle
+
+
+statement(
+    "gov_select_masked_join",
+    "SELECT c_custkey, c_name, c_acctbal, n_name FROM tpch.customer JOIN tpch.nation ON c_nationkey = n_nationkey ORDER BY c_custkey LIMIT 9999",
+    "SELECT c_custkey, '[MASKED_PII]' AS c_name, c_acctbal, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY c_custkey LIMIT 50",
+    max_rows=50,
+)
+statement(
+    "gov_alias_mask",
+    "SELECT c_custkey, c_name AS contact FROM tpch.customer",
+    "SELECT c_custkey, '[MASKED_PII]' AS contact FROM customer ORDER BY c_custkey LIMIT 10000",
+)
+statement(
+    "gov_concat_mask",
+    "SELECT c_custkey, c_name || '@x' AS glued, upper(c_name) AS loud FROM tpch.customer ORDER BY c_custkey",
+    "SELECT c_custkey, '[MASKED_PII]' AS glued, '[MASKED_PII]' AS loud FROM customer ORDER BY c_custkey LIMIT 10000",
+)
+statement(
+    "gov_case_mask",
+    "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_name ELSE 'x' END AS picked FROM tpch.customer ORDER BY c_custkey",
+    "SELECT c_custkey, '[MASKED_PII]' AS picked FROM customer ORDER BY c_custkey LIMIT 10000",
+)
+statement(
+    "gov_subquery_mask",
+    "SELECT k, who FROM (SELECT c_custkey AS k, c_name AS who FROM tpch.customer WHERE c_acctbal > 0) AS x ORDER BY k",
+    "SELECT c_custkey AS k, '[MASKED_PII]' AS who FROM customer WHERE c_acctbal > 0 ORDER BY k LIMIT 10000",
+)
+statement(
+    "gov_cte_mask",
+    "WITH w AS (SELECT c_custkey AS k, lower(c_name) AS who FROM tpch.customer), v AS (SELECT k, who AS w2 FROM w) SELECT k, w2 FROM v ORDER BY k",
+    "SELECT c_custkey AS k, '[MASKED_PII]' AS w2 FROM customer ORDER BY k LIMIT 10000",
+)
+statement(
+    "gov_scalar_subquery_mask",
+    "SELECT n_nationkey, (SELECT max(c_name) AS m FROM tpch.customer) AS last_name FROM tpch.nation",
+    "SELECT n_nationkey, '[MASKED_PII]' AS last_name FROM nation",
+)
+statement(
+    "gov_union_mask",
+    "SELECT s_suppkey AS k, s_name AS n FROM tpch.supplier UNION ALL SELECT c_custkey, c_name FROM tpch.customer WHERE c_custkey <= 50",
+    "SELECT s_suppkey AS k, '[MASKED_PII]' AS n FROM supplier UNION ALL SELECT c_custkey, '[MASKED_PII]' FROM customer WHERE c_custkey <= 50",
+)
+statement(
+    "gov_union_cap",
+    "SELECT k FROM (SELECT c_custkey AS k FROM tpch.customer UNION SELECT s_suppkey AS k FROM tpch.supplier) AS u ORDER BY k",
+    "SELECT k FROM (SELECT c_custkey AS k FROM customer UNION SELECT s_suppkey AS k FROM supplier) ORDER BY k LIMIT 70",
+    max_rows=70,
+)
+statement(
+    "gov_limit_offset",
+    "SELECT o_orderkey FROM tpch.orders ORDER BY o_orderkey LIMIT 5000 OFFSET 20",
+    "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 20",
+    max_rows=100,
+)
+statement(
+    "gov_limit_below_cap",
+    "SELECT o_orderkey FROM tpch.orders ORDER BY o_orderkey LIMIT 7",
+    "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7",
+    max_rows=100,
+)
+statement(
+    "gov_group_agg",
+    "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, count(*) AS n, round(avg(l_extendedprice), 2) AS price, min(l_discount) AS lo, "
+    "max(l_tax) AS hi FROM tpch.lineitem WHERE l_quantity < 40 GROUP BY l_returnflag, l_linestatus",
+    "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, count(*) AS n, round(avg(l_extendedprice), 2) AS price, min(l_discount) AS lo, "
+    "max(l_tax) AS hi FROM lineitem WHERE l_quantity < 40 GROUP BY ALL",
+)
+statement(
+    "gov_having",
+    "SELECT o_custkey, count(*) AS n FROM tpch.orders GROUP BY o_custkey HAVING count(*) > 15",
+    "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15",
+)
+statement(
+    "gov_agg_filter",
+    "SELECT event_type, count(*) FILTER (WHERE value > 50) AS high, count(DISTINCT user_id) AS users FROM tpch.events GROUP BY event_type",
+    "SELECT event_type, count(*) FILTER (WHERE value > 50) AS high, count(DISTINCT user_id) AS users FROM events GROUP BY event_type",
+)
+statement(
+    "gov_window_agg",
+    "SELECT s_suppkey, count(*) OVER (PARTITION BY s_nationkey) AS peers, round(sum(s_acctbal) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey), 2) AS running FROM tpch.supplier",
+    "SELECT s_suppkey, count(*) OVER (PARTITION BY s_nationkey) AS peers, round(sum(s_acctbal) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey), 2) AS running FROM supplier",
+)
+statement(
+    "gov_left_join",
+    "SELECT n_name, count(s_suppkey) AS suppliers FROM tpch.nation LEFT JOIN tpch.supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY n_name",
+    "SELECT n_name, count(s_suppkey) AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY n_name",
+)
+statement(
+    "gov_full_join",
+    "SELECT coalesce(a.k, -1) AS x, coalesce(b.k, -1) AS y FROM (SELECT n_nationkey AS k FROM tpch.nation WHERE n_nationkey < 15) AS a FULL JOIN (SELECT n_nationkey AS k FROM tpch.nation WHERE n_nationkey > 9) AS b ON a.k = b.k",
+    "SELECT coalesce(a.k, -1) AS x, coalesce(b.k, -1) AS y FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 15) a FULL JOIN (SELECT n_nationkey AS k FROM nation WHERE n_nationkey > 9) b ON a.k = b.k",
+)
+statement(
+    "gov_using_join",
+    "SELECT doc_id, lang, toxic FROM tpch.documents JOIN tpch.labels USING (doc_id)",
+    "SELECT doc_id, lang, toxic FROM documents JOIN labels USING (doc_id) ORDER BY doc_id LIMIT 10000",
+)
+statement(
+    "gov_comma_join",
+    "SELECT r_name, n_name FROM tpch.region, tpch.nation WHERE r_regionkey = n_regionkey",
+    "SELECT r_name, n_name FROM region, nation WHERE r_regionkey = n_regionkey",
+)
+statement(
+    "gov_in_subquery",
+    "SELECT n_name FROM tpch.nation WHERE n_regionkey IN (SELECT r_regionkey FROM tpch.region WHERE r_name LIKE 'A%')",
+    "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')",
+)
+statement("gov_values", "SELECT a, b FROM (VALUES (1, 'x'), (2, 'y')) AS v(a, b)", "SELECT * FROM (VALUES (1, 'x'), (2, 'y')) v(a, b)")
+statement(
+    "gov_recursive_cte",
+    "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t",
+    "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t",
+)
+statement(
+    "gov_intersect",
+    "SELECT o_custkey AS k FROM tpch.orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM tpch.orders WHERE o_orderstatus = 'O'",
+    "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' ORDER BY k LIMIT 10000",
+    allow_set_ops=True,
+)
+statement(
+    "gov_except",
+    "SELECT c_custkey AS k FROM tpch.customer EXCEPT SELECT o_custkey FROM tpch.orders",
+    "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    allow_set_ops=True,
+)
+statement(
+    "gov_exists",
+    "SELECT n_name FROM tpch.nation AS n WHERE EXISTS (SELECT 1 FROM tpch.supplier AS s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > 9000)",
+    "SELECT n_name FROM nation n WHERE EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.n_nationkey AND s.s_acctbal > 9000)",
+    allow_exists=True,
+)
+statement(
+    "gov_distinct_case_between",
+    "SELECT DISTINCT CASE WHEN p_size BETWEEN 1 AND 10 THEN 'small' WHEN p_size IN (20, 30) THEN 'some' ELSE 'other' END AS size, cast(p_size AS double) / 2 AS half FROM tpch.part",
+    "SELECT DISTINCT CASE WHEN p_size BETWEEN 1 AND 10 THEN 'small' WHEN p_size IN (20, 30) THEN 'some' ELSE 'other' END AS size, CAST(p_size AS DOUBLE) / 2 AS half FROM part",
+)
+statement(
+    "gov_string_functions",
+    "SELECT n_nationkey, lower(n_name) AS lo, concat_ws('-', n_name, upper(n_name)) AS two, replace(n_name, 'A', 'x') AS rep, split_part(n_name, 'A', 1) AS part, "
+    "length(n_name) AS len, regexp_replace(n_name, '[AEIOU]', '') AS bare, trim(n_name) AS t FROM tpch.nation",
+    "SELECT n_nationkey, lower(n_name) AS lo, concat_ws('-', n_name, upper(n_name)) AS two, replace(n_name, 'A', 'x') AS rep, split_part(n_name, 'A', 1) AS part, "
+    "CAST(length(n_name) AS INTEGER) AS len, regexp_replace(n_name, '[AEIOU]', '', 'g') AS bare, trim(n_name) AS t FROM nation",
+)
+statement(
+    "gov_math_functions",
+    "SELECT s_suppkey, abs(s_acctbal) AS a, ceil(s_acctbal) AS c, floor(s_acctbal) AS f, greatest(s_acctbal, 100.0D) AS g, least(s_acctbal, 100.0D) AS l, "
+    "coalesce(nullif(s_nationkey, 3), -1) AS n FROM tpch.supplier",
+    "SELECT s_suppkey, abs(s_acctbal) AS a, CAST(ceil(s_acctbal) AS BIGINT) AS c, CAST(floor(s_acctbal) AS BIGINT) AS f, greatest(s_acctbal, CAST(100 AS DOUBLE)) AS g, "
+    "least(s_acctbal, CAST(100 AS DOUBLE)) AS l, coalesce(nullif(s_nationkey, 3), -1) AS n FROM supplier",
+)
+statement(
+    "gov_extract_json",
+    "SELECT event_id, extract(YEAR FROM ts) AS y, substring(event_type, 1, 3) AS head, get_json_object(props, '$.k') AS k FROM tpch.events WHERE event_id < 500",
+    "SELECT event_id, CAST(extract(YEAR FROM ts) AS INTEGER) AS y, substring(event_type, 1, 3) AS head, json_extract_string(props, '$.k') AS k FROM events WHERE event_id < 500",
+)
+
+
+def decisions(name: str, cases: list[tuple[str, str, str, str]], **policy) -> None:
+    """case, statement, decision and reason; the gate's answer for every statement."""
+    rules = Policy(**{"allow_tables": ("tpch.*",), "deny_tables": ("tpch.labels",), "max_rows": 50} | policy)
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        catalog.register(spark, folder)
+        rows = [(case, *governed.decision(spark, sql, rules)) for case, sql, _, _ in cases]
+        return values(spark, [(c, d, (r or "").split(":")[0] if "parse" in (r or "") else r or "") for c, d, r in rows], "case_id string, decision string, reason string")
+
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = ", ".join(f"({quote(c)}, {quote(d)}, {quote(r)})" for c, _, d, r in cases)
+    QUERIES[name], ORACLE_SQL[name] = run, f"SELECT * FROM (VALUES {rows}) v(case_id, decision, reason)"
+
+
+_READ, _LOCK = "Only read-only SELECT/WITH queries are permitted.", "Row-locking clauses (FOR UPDATE/SHARE) are not permitted."
+_DENIED = "Access to table 'tpch.labels' is not permitted by policy."
+decisions("gate_decisions", [
+    ("plain", "SELECT o_orderkey FROM tpch.orders", "allow", ""),
+    ("denied", "SELECT doc_id FROM tpch.labels", "deny", _DENIED),
+    ("denied-alias", "SELECT l.doc_id FROM tpch.labels AS l", "deny", _DENIED),
+    ("denied-join", "SELECT d.doc_id FROM tpch.documents d JOIN tpch.labels l ON l.doc_id = d.doc_id", "deny", _DENIED),
+    ("denied-subquery", "SELECT doc_id FROM (SELECT doc_id FROM tpch.labels) AS x", "deny", _DENIED),
+    ("denied-cte", "WITH x AS (SELECT doc_id FROM tpch.labels) SELECT * FROM x", "deny", _DENIED),
+    ("denied-quoted", "SELECT doc_id FROM tpch.`labels`", "deny", _DENIED),
+    ("denied-case", "SELECT doc_id FROM TPCH.LABELS", "deny", _DENIED),
+    ("denied-comment", "SELECT doc_id FROM /* join */ tpch.labels", "deny", _DENIED),
+    ("denied-in", "SELECT doc_id FROM tpch.documents WHERE doc_id IN (SELECT doc_id FROM tpch.labels)", "deny", _DENIED),
+    ("mixed-case", "SELECT doc_id FROM tpch.`Labels`", "deny", "Quoted mixed-case identifier 'tpch.Labels' is not permitted; policy matching is lowercase-only."),
+    ("unqualified", "SELECT doc_id FROM documents", "deny", "Unqualified table 'documents' is not permitted; use schema.table."),
+    ("system", "SELECT * FROM information_schema.tables", "deny", "Access to system catalog 'information_schema.tables' is forbidden."),
+    ("file", "SELECT * FROM parquet.`/tmp`", "deny", "Access to system catalog 'parquet./tmp' is forbidden."),
+    ("insert", "INSERT INTO tpch.orders VALUES (1)", "deny", _READ),
+    ("with-insert", "WITH x AS (SELECT 1 AS a) INSERT INTO tpch.orders SELECT a FROM x", "deny", "Blocked write operation: INSERT"),
+    ("write-word", "SELECT 1 AS a FROM tpch.orders WHERE DELETE = 1", "deny", "Blocked write operation: DELETE"),
+    ("quoted-word", "SELECT 'DELETE ' AS a FROM tpch.region", "allow", ""),
+    ("lock", "SELECT o_orderkey FROM tpch.orders FOR NO KEY UPDATE", "deny", "Blocked write operation: UPDATE"),
+    ("lock-share", "SELECT o_orderkey FROM tpch.orders FOR SHARE", "deny", _LOCK),
+    ("two", "SELECT 1 AS a; SELECT 2 AS b", "deny", "Multiple statements are not permitted."),
+    ("trailing", "SELECT r_name FROM tpch.region;", "allow", ""),
+    ("garbage", "SELECT FROM WHERE !!!", "deny", "Failed to parse SQL"),
+    ("empty", "   ", "deny", _READ),
+    ("from-first", "FROM tpch.orders SELECT o_orderkey", "deny", _READ),
+    ("transform", "SELECT TRANSFORM(o_orderkey) USING 'cat' FROM tpch.orders", "deny", _READ),
+    ("reflect", "SELECT java_method('java.lang.System', 'exit') AS x", "deny", "Function 'java_method' is not permitted by policy."),
+    ("dump", "SELECT collect_list(o_orderkey) AS x FROM tpch.orders", "deny", "High-risk aggregate/serialization function 'collect_list' is not permitted by policy."),
+    ("listagg", "SELECT listagg(r_name) AS x FROM tpch.region", "deny", "High-risk aggregate/serialization function 'listagg' is not permitted by policy."),
+    ("unknown-fn", "SELECT sha2(r_name, 256) AS x FROM tpch.region", "deny", "Function 'sha2' is not permitted by policy."),
+    ("schema-fn", "SELECT app.pkg.fn(1) AS x", "deny", "Function 'app.pkg.fn' is not permitted by policy."),
+    ("table-fn", "SELECT * FROM range(5)", "deny", "Function 'range' is not permitted by policy."),
+    ("rank", "SELECT row_number() OVER (ORDER BY r_name) AS x FROM tpch.region", "deny", "Function 'row_number' is not permitted by policy."),
+    ("set-op", "SELECT r_name FROM tpch.region INTERSECT SELECT r_name FROM tpch.region", "deny", _READ),
+    ("exists", "SELECT r_name FROM tpch.region WHERE EXISTS (SELECT 1 AS a)", "deny", "Function 'exists' is not permitted by policy."),
+    ("sample", "SELECT r_name FROM tpch.region TABLESAMPLE (10 PERCENT)", "deny", _READ),
+    ("lateral-view", "SELECT x FROM tpch.region LATERAL VIEW explode(array(1)) t AS x", "deny", _READ),
+])
+
+_POS = 'protected column "customer.c_name" may not appear in '
+decisions("protected_positions", [
+    ("select", "SELECT c_name FROM tpch.customer", "allow", ""),
+    ("cast", "SELECT cast(c_name AS string) AS c FROM tpch.customer", "allow", ""),
+    ("where", "SELECT c_custkey FROM tpch.customer WHERE c_name = 'x'", "deny", _POS + "WHERE"),
+    ("derived-where", "SELECT k FROM (SELECT c_custkey AS k, c_name AS n FROM tpch.customer) AS t WHERE n = 'x'", "deny", _POS + "WHERE"),
+    ("join", "SELECT a.c_custkey FROM tpch.customer a JOIN tpch.customer b ON a.c_name = b.c_name", "deny", _POS + "JOIN"),
+    ("using", "SELECT a.c_custkey FROM tpch.customer a JOIN tpch.customer b USING (c_name)", "deny", _POS + "JOIN"),
+    ("group", "SELECT count(*) AS n FROM tpch.customer GROUP BY c_name", "deny", _POS + "GROUP BY"),
+    ("order", "SELECT c_custkey FROM tpch.customer ORDER BY c_name", "deny", _POS + "ORDER BY"),
+    ("distinct", "SELECT DISTINCT c_name FROM tpch.customer", "deny", _POS + "GROUP BY"),
+    ("function", "SELECT upper(c_name) AS u FROM tpch.customer", "deny", _POS + "SELECT"),
+    ("in-subquery", "SELECT c_custkey FROM tpch.customer WHERE c_custkey IN (SELECT c_custkey FROM tpch.customer WHERE c_name = 'x')", "deny", _POS + "WHERE"),
+], protected_columns=("*.c_name",))
+
+decisions("dialect_mssql", [
+    ("top", "SELECT TOP 9999 o_orderkey FROM tpch.orders", "allow", ""),
+    ("brackets", "SELECT o_orderkey FROM tpch.[orders]", "allow", ""),
+    ("percent", "SELECT TOP 10 PERCENT o_orderkey FROM tpch.orders", "deny", "TOP n PERCENT is not a row cap and is not permitted."),
+    ("exec", "EXEC sp_who", "deny", "EXEC/EXECUTE is not permitted."),
+    ("openrowset", "SELECT * FROM OPENROWSET('x')", "deny", "OPENROWSET is not permitted."),
+    ("hint", "SELECT o_orderkey FROM tpch.orders WITH (UPDLOCK)", "deny", "Locking hints are not permitted on a read-only gate."),
+    ("into", "SELECT o_orderkey INTO x FROM tpch.orders", "deny", "SELECT INTO is not permitted."),
+    ("len", "SELECT len(r_name) AS n FROM tpch.region", "allow", ""),
+    ("denied", "SELECT doc_id FROM tpch.labels", "deny", _DENIED),
+], dialect="mssql")
+
+decisions("dialect_oracle", [
+    ("fetch", "SELECT o_orderkey FROM tpch.orders FETCH FIRST 9999 ROWS ONLY", "allow", ""),
+    ("rownum", "SELECT o_orderkey FROM tpch.orders WHERE ROWNUM < 5", "deny", "ROWNUM is not a row cap and is not permitted."),
+    ("utl", "SELECT UTL_HTTP.request('x') AS a FROM tpch.orders", "deny", "UTL_* packages are not permitted."),
+    ("link", "SELECT o_orderkey FROM tpch.orders@remote", "deny", "Database link (@) is not permitted."),
+    ("nvl", "SELECT nvl(r_name, 'x') AS n FROM tpch.region -- comment", "allow", ""),
+    ("denied", "SELECT doc_id FROM tpch.labels", "deny", _DENIED),
+], dialect="oracle")
+
+
+@query(
+    "gov_mssql_top",
+    "SELECT o_orderkey FROM orders WHERE o_orderkey <= 12 ORDER BY o_orderkey LIMIT 5",
+)
+def gov_mssql_top(spark: SparkSession, folder: str) -> DataFrame:
+    catalog.register(spark, folder)
+    sql = "SELECT TOP 5 o_orderkey FROM tpch.[orders] WHERE o_orderkey <= 12 ORDER BY o_orderkey"
+    return governed.query(spark, sql, Policy(allow_tables=("tpch.*",), dialect="mssql", max_rows=50)).df
+
+
+@query("gov_oracle_fetch", "SELECT r_name FROM region ORDER BY r_name LIMIT 3")
+def gov_oracle_fetch(spark: SparkSession, folder: str) -> DataFrame:
+    catalog.register(spark, folder)
+    sql = "SELECT r_name FROM tpch.region ORDER BY r_name FETCH FIRST 3 ROWS ONLY"
+    return governed.query(spark, sql, Policy(allow_tables=("tpch.*",), dialect="oracle")).df
+
+
+@query(
+    "gov_summary",
+    "SELECT CAST(80 AS BIGINT) AS \"rows\", CAST(80 AS BIGINT) AS masked_count, 'partial' AS decision",
+)
+def gov_summary(spark: SparkSession, folder: str) -> DataFrame:
+    catalog.register(spark, folder)
+    rules = Policy(allow_tables=("tpch.customer",), mask_columns=("customer.c_name",), max_rows=80)
+    return governed.query(spark, "SELECT c_custkey, c_name FROM tpch.customer ORDER BY c_custkey", rules).summary()
+
+
+@query(
+    "cap_largest_prefix",
+    """WITH d AS (SELECT doc_id, substring(lang, 1, 2) || source AS tag FROM documents ORDER BY doc_id LIMIT 300),
+r AS (SELECT *, sum(strlen('{"doc_id":' || doc_id || ',"tag":"' || tag || '"}')) OVER (ORDER BY doc_id) AS s FROM d)
+SELECT doc_id, tag FROM r WHERE s <= 5000""",
+)
+def cap_largest_prefix(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", F.concat(F.substring("lang", 1, 2), "source").alias("tag"))
+    return caps.largest_prefix(docs, ["doc_id"], 300, 5000)
+
+
+@query(
+    "cap_payload_bytes",
+    """SELECT CAST(sum(strlen('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}')) AS BIGINT) AS bytes FROM nation""",
+)
+def cap_payload_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    return caps.payload_bytes(read(spark, folder, "nation").select("n_nationkey", "n_name"))
+
+
+# Column names.
+
+_COLUMNS = ("c_email", "Phone_no", "discard_reason", "api-key", "apikey", "key", "monkey", "tckn", "tckn_1", "user.password", "c_name", "access_key", "iban", "id")
+
+
+@query(
+    "col_name_heuristic",
+    """SELECT * FROM (VALUES ('c_email', '[MASKED_PII]'), ('Phone_no', '[MASKED_PII]'), ('discard_reason', '[MASKED_PII]'), ('api-key', '[MASKED_SECRET]'),
+('apikey', '[MASKED_SECRET]'), ('key', '[MASKED_SECRET]'), ('monkey', NULL), ('tckn', '[MASKED_PII]'), ('tckn_1', NULL), ('user.password', '[MASKED_SECRET]'),
+('c_name', NULL), ('access_key', '[MASKED_SECRET]'), ('iban', '[MASKED_PII]'), ('id', NULL)) v(column_name, label)""",
+)
+def col_name_heuristic(spark: SparkSession, folder: str) -> DataFrame:
+    return values(spark, [(c, label_by_name(c)) for c in _COLUMNS], "column_name string, label string")
+
+
+@query(
+    "suggest_mask_columns",
+    "SELECT DISTINCT '*.' || lower(c) AS rule FROM (VALUES ('CUSTOMER_NAME'), ('email_addr'), ('gsm'), ('qty'), ('Iban'), ('birth_date'), ('price')) v(c) "
+    "WHERE regexp_matches(lower(c), 'customer_name|e_?mail|gsm|iban|birth')",
+)
+def suggest_mask_columns(spark: SparkSession, folder: str) -> DataFrame:
+    names = values(spark, [(c,) for c in ("CUSTOMER_NAME", "email_addr", "gsm", "qty", "Iban", "birth_date", "price")], "column_name string")
+    return mask.suggested_masks(spark, names)
+
+
+# Detectors as expressions over whole texts.
+
+
+@query(
+    "det_email",
+    rf"""SELECT doc_id, CAST(len(regexp_extract_all(text, '{P.EMAIL}')) AS INTEGER) AS hits,
+md5(regexp_replace(text, '{P.EMAIL}', '{P.PII}', 'g')) AS masked FROM documents""",
+)
+def det_email(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    hits = F.when(F.contains("text", F.lit("@")), F.regexp_count("text", F.lit(P.EMAIL))).otherwise(0)
+    text = F.when(F.contains("text", F.lit("@")), F.regexp_replace("text", P.EMAIL, P.PII)).otherwise(F.col("text"))
+    return docs.select("doc_id", hits.alias("hits"), F.md5(text.cast("binary")).alias("masked"))
+
+
+_ENCODED = [("a", "yaz patron&#64;sirket.com"), ("b", "5&#64; magaza"), ("c", "x%40y.org and u&commat;v.net"), ("d", "q\\u0040r.com"), ("e", "plain")]
+
+
+@query("det_encoded_email", "SELECT * FROM (VALUES ('a', 'yaz [MASKED_PII]'), ('b', '5&#64; magaza'), ('c', '[MASKED_PII] and [MASKED_PII]'), ('d', '[MASKED_PII]'), ('e', 'plain')) v(id, masked)")
+def det_encoded_email(spark: SparkSession, folder: str) -> DataFrame:
+    return values(spark, _ENCODED, "id string, t string").select("id", F.regexp_replace("t", "(?i)" + P.ENCODED_EMAIL, P.PII).alias("masked"))
+
+
+@query(
+    "det_ipv4",
+    r"""SELECT doc_id, CAST(len([a FOR a IN regexp_extract_all(text, '[0-9.]+')
+IF regexp_full_match(a, '(0|[1-9][0-9]{0,2})([.](0|[1-9][0-9]{0,2})){3}') AND list_max([TRY_CAST(o AS INTEGER) FOR o IN string_split(a, '.')]) <= 255]) AS INTEGER) AS hits FROM documents""",
+)
+def det_ipv4(spark: SparkSession, folder: str) -> DataFrame:
+    """Maximal runs of digits and dots that are strict addresses."""
+    runs = F.regexp_extract_all("text", F.lit("[0-9.]+"), 0)
+    octets = lambda a: F.transform(F.split(a, r"\."), lambda o: F.coalesce(o.try_cast("int"), F.lit(999)))
+    strict = lambda a: a.rlike(r"^(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$") & (F.array_max(octets(a)) <= 255)
+    return read(spark, folder, "documents").select("doc_id", F.size(F.filter(runs, strict)).alias("hits"))
+
+
+@query(
+    "det_card_luhn",
+    """SELECT doc_id, CAST(len([a FOR a IN regexp_extract_all(text, '[0-9]+') IF len(a) BETWEEN 13 AND 16 AND
+list_sum([CASE WHEN (len(a) - i) % 2 = 1 THEN (CASE WHEN CAST(a[i] AS INTEGER) * 2 > 9 THEN CAST(a[i] AS INTEGER) * 2 - 9 ELSE CAST(a[i] AS INTEGER) * 2 END)
+ELSE CAST(a[i] AS INTEGER) END FOR i IN range(1, len(a) + 1)]) % 10 = 0]) AS INTEGER) AS cards FROM documents""",
+)
+def det_card_luhn(spark: SparkSession, folder: str) -> DataFrame:
+    runs = F.regexp_extract_all("text", F.lit("[0-9]+"), 0)
+    card = lambda a: F.length(a).between(13, 16) & F.coalesce(F.call_function("luhn_check", a), F.lit(False))
+    return read(spark, folder, "documents").select("doc_id", F.size(F.filter(runs, card)).alias("cards"))
+
+
+_RE2_TOKEN = P.SECRET_TOKEN.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b")
+
+
+def _sql(text: str) -> str:
+    return text.replace("'", "''")
+
+
+@query(
+    "det_secrets",
+    rf"""SELECT doc_id, CAST(len(regexp_extract_all(text, '{_sql(_RE2_TOKEN)}')) AS INTEGER) AS tokens,
+CAST(len(regexp_extract_all(text, '{_sql(P.URL_PASSWORD)}')) AS INTEGER) AS urls,
+CAST(len(regexp_extract_all(text, '(?i){_sql(P.BEARER)}')) AS INTEGER) AS bearers,
+CAST(len(regexp_extract_all(text, '(?i){_sql(P.ASSIGNMENT)}')) AS INTEGER) AS assignments FROM documents""",
+)
+def det_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    count = lambda p: F.regexp_count("text", F.lit(p))
+    return read(spark, folder, "documents").select(
+        "doc_id", count(P.SECRET_TOKEN).alias("tokens"), count(P.URL_PASSWORD).alias("urls"),
+        count("(?i)" + P.BEARER).alias("bearers"), count("(?i)" + P.ASSIGNMENT).alias("assignments"),
+    )
+
+
+@query("det_oversize", f"SELECT doc_id, length(text) > {P.SCAN_CHARS} AS oversize FROM documents")
+def det_oversize(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "documents").select("doc_id", (F.length("text") > P.SCAN_CHARS).alias("oversize"))
+
+
+@query(
+    "det_normalize",
+    f"SELECT doc_id, md5(translate(text, '{P.WIDE}{P.DROPPED}', '{P.NARROW}')) AS plain FROM documents",
+)
+def det_normalize(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.translate("text", P.WIDE + P.DROPPED, P.NARROW)
+    return read(spark, folder, "documents").select("doc_id", F.md5(text.cast("binary")).alias("plain"))
+
+
+_TEXTS = [
+    ("mobile", "tel 05321234567", "tel [MASKED_PII]", 1),
+    ("id", "12345678901", "[MASKED_PII]", 1),
+    ("card", "4111111111111111", "[MASKED_PII]", 1),
+    ("no-card", "1234567890123456", "1234567890123456", 0),
+    ("order", "12345678901234567890", "12345678901234567890", 0),
+    ("iban", "havale TR330006100519786457841326 tamam", "havale [MASKED_PII] tamam", 1),
+    ("two-ibans", "TR330006100519786457841326 ve TR330006100519786457841326 ayni.", "[MASKED_PII] ve [MASKED_PII] ayni.", 2),
+    ("entity", "yaz patron&#64;sirket.com", "yaz [MASKED_PII]", 1),
+    ("no-email", "5&#64; magaza", "5&#64; magaza", 0),
+    ("label", "Yetkili: Ayse Demir", "Yetkili: [MASKED_PII]", 1),
+    ("sentence", "Musteri: Ahmet, tel: 05321234567, siparis 12345", "Musteri: [MASKED_PII], tel: [MASKED_PII], siparis 12345", 2),
+    ("title", "Dr. Ayşe Demir geldi", "Dr. [MASKED_PII] geldi", 1),
+    ("filename", "filename: Rapor", "filename: Rapor", 0),
+    ("ip", "src 192.0.2.1 dst", "src 192.0.2.1 dst", 0),
+    ("date", "13.08.2026 tarihli 45000 TL", "13.08.2026 tarihli 45000 TL", 0),
+    ("secret", "key sk-proj-abcdefghijkl12 end", "key [MASKED_SECRET] end", 1),
+    ("url", "postgres://u:secretpw@h/db", "postgres://u:[MASKED_SECRET]@h/db", 1),
+    ("bearer", "Bearer abcdef123456", "Bearer [MASKED_SECRET]", 1),
+    ("password", "password = hunter22;", "password = [MASKED_SECRET];", 1),
+    ("base64", "cGF0cm9uQHNpcmtldC5jb20=", "[MASKED_PII]", 1),
+    ("hex", "x 706174726f6e407369726b65742e636f6d y", "x [MASKED_PII] y", 1),
+    ("mrz", "P<UTOERIKSSON<<ANNA<MARIA<<<<<<<<<<<<<<<<<<<\nL898902C36UTO7408122F1204159ZE184226B<<<<<10", "[MASKED_PII]", 1),
+]
+
+
+@query("det_text_matrix", "SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{_sql(m)}', {n})" for i, _, m, n in _TEXTS) + ") v(id, masked, hits)")
+def det_text_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    rows = values(spark, [(i, t) for i, t, _, _ in _TEXTS], "id string, masked string")
+    return mask.scan_texts(rows, skip={"id"}).select("id", "masked", F.col("_masked").cast("int").alias("hits"))
+
+
+@query("det_ip_opt_in", "SELECT * FROM (VALUES (1, 'src [MASKED_PII] dst'), (2, 'peer [MASKED_PII] ok'), (3, '13.08.2026'), (4, '256.1.1.1')) v(id, t)")
+def det_ip_opt_in(spark: SparkSession, folder: str) -> DataFrame:
+    rows = values(spark, [(1, "src 192.0.2.1 dst"), (2, "peer 2001:db8::1 ok"), (3, "13.08.2026"), (4, "256.1.1.1")], "id int, t string")
+    return mask.scan_texts(rows, Detectors(ip=True), counts=False)
+
+
+@query(
+    "det_national_id",
+    """WITH c AS (SELECT c_custkey, CAST(100000000 + (c_custkey * 7919) % 899999999 AS VARCHAR) AS b FROM customer),
+d AS (SELECT c_custkey, b, [CAST(x AS INTEGER) FOR x IN string_split(b, '')] AS n FROM c),
+e AS (SELECT c_custkey, b, n, (((n[1]+n[3]+n[5]+n[7]+n[9]) * 7 - (n[2]+n[4]+n[6]+n[8])) % 10 + 10) % 10 AS d10 FROM d),
+f AS (SELECT c_custkey, b || d10 || ((list_sum(n) + d10 + c_custkey % 2) % 10) AS id FROM e)
+SELECT c_custkey, id, c_custkey % 2 = 0 AS valid FROM f""",
+)
+def det_national_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids made from customer keys, every second one with a wrong last digit."""
+    b = (F.lit(100000000) + (F.col("c_custkey") * 7919) % 899999999).cast("string")
+    d = [F.substring(b, i, 1).cast("int") for i in range(1, 10)]
+    odd, even = d[0] + d[2] + d[4] + d[6] + d[8], d[1] + d[3] + d[5] + d[7]
+    d10 = F.pmod(odd * 7 - even, F.lit(10))
+    id_ = F.concat(b, d10.cast("string"), F.pmod(odd + even + d10 + (F.col("c_custkey") % 2).cast("int"), F.lit(10)).cast("string"))
+    return read(spark, folder, "customer").select("c_custkey", id_.alias("id")).withColumn("valid", checks.national_id_column(F.col("id")))
+
+
+@query(
+    "det_iban",
+    "SELECT * FROM (VALUES ('TR33 0006 1005 1978 6457 8413 26', TRUE), ('DE89370400440532013000', TRUE), ('gb82 west 1234 5698 7654 32', TRUE), ('TR330006100519786457841327', FALSE), ('XX12', FALSE)) v(t, ok)",
+)
+def det_iban(spark: SparkSession, folder: str) -> DataFrame:
+    texts = ["TR33 0006 1005 1978 6457 8413 26", "DE89370400440532013000", "gb82 west 1234 5698 7654 32", "TR330006100519786457841327", "XX12"]
+    return values(spark, [(t,) for t in texts], "t string").withColumn("ok", checks.iban_column(F.col("t")))
+
+
+@query("det_split_id", "SELECT * FROM (VALUES (1, '[MASKED_PII]', '[MASKED_PII]', CAST(2 AS BIGINT)), (2, '12345', '678901', 0), (3, '[MASKED_PII]', '[MASKED_PII]', 2), (4, NULL, '1', 0)) v(id, tckn_1, tckn_2, _split)")
+def det_split_id(spark: SparkSession, folder: str) -> DataFrame:
+    rows = [(1, "10000", "000146"), (2, "12345", "678901"), (3, "000146", "10000"), (4, None, "1")]
+    return mask.split_ids(values(spark, rows, "id int, tckn_1 string, tckn_2 string"))
+
+
+# Masking of whole tables.
+
+
+@query("mask_pipeline_documents")
+def mask_pipeline_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text through all detectors."""
+    docs = mask.scan_texts(read(spark, folder, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("masked"), F.col("_masked").alias("hits"))
+
+
+@query("mask_conversations")
+def mask_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts before they leave: their length, and how much of them was masked."""
+    turns = read(spark, folder, "conversations").select("conv_id", "turn", "text", F.length("text").alias("prompt_chars"))
+    return mask.scan_texts(turns, Detectors(names=False)).select("conv_id", "turn", "prompt_chars", F.col("_masked").alias("masked_count"))
+
+
+@query("mask_custom_pattern", "SELECT s_suppkey, regexp_replace(s_name, 'Supplier#[0-9]{9}', '[SUPPLIER]', 'g') AS s_name, CAST(len(regexp_extract_all(s_name, 'Supplier#[0-9]{9}')) AS BIGINT) AS hits FROM supplier")
+def mask_custom_pattern(spark: SparkSession, folder: str) -> DataFrame:
+    rule = CustomPattern("supplier-name", "Supplier#[0-9]{9}", ("*.s_name",), "[SUPPLIER]")
+    rows = mask.scan_texts(read(spark, folder, "supplier").select("s_suppkey", "s_name"), Detectors(custom=(rule,)))
+    return rows.select("s_suppkey", "s_name", F.coalesce(F.col("_classes")["supplier-name"], F.lit(0)).cast("long").alias("hits"))
+
+
+@query("mask_nested", "SELECT 1 AS id, '[MASKED_PII],b' AS a, '[MASKED_PII]' AS x, 5 AS n, CAST(2 AS BIGINT) AS hits")
+def mask_nested(spark: SparkSession, folder: str) -> DataFrame:
+    rows = values(spark, [(1, ["a@b.co", "b"], ("c@d.org", 5))], "id int, a array<string>, s struct<x: string, n: int>")
+    return mask.scan_texts(rows).select("id", F.array_join("a", ",").alias("a"), "s.x", "s.n", F.col("_masked").alias("hits"))
+
+
+@query(
+    "carryover_names",
+    "SELECT n_nationkey, replace('Visit ' || n_name || ' (' || r_name || '), ' || lower(r_name) || 'n!', r_name, '[MASKED_PII]') AS note, CAST(1 AS BIGINT) AS _carried "
+    "FROM nation JOIN region ON n_regionkey = r_regionkey",
+)
+def carryover_names(spark: SparkSession, folder: str) -> DataFrame:
+    region, nation = read(spark, folder, "region"), read(spark, folder, "nation")
+    note = F.concat(F.lit("Visit "), "n_name", F.lit(" ("), "r_name", F.lit("), "), F.lower("r_name"), F.lit("n!"))
+    rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", note.alias("note"))
+    return mask.carry_over(rows, mask.known_values(region, ["r_name"]), ["note"])
+
+
+@query(
+    "pseudonymize_names",
+    """WITH t AS (SELECT 'Region #' || row_number() OVER (ORDER BY length(r_name) DESC, r_name) AS token, r_name FROM region)
+SELECT n_nationkey, replace('in ' || r_name, r_name, token) AS note FROM nation JOIN t ON n_regionkey = (SELECT r_regionkey FROM region r WHERE r.r_name = t.r_name)""",
+)
+def pseudonymize_names(spark: SparkSession, folder: str) -> DataFrame:
+    region, nation = read(spark, folder, "region"), read(spark, folder, "nation")
+    rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat(F.lit("in "), "r_name").alias("note"))
+    return mask.pseudonymise(rows, "note", mask.pseudonyms(region, "r_name", "Region"))
+
+
+# Search.
+
+
+@query("search_documents", "SELECT doc_id, substring(text, 1, 150) || '...' AS snippet FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id LIMIT 50")
+def search_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search_texts(read(spark, folder, "documents"), "LICENSE", "doc_id", "text")
+
+
+@query(
+    "search_endpoints",
+    """WITH s AS (SELECT p_partkey, CASE WHEN contains(lower(p_name), 'steel') THEN 10 ELSE 0 END + CASE WHEN contains(lower(p_brand), 'steel') THEN 5 ELSE 0 END
++ CASE WHEN contains(lower(p_type), 'steel') THEN 3 ELSE 0 END AS score FROM part) SELECT p_partkey, score FROM s WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 20""",
+)
+def search_endpoints(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search_endpoints(read(spark, folder, "part"), "steel", "p_name", "p_brand", "p_type", "p_partkey").select("p_partkey", "score")
+
+
+@query("rest_limit", "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 100")
+def rest_limit(spark: SparkSession, folder: str) -> DataFrame:
+    return catalog.rest_query({"nation": read(spark, folder, "nation")}, "SELECT n_nationkey, n_name FROM public.nation LIMIT 500")
+
+
+_SPEC = {
+    "paths": {"/pets/{id}": {"get": {"parameters": [{"name": "id", "required": True, "schema": {"type": "integer"}}], "responses": {"200": {"content": {"application/json": {"schema": {"$ref": "#/components/schemas/Pet"}}}}}}}},
+    "components": {"schemas": {"Pet": {"type": "object", "required": ["name"], "properties": {"name": {"type": "string"}, "tags": {"type": "array", "items": {"type": "string"}}}}}},
+}
+
+
+@query("describe_endpoint", "SELECT * FROM (VALUES ('param:id', 'integer', FALSE), ('response:name', 'string', FALSE), ('response:tags', 'array<string>', TRUE)) v(column_name, data_type, nullable)")
+def describe_endpoint(spark: SparkSession, folder: str) -> DataFrame:
+    return values(spark, files.describe_endpoint(_SPEC, "GET", "/pets/{id}"), "column_name string, data_type string, nullable boolean")
+
+
+@query("describe_table", "SELECT * FROM (VALUES ('r_regionkey', 'int'), ('r_name', 'string')) v(column_name, data_type)")
+def describe_table(spark: SparkSession, folder: str) -> DataFrame:
+    catalog.register(spark, folder)
+    return catalog.describe(spark, "tpch.region", Policy(allow_tables=("tpch.*",))).select("column_name", "data_type")
+
+
+# Evidence: a log made from events. Row n links to row n - 1 by the digest of its key; some rows are tampered with.
+
+
+def _log(spark: SparkSession, folder: str) -> DataFrame:
+    digest = lambda c: F.sha2(c.cast("string"), 256)
+    n = F.col("event_id")
+    broken = F.when(n % 97 == 5, "x").otherwise("")
+    before = F.when(n == 0, "0" * 64).otherwise(digest(n - 1))
+    return read(spark, folder, "events").select(
+        n.alias("pos"), digest(n).alias("hash"), F.concat(before, broken).alias("prev_hash"), F.concat(digest(n), F.when(n % 501 == 7, "y").otherwise("")).alias("computed"),
+    )
+
+
+_LOG_SQL = """WITH l AS (SELECT event_id AS pos, sha256(CAST(event_id AS VARCHAR)) AS hash,
+(CASE WHEN event_id = 0 THEN repeat('0', 64) ELSE sha256(CAST(event_id - 1 AS VARCHAR)) END) || CASE WHEN event_id % 97 = 5 THEN 'x' ELSE '' END AS prev_hash,
+sha256(CAST(event_id AS VARCHAR)) || CASE WHEN event_id % 501 = 7 THEN 'y' ELSE '' END AS computed FROM events),
+k AS (SELECT *, coalesce(lag(hash) OVER (ORDER BY pos), repeat('0', 64)) AS before FROM l),
+b AS (SELECT pos, CASE WHEN computed <> hash THEN 'hash mismatch' WHEN prev_hash <> before THEN 'prevHash break' END AS reason FROM k)
+"""
+
+
+@query("chain_breaks", _LOG_SQL + "SELECT pos, reason FROM b WHERE reason IS NOT NULL")
+def chain_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.chain_breaks(_log(spark, folder), computed="computed")
+
+
+@query("chain_first_break", _LOG_SQL + "SELECT min(pos) AS pos, min_by(reason, pos) AS reason, count(*) AS breaks FROM b WHERE reason IS NOT NULL")
+def chain_first_break(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.first_break(evidence.chain_breaks(_log(spark, folder), computed="computed"))
+
+
+@query("chain_tail_pin", "SELECT count(*) AS count, max_by(sha256(CAST(event_id AS VARCHAR)), event_id) AS last_hash FROM events")
+def chain_tail_pin(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.tail_pin(_log(spark, folder))
+
+
+@query(
+    "signature_contiguity",
+    """WITH l AS (SELECT user_id, event_id AS pos, CASE WHEN event_id % 3 = 0 THEN 's' ELSE '' END AS signature FROM events)
+SELECT user_id, pos FROM l WHERE signature = '' AND pos > (SELECT min(pos) FROM l m WHERE m.user_id = l.user_id AND m.signature <> '')""",
+)
+def signature_contiguity(spark: SparkSession, folder: str) -> DataFrame:
+    log = read(spark, folder, "events").select("user_id", F.col("event_id").alias("pos"), F.when(F.col("event_id") % 3 == 0, "s").otherwise("").alias("signature"))
+    return evidence.unsigned_after_signed(log, by=["user_id"]).select("user_id", "pos")
+
+
+@query(
+    "seq_gaps",
+    """WITH s AS (SELECT event_id AS s FROM events WHERE event_id % 13 NOT IN (4, 5)), m AS (SELECT min(s) AS a, max(s) AS b FROM s),
+e AS (SELECT unnest(range(a, b)) AS expected_seq FROM m)
+SELECT expected_seq, (SELECT min(s) FROM s WHERE s > expected_seq) AS found_seq FROM e WHERE expected_seq NOT IN (SELECT s FROM s)""",
+)
+def seq_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.sequence_gaps(read(spark, folder, "events").where(~(F.col("event_id") % 13).isin(4, 5)), "event_id")
+
+
+@query(
+    "decision_breakdown",
+    "SELECT count(*) FILTER (WHERE event_type <> 'error' AND value <= 50) AS allow, count(*) FILTER (WHERE event_type <> 'error' AND value > 50) AS partial, "
+    "count(*) FILTER (WHERE event_type = 'error') AS deny FROM events WHERE value IS NOT NULL",
+)
+def decision_breakdown(spark: SparkSession, folder: str) -> DataFrame:
+    kind = evidence.decision(F.col("event_type") == "error", F.greatest(F.lit(0.0), F.col("value") - 50))
+    return evidence.decisions(read(spark, folder, "events").where("value IS NOT NULL").select(kind.alias("decision")))
+
+
+def _receipts(spark: SparkSession, folder: str) -> DataFrame:
+    """Receipts made from events: every third names nothing, every seventh describes a table, the others name two."""
+    n = F.col("event_id")
+    name = F.concat(F.lit("shop.t"), (F.col("user_id") % 25).cast("string"))
+    ref = lambda o: F.struct(F.lit("db").alias("source"), o.alias("object"))
+    other = F.concat(F.lit("shop.u"), (F.col("user_id") % 5).cast("string"))
+    refs = F.when((n % 3 == 0) | (n % 7 == 0), F.array().cast("array<struct<source:string,object:string>>")).otherwise(F.array(ref(name), ref(other)))
+    ts = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    return read(spark, folder, "events").select(
+        n.alias("pos"),
+        F.struct(
+            F.struct(n.alias("seq")).alias("chain"), F.struct(ts.alias("start"), ts.alias("end")).alias("period"), refs.alias("dataRefs"),
+            F.struct(F.when(n % 7 == 0, "describe_table").otherwise("query").alias("tool"), F.when(n % 7 == 0, name).alias("target")).alias("request"),
+            F.struct(F.when(n % 11 == 0, "deny").otherwise("allow").alias("decision")).alias("policy"),
+        ).alias("r"),
+    )
+
+
+_RECEIPTS_SQL = """WITH r AS (SELECT event_id AS seq, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, CASE WHEN event_id % 7 = 0 THEN 'describe_table' ELSE 'query' END AS tool,
+CASE WHEN event_id % 7 = 0 THEN ['shop.t' || user_id % 25] WHEN event_id % 3 = 0 THEN [] ELSE ['shop.t' || user_id % 25, 'shop.u' || user_id % 5] END AS objects,
+CASE WHEN event_id % 11 = 0 THEN 'deny' ELSE 'allow' END AS decision FROM events),
+d AS (SELECT 'shop.t' || i AS object FROM range(30) t(i)),
+o AS (SELECT DISTINCT unnest(objects) AS object FROM r)
+"""
+
+
+def _declared(spark: SparkSession) -> DataFrame:
+    return spark.range(30).select(F.concat(F.lit("shop.t"), F.col("id").cast("string")).alias("object"))
+
+
+@query("scope_not_recorded", _RECEIPTS_SQL + "SELECT object, object IN (SELECT object FROM o) AS recorded FROM d")
+def scope_not_recorded(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.scope(_declared(spark), evidence.objects(_receipts(spark, folder)))
+
+
+@query("unassigned_receipts", _RECEIPTS_SQL + "SELECT seq FROM r WHERE len(objects) = 0 AND tool = 'query'")
+def unassigned_receipts(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.unassigned(_receipts(spark, folder)).select("r.chain.seq")
+
+
+@query(
+    "coverage_declaration",
+    _RECEIPTS_SQL
+    + """SELECT min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS count, min(ts) AS start, max(ts) AS "end", count(*) FILTER (WHERE decision = 'allow') AS allow,
+CAST(0 AS BIGINT) AS partial, count(*) FILTER (WHERE decision = 'deny') AS deny, CAST(0 AS BIGINT) AS gaps, (SELECT count(*) FROM d) AS declared,
+(SELECT count(*) FROM d WHERE object IN (SELECT object FROM o)) AS accessed, count(*) FILTER (WHERE len(objects) = 0 AND tool = 'query') AS unassigned, TRUE AS contiguous,
+(SELECT count(*) FROM d WHERE object NOT IN (SELECT object FROM o)) AS not_recorded FROM r""",
+)
+def coverage_declaration(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.coverage(_receipts(spark, folder), _declared(spark))
+
+
+@query("coverage_cross_check", "SELECT * FROM (VALUES ('count', 30)) v(field, code)")
+def coverage_cross_check(spark: SparkSession, folder: str) -> DataFrame:
+    found = evidence.coverage(_receipts(spark, folder), _declared(spark))
+    return evidence.cross_check(found.withColumn("count", F.col("count") + 1), found)
+
+
+@query("receipts_newest_first", "SELECT event_id AS pos, event_type FROM events ORDER BY pos DESC")
+def receipts_newest_first(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.newest_first(read(spark, folder, "events").withColumnRenamed("event_id", "pos"), "event_type")
+
+
+_ANCHORS_SQL = """WITH l AS (SELECT event_id AS seq, CASE WHEN event_id % 4 = 0 THEN 'submit' ELSE 'upgrade' END AS type, event_id % 4 AS m, event_type AS id,
+md5(CAST(user_id AS VARCHAR)) AS digest, user_id AS owner, 's' || event_id % 4 AS state FROM events)
+"""
+
+
+def _anchors(spark: SparkSession, folder: str) -> DataFrame:
+    n = F.col("event_id")
+    return read(spark, folder, "events").select(
+        n.alias("seq"), F.when(n % 4 == 0, "submit").otherwise("upgrade").alias("type"), (n - n % 4).alias("upgrades_seq"), F.col("event_type").alias("id"),
+        F.md5(F.col("user_id").cast("string").cast("binary")).alias("digest"), F.col("user_id").alias("owner"), F.concat(F.lit("s"), (n % 4).cast("string")).alias("state"),
+    )
+
+
+@query(
+    "anchor_latest_view",
+    _ANCHORS_SQL + "SELECT s.seq, s.id, s.digest, coalesce((SELECT max_by(u.state, u.seq) FROM l u WHERE u.type = 'upgrade' AND u.seq - u.m = s.seq), s.state) AS state FROM l s WHERE s.type = 'submit'",
+)
+def anchor_latest_view(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.latest_view(_anchors(spark, folder))
+
+
+@query("anchor_dedup", _ANCHORS_SQL + "SELECT owner, digest, min(seq) AS seq FROM l WHERE type = 'submit' GROUP BY owner, digest")
+def anchor_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.once_per_digest(_anchors(spark, folder).where("type = 'submit'"))
+
+
+@query("inclusion_suffix", _LOG_SQL + "SELECT pos AS seq, hash, prev_hash FROM l WHERE pos >= 9000")
+def inclusion_suffix(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.inclusion(_log(spark, folder).withColumnRenamed("pos", "seq"), 9000)
+
+
+@query("anchor_due")
+def anchor_due(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "events").select(F.col("event_type").alias("log"), F.col("event_id").alias("seq"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"))
+    return evidence.anchor_due(rows)
+
+
+@query(
+    "canonical_json_hash",
+    """SELECT id, 'sha256:' || sha256(body) AS digest FROM (VALUES (1, '{"a":1,"b":[true,null,"x"],"chain":{"seq":3}}'), (2, '{"n":1e+21,"s":"é","z":0.000001}'), (3, '{"€":"Euro","👂":"ear"}')) v(id, body)""",
+)
+def canonical_json_hash(spark: SparkSession, folder: str) -> DataFrame:
+    lines = [
+        (1, '{"chain": {"hash": "h", "seq": 3}, "b": [true, null, "x"], "a": 1.0, "sig": {}, "anchor": null}'),
+        (2, '{"z": 1e-6, "s": "\\u00e9", "n": 1000000000000000000000}'),
+        (3, '{"\\ud83d\\udc42": "ear", "\\u20ac": "Euro", "hash": "x"}'),
+    ]
+    return values(spark, lines, "id int, line string").select("id", evidence.receipt_hashes(F.col("line")).alias("digest"))
+
+
+@query("audit_entry_hash", """SELECT id, sha256(body) AS digest FROM (VALUES (1, '{"b":2,"a":"x","prevHash":"p"}'), (2, '{}')) v(id, body)""")
+def audit_entry_hash(spark: SparkSession, folder: str) -> DataFrame:
+    lines = [(1, '{"b": 2, "a": "x", "prevHash": "p", "hash": "h", "signature": "s"}'), (2, '{"hash": "h"}')]
+    return values(spark, lines, "id int, line string").select("id", evidence.entry_hashes(F.col("line")).alias("digest"))
+
+
+# Reconciliation: statements with counters before and after, and receipts made from events.
+
+_STATEMENTS = [
+    ("q1", "SELECT * FROM shop.t1 JOIN shop.u1 ON 1=1", 5, 9),
+    ("q2", "WITH pgrst_source AS (SELECT a FROM public.t2) SELECT * FROM pgrst_source", 0, 3),
+    ("q3", "SET search_path TO x", 1, 4),
+    ("q4", "SELECT $1 + $2", 1, 2),
+    ("q5", "SELECT relname FROM pg_catalog.pg_class", 1, 2),
+    ("q6", "UPDATE ONLY shop.missing SET a = 1", 0, 1),
+    ("q7", 'SELECT * FROM "Shop"."T3", x JOIN "late_only" ON true', 2, 8),
+    ("q8", "SELECT * FROM shop.t4", 7, 7),
+    ("q9", "SELECT * FROM late_only", 0, 2),
+    ("q10", "SELECT * FROM pg_stat_activity", 0, 2),
+]
+_START, _END = 1704412800000, 1704844800000  # 2024-01-05 and 2024-01-10
+
+
+def _patterns(spark: SparkSession) -> DataFrame:
+    before = values(spark, [(q, s, b) for q, s, b, _ in _STATEMENTS], "queryid string, query string, calls long")
+    after = values(spark, [(q, s, a) for q, s, _, a in _STATEMENTS], "queryid string, query string, calls long")
+    return reconcile.deltas(before, after)
+
+
+def _ledger(spark: SparkSession, folder: str) -> DataFrame:
+    n = F.col("event_id")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    late = F.when((n % 5 == 0) & (ms > _END), F.array(F.lit("late_only")))
+    objects = F.coalesce(late, F.when(n % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("shop.t"), (F.col("user_id") % 25).cast("string")), F.lit("shop.u1"))))
+    return read(spark, folder, "events").select(n.alias("id"), ms.alias("ts_ms"), F.lit("query").alias("tool"), F.lit(None).cast("string").alias("target"), objects.alias("objects"))
+
+
+_LEDGER_SQL = f"""WITH r AS (SELECT event_id AS id, (epoch_us(ts) // 1000) AS ts_ms, CASE WHEN event_id % 5 = 0 AND (epoch_us(ts) // 1000) > {_END} THEN ['late_only']
+WHEN event_id % 3 = 0 THEN [] ELSE ['t' || user_id % 25, 'u1'] END AS objects FROM events),
+n AS (SELECT id, ts_ms, unnest(objects) AS tab FROM r),
+w AS (SELECT tab, bool_or(ts_ms BETWEEN {_START} AND {_END}) AS covered,
+min(CASE WHEN ts_ms < {_START} THEN {_START} - ts_ms WHEN ts_ms > {_END} THEN ts_ms - {_END} END) AS off FROM n GROUP BY tab),
+p AS (SELECT * FROM (VALUES ('q1', 4, ['t1', 'u1'], ['shop.t1', 'shop.u1']), ('q2', 3, ['t2'], ['public.t2']), ('q6', 1, ['missing'], ['shop.missing']),
+('q7', 6, ['t3', 'late_only'], ['shop.t3', 'late_only']), ('q9', 2, ['late_only'], ['late_only'])) v(queryid, delta, tabs, names)),
+e AS (SELECT queryid, delta, unnest(tabs) AS tab, unnest(names) AS name FROM p),
+j AS (SELECT e.*, coalesce(covered, FALSE) AS covered, off FROM e LEFT JOIN w USING (tab)),
+g AS (SELECT queryid, delta, list_sort(list(name) FILTER (WHERE NOT covered)) AS uncovered, count(*) FILTER (WHERE NOT covered AND off IS NULL) AS without,
+max(off) FILTER (WHERE NOT covered) AS skew, count(*) FILTER (WHERE NOT covered) AS n FROM j GROUP BY queryid, delta),
+v AS (SELECT queryid, CAST(delta AS BIGINT) AS delta, CASE WHEN n = 0 THEN 'reconciled' WHEN without = 0 THEN 'indeterminate' ELSE 'unreconciled' END AS verdict,
+coalesce(uncovered, []) AS uncovered, CASE WHEN n > 0 AND without = 0 THEN skew END AS required_skew, CASE WHEN n > 0 AND without = 0 THEN skew <= {_END - _START} END AS plausible FROM g
+UNION ALL SELECT * FROM (VALUES ('q3', 3, 'infrastructure', [], NULL, NULL), ('q4', 1, 'unattributed', [], NULL, NULL), ('q5', 1, 'infrastructure', [], NULL, NULL),
+('q10', 2, 'infrastructure', [], NULL, NULL)) x)
+"""
+
+
+@query("reconcile_delta", "SELECT * FROM (VALUES ('q1', CAST(4 AS BIGINT)), ('q2', 3), ('q3', 3), ('q4', 1), ('q5', 1), ('q6', 1), ('q7', 6), ('q9', 2), ('q10', 2)) v(queryid, delta)")
+def reconcile_delta(spark: SparkSession, folder: str) -> DataFrame:
+    return _patterns(spark).select("queryid", "delta")
+
+
+@query(
+    "extract_tables",
+    "SELECT * FROM (VALUES ('q1', 'shop.t1,shop.u1'), ('q2', 'public.t2'), ('q3', ''), ('q4', ''), ('q5', 'pg_catalog.pg_class'), ('q6', 'shop.missing'), ('q7', 'shop.t3,late_only'), "
+    "('q8', 'shop.t4'), ('q9', 'late_only'), ('q10', 'pg_stat_activity')) v(queryid, names)",
+)
+def extract_tables(spark: SparkSession, folder: str) -> DataFrame:
+    rows = values(spark, [(q, s) for q, s, _, _ in _STATEMENTS], "queryid string, query string")
+    names = F.transform(reconcile.tables(F.col("query")), lambda t: F.concat_ws(".", t["schema"], t["table"]))
+    return rows.select("queryid", F.array_join(names, ",").alias("names"))
+
+
+@query("reconcile_verdicts", _LEDGER_SQL + "SELECT queryid, delta, verdict, array_to_string(uncovered, ',') AS uncovered, CAST(required_skew AS VARCHAR) AS required_skew, CAST(plausible AS VARCHAR) AS plausible FROM v")
+def reconcile_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    found = reconcile.verdicts(_patterns(spark), _ledger(spark, folder), _START, _END)
+    return found.withColumns({"uncovered": F.array_join("uncovered", ","), **{c: F.col(c).cast("string") for c in ("required_skew", "plausible")}})
+
+
+@query("reconcile_exit_code", "SELECT 40 AS code")
+def reconcile_exit_code(spark: SparkSession, folder: str) -> DataFrame:
+    return reconcile.exit_code(reconcile.verdicts(_patterns(spark), _ledger(spark, folder), _START, _END))
+
+
+@query(
+    "reconcile_outcomes",
+    _LEDGER_SQL
+    + f"""SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN verdict = 'infrastructure' THEN CASE WHEN queryid = 'q3' THEN 'excluded' ELSE 'indeterminate' END
+WHEN verdict IN ('unattributed', 'indeterminate') THEN 'indeterminate' WHEN verdict = 'unreconciled' THEN 'observed-without-receipt'
+WHEN delta <= 3 THEN 'matched' ELSE 'observed-without-receipt' END AS outcome FROM v
+UNION ALL SELECT 'receipted-without-observation' FROM (SELECT id FROM n WHERE ts_ms BETWEEN {_START} AND {_END} GROUP BY id
+HAVING count(*) FILTER (WHERE tab IN ('t1', 'u1', 't2', 'missing', 't3', 'late_only')) = 0) q) GROUP BY outcome""",
+)
+def reconcile_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    patterns, ledger = _patterns(spark), _ledger(spark, folder)
+    profile = reconcile.Profile.of({"v": 1, "version": "2", "multiplicity": {"maxStatementsPerReceipt": 3}, "exclusions": [{"id": "set", "version": "1"}]})
+    found = reconcile.verdicts(patterns, ledger, _START, _END, profile.skew_ms)
+    silent = reconcile.unobserved(ledger, patterns, _START, _END)
+    return reconcile.outcomes(patterns, found, silent, profile).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query(
+    "reconcile_receipt_counts",
+    _LEDGER_SQL + f"SELECT count(*) FILTER (WHERE ts_ms BETWEEN {_START} AND {_END}) AS in_window, count(*) FILTER (WHERE ts_ms NOT BETWEEN {_START} AND {_END}) AS out_of_window, "
+    f"count(*) FILTER (WHERE ts_ms BETWEEN {_START} AND {_END} AND len(objects) = 0) AS unassigned FROM r",
+)
+def reconcile_receipt_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return reconcile.receipt_counts(_ledger(spark, folder), _START, _END)
+
+
+@query(
+    "teach_two_clocks",
+    """WITH s AS (SELECT event_type || user_id % 40 AS object, ts FROM events WHERE event_id % 2 = 0), d AS (SELECT event_type || user_id % 40 AS object, ts FROM events WHERE event_id % 5 = 1 AND user_id % 40 < 30),
+w AS (SELECT DISTINCT object FROM s WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-03 06:00:00' AND object <> 'click1')
+SELECT object, CASE WHEN object IN (SELECT object FROM d WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-03 06:00:00') THEN 'attributed'
+WHEN object IN (SELECT object FROM d) THEN 'indeterminate' ELSE 'observed-without-receipt' END AS verdict FROM w""",
+)
+def teach_two_clocks(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "events").select("event_id", "user_id", F.concat("event_type", (F.col("user_id") % 40).cast("string")).alias("object"), "ts")
+    day = lambda t: F.to_timestamp_ntz(F.lit(t))
+    source, desk = rows.where("event_id % 2 = 0"), rows.where("event_id % 5 = 1 AND user_id % 40 < 30")
+    return reconcile.two_clocks(source, desk, day("2024-01-03 00:00:00"), day("2024-01-03 06:00:00"), ("click1",))
+
+
+@query("snapshot_document", """SELECT '{"v":"snapshot/1","ts":"t","role":"app","source":"pg","entries":[{"queryid":"1","query":"a","calls":2},{"queryid":"3","query":"c","calls":4}]}' AS document""")
+def snapshot_document(spark: SparkSession, folder: str) -> DataFrame:
+    stats = values(spark, [(1, 1, "a", 2), (2, 2, "b", 3), (1, 3, "c", 4)], "userid long, queryid long, query string, calls long")
+    return files.snapshot(stats, values(spark, [(1, "app"), (2, "other")], "oid long, rolname string"), "app", "pg", "t")
+
+
+# Clients.
+
+
+@query("rate_limit_decisions")
+def rate_limit_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Three accepted requests of a user in any day."""
+    rows = read(spark, folder, "events").withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
+    return clients.sliding_limit(rows, "user_id", "s", "event_id", 3, 86400)
+
+
+@query(
+    "fixed_bucket_limit",
+    """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000000 AS s, event_id FROM events),
+b AS (SELECT user_id, min(s) AS start FROM e GROUP BY user_id
+UNION ALL SELECT b.user_id, (SELECT min(s) FROM e WHERE e.user_id = b.user_id AND e.s >= b.start + 86400) AS start FROM b WHERE b.start IS NOT NULL)
+SELECT e.user_id AS client, e.s AS ts, e.event_id AS key, max(b.start) AS bucket,
+row_number() OVER (PARTITION BY e.user_id, max(b.start) ORDER BY e.s, e.event_id) <= 2 AS allowed
+FROM e JOIN b ON b.user_id = e.user_id AND b.start <= e.s GROUP BY e.user_id, e.s, e.event_id""",
+)
+def fixed_bucket_limit(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "events").withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
+    return clients.fixed_buckets(rows, "user_id", "s", "event_id", 2, 86400)
+
+
+@query(
+    "sessions_idle_30m",
+    """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w > INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM g)
+SELECT user_id, session, min(ts) AS start, max(ts) AS "end", count(*) AS requests FROM s GROUP BY user_id, session""",
+)
+def sessions_idle_30m(spark: SparkSession, folder: str) -> DataFrame:
+    return clients.sessions(read(spark, folder, "events"), "user_id", "ts", "event_id")
+
+
+@query("tumbling_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+@query("client_key", "SELECT * FROM (VALUES (1, '10.0.0.2'), (2, 'unknown'), (3, 'b'), (4, 'unknown')) v(id, client)")
+def client_key(spark: SparkSession, folder: str) -> DataFrame:
+    rows = values(spark, [(1, "1.1.1.1, 10.0.0.2"), (2, ""), (3, "a, b, , "), (4, None)], "id int, h string")
+    return rows.select("id", clients.client_key(F.col("h")).alias("client"))
+
+
+@query("token_actors", "SELECT * FROM (VALUES (1, 'ayse', 'per-user-token'), (2, 'service', 'shared-token')) v(id, actor, assurance)")
+def token_actors(spark: SparkSession, folder: str) -> DataFrame:
+    requests = values(spark, [(1, "t1"), (2, "t2")], "id int, token string")
+    tokens = values(spark, [("t1", "ayse")], "t string, actor string").select(F.sha2("t", 256).alias("digest"), "actor")
+    return clients.actors(requests, tokens).select("id", "actor", "assurance")
+
+

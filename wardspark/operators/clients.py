@@ -76,7 +76,7 @@ def sessions(df: DataFrame, client: str, ts: str, order: str, idle_seconds: int
 
 def client_key(forwarded: Column) -> Column:
     """The last named hop of a forwarding header, else ``unknown``."""
-    hops = F.filter(F.transform(F.split(forwarded, ","), F.trim), lambda h: h != "")
+    hops = F.filter(F.transform(F.split(forwarded, ","), lambda h: F.trim(h)), lambda h: h != "")
     return F.coalesce(F.try_element_at(hops, F.lit(-1)), F.lit("unknown"))
 
 
