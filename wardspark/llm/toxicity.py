@@ -45,8 +45,8 @@ _FOLD = str.maketrans(
     HOMOGLYPHS | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | dict.fromkeys("​‌‍﻿\xad")
 )
 _SIGNS = str.maketrans(SUBSTITUTES)
-#: Words with a letter before or after a substitute; signs at the end of a word are punctuation.
-_MIXED = re.compile(r"[^\W_]*(?:[^\W\d_][0-9@$]+|[0-9@$]+(?=[^\W\d_]))(?:[\w@$]*[^\W_])?")
+#: Runs with a letter and perhaps substitutes; signs at the end of a run are punctuation.
+_MIXED = re.compile(r"(?=[\w@$]*[^\W\d_])[\w@$]*[^\W_]")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Cheap tests: whether a text has anything to fold at all.
 _FOREIGN = re.compile("[\xad\u0250-\u052f\u200b-\u200d\ufeff\uff01-\uff5e]")
