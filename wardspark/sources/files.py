@@ -24,7 +24,7 @@ def read_docs(spark: SparkSession, folder: str) -> DataFrame:
     names = r".*\.(md|txt)$"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     picked = files.where(F.lower("path").rlike(names) & (F.col("length") <= FILE_BYTES))
-    content = F.decode("content", F.lit("UTF-8"))
+    content = F.decode("content", "UTF-8")
     slug = F.regexp_replace(F.regexp_replace(F.lower("path"), r"^.*/", ""), r"\.(md|txt)$", "")
     return picked.select("path", content.alias("content"), F.concat(F.lit("docs."), slug).alias("_table")).orderBy("path").limit(FILES)
 
