@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardspark.functions import canon
-from wardspark.operators import clients, evidence, reconcile
+from wardspark.operators import clients, evidence, reconcile, records
 from wardspark.sources import catalog, files
 from wardspark.streaming import stateful
 
@@ -195,3 +195,19 @@ def test_sources(spark, tmp_path):
     files.append_records(spark.range(3), str(tmp_path / "log"))
     files.append_records(spark.range(2), str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 5
+
+
+def test_identifiers_and_briefs(spark):
+    ids = [r[0] for r in spark.range(200).select(records.ulid(F.lit(1469918176385).cast("long"))).collect()]
+    assert len(set(ids)) == 200 and all(len(i) == 26 and i.startswith("01ARYZ6S41") for i in ids)
+    text = records.brief({"A": spark.createDataFrame([(1, "x", None)], "id int, user_email string, n string"), "B": spark.range(0)})
+    assert text.splitlines() == ["## A", "| id | n |", "| --- | --- |", "| 1 |  |", "", "## B", "_empty_", ""][:7] and "x" not in text
+    assert records.args_hash({"b": 1, "a": 2}) == records.args_hash('{"a":2,"b":1}')
+
+
+def test_countersignatures(spark):
+    log = spark.createDataFrame([(1, "h1", canon.GENESIS)], "seq long, hash string, prev_hash string")
+    record = {"seq": 1, "x": 1, "sig": {"alg": "Ed25519", "keyId": "k", "value": "AA=="}}
+    record["hash"] = canon.entry_hash(record)
+    assert records.countersigned(record, log, {"k": bytes(32)}) == 13
+    assert records.countersigned(record | {"x": 2}, log, {}) == 14 and records.countersigned({"seq": 1}, log, {}) == 20

@@ -17,7 +17,7 @@ from wardspark.functions import patterns as P
 from wardspark.functions.custom import CustomPattern
 from wardspark.functions.names import label_by_name
 from wardspark.functions.scan import Detectors
-from wardspark.operators import clients, evidence, mask, reconcile, search
+from wardspark.operators import clients, evidence, mask, reconcile, records, search
 from wardspark.plans import caps
 from wardspark.plans.policy import Policy
 from wardspark.sources import catalog, files
@@ -369,14 +369,26 @@ def col_name_heuristic(spark: SparkSession, folder: str) -> DataFrame:
     return values(spark, [(c, label_by_name(c)) for c in _COLUMNS], "column_name string, label string")
 
 
+_NAMES = ("CUSTOMER_NAME", "email_addr", "client_ip", "zip", "qty", "Iban", "pan", "company", "cvv2", "price")
+
+
 @query(
     "suggest_mask_columns",
-    "SELECT DISTINCT '*.' || lower(c) AS rule FROM (VALUES ('CUSTOMER_NAME'), ('email_addr'), ('gsm'), ('qty'), ('Iban'), ('birth_date'), ('price')) v(c) "
-    "WHERE regexp_matches(lower(c), 'customer_name|e_?mail|gsm|iban|birth')",
+    "SELECT DISTINCT '*.' || lower(c) AS rule FROM (VALUES ('CUSTOMER_NAME'), ('email_addr'), ('client_ip'), ('zip'), ('qty'), ('Iban'), ('pan'), ('company'), ('cvv2'), ('price')) v(c) "
+    "WHERE lower(c) IN ('customer_name', 'email_addr', 'client_ip', 'iban', 'pan', 'cvv2')",
 )
 def suggest_mask_columns(spark: SparkSession, folder: str) -> DataFrame:
-    names = values(spark, [(c,) for c in ("CUSTOMER_NAME", "email_addr", "gsm", "qty", "Iban", "birth_date", "price")], "column_name string")
-    return mask.suggested_masks(spark, names)
+    return mask.suggested_masks(values(spark, [(c,) for c in _NAMES], "column_name string"))
+
+
+@query(
+    "drafted_policy",
+    "SELECT * FROM (VALUES ('public.people', TRUE, 'home_address,user_email'), ('public.salary_2024', FALSE, NULL), ('public.stock', TRUE, '')) v(table_name, allowed, masks)",
+)
+def drafted_policy(spark: SparkSession, folder: str) -> DataFrame:
+    rows = [("public.people", "id"), ("public.people", "user_email"), ("public.people", "home_address"), ("public.salary_2024", "amount"), ("public.stock", "qty")]
+    found = records.drafted(values(spark, rows, "table_name string, column_name string"))
+    return found.select("table_name", "allowed", F.array_join("mask_columns", ",").alias("masks"))
 
 
 # Detectors as expressions over whole texts.
@@ -811,6 +823,36 @@ def audit_entry_hash(spark: SparkSession, folder: str) -> DataFrame:
     return values(spark, lines, "id int, line string").select("id", evidence.entry_hashes(F.col("line")).alias("digest"))
 
 
+@query(
+    "redacted_listing",
+    """SELECT * FROM (VALUES (1, '{"a":"see [REDACTED]","api_key":"[REDACTED]","n":[1,{"url":"[REDACTED]"}]}'), (2, '[REDACTED]'), (3, NULL)) v(id, line)""",
+)
+def redacted_listing(spark: SparkSession, folder: str) -> DataFrame:
+    rows = [(1, '{"a": "see sk-abcdefghijklmn", "api_key": "x", "n": [1, {"url": "u"}]}'), (2, "{no json"), (3, None)]
+    return values(spark, rows, "id int, line string").withColumn("line", records.redacted(F.col("line")))
+
+
+@query(
+    "disclosure_commitment",
+    """SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'sha256:' || sha256(text) END AS hash, CAST(CASE WHEN doc_id % 3 > 0 THEN strlen(text) END AS VARCHAR) AS bytes,
+CASE WHEN doc_id % 3 > 0 THEN 'measured' ELSE 'undeclared' END AS source FROM documents""",
+)
+def disclosure_commitment(spark: SparkSession, folder: str) -> DataFrame:
+    d = records.disclosure(F.col("text"), F.col("doc_id") % 3 > 0, F.lit(False))
+    return read(spark, folder, "documents").select("doc_id", d.alias("d")).select("doc_id", "d.hash", F.col("d.bytes").cast("string").alias("bytes"), "d.source")
+
+
+@query(
+    "receipt_data_refs",
+    "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'shop.a,shop.t' || user_id % 3 ELSE 'shop.a' END AS refs FROM events",
+)
+def receipt_data_refs(spark: SparkSession, folder: str) -> DataFrame:
+    n = F.col("event_id")
+    tool, target = F.when(n % 7 == 0, "describe_table").otherwise("query"), F.concat(F.lit("shop.t"), (F.col("user_id") % 3).cast("string"))
+    refs = records.data_refs(F.array(F.lit("shop.a"), F.lit("shop.a")), tool, target, F.lit("db"))
+    return read(spark, folder, "events").select("event_id", F.array_join(refs["object"], ",").alias("refs"))
+
+
 # Reconciliation: statements with counters before and after, and receipts made from events.
 
 _STATEMENTS = [

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -217,15 +217,14 @@ def pseudonymise(df: DataFrame, text: str, tokens: DataFrame) -> DataFrame:
     return df.withColumn(text, out)
 
 
-def suggested_masks(spark: SparkSession, columns: DataFrame) -> DataFrame:
+def suggested_masks(columns: DataFrame) -> DataFrame:
     """Mask rules ``*.column`` for columns (column_name) whose name hints at personal data."""
-    del spark
-    hints = "|".join(P_HINTS)
-    return columns.where(F.lower("column_name").rlike(hints)).select(F.concat(F.lit("*."), F.lower("column_name")).alias("rule")).distinct()
+    hints = "(?i)" + "|".join(PRIVATE_HINTS)
+    return columns.where(F.col("column_name").rlike(hints)).select(F.concat(F.lit("*."), F.lower("column_name")).alias("rule")).distinct()
 
 
 #: Name parts that hint at personal data.
-P_HINTS = (
-    "e_?mail", "phone", "mobile", "gsm", "tckn", "tc_?no", "national_?id", "ssn", "iban", "card", "passport", "address",
-    "birth", "first_?name", "last_?name", "full_?name", "surname", "customer_?name", "salary", "secret|token|password",
+PRIVATE_HINTS = (
+    "adres", "address", "name", "ad_soyad", "soyad", "mahalle", "ilce", "passport", "pasaport", "(?:^|[._-])ip(?:$|[._-])", "tckn", "email",
+    "iban", "phone", "telefon", "holder", "(?:^|[._-])pan(?:$|[._-])", "cvv", "tc_no", "tcno",
 )
