@@ -5,8 +5,7 @@ orders: order t starts at value t * DEPTH. Documents that share the first DEPTH
 Depth adapts to the region: one with at most WINDOW documents is read at that depth, and each document meets all its
 neighbours; in a larger one the order is followed deeper, each document meets the NEIGHBOURS that stand next to it
 in the full order, where the common prefix is longest, and the smallest id of the region. What a large region may miss
-is found exactly: its documents are joined on their rarest shingles (prefix filter), as far as they are in
-different components by then.
+is found exactly: its documents outside its commonest component are held against all of its documents, in blocks.
 
 Candidates whose signatures agree in too few values are dropped (six standard deviations below the limit); the others
 are confirmed on the full sets of both texts. Two texts at the limit share a region with probability
@@ -37,7 +36,7 @@ WINDOW, NEIGHBOURS = 32, 2
 AGREE = int(TREES * DEPTH * (SIMILARITY / 100 - 6 * (0.75 * 0.25 / (TREES * DEPTH)) ** 0.5))
 
 SIGNED = "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary"
-ROWS = "region long, deep long, id long"
+ROWS = "region long, tree int, deep long, id long"
 PAIRS = "a long, b long"
 
 
@@ -87,7 +86,12 @@ def forest(reps: DataFrame) -> DataFrame:
                     region = _mix(keys + _mix(np.arange(1, TREES + 1, dtype=np.uint64)))
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), TREES)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(region.view(np.int64).ravel()), pa.array(np.roll(keys, -1, 1).view(np.int64).ravel()), pa.array(ids)],
+                    [
+                        pa.array(region.view(np.int64).ravel()),
+                        pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(keys))),
+                        pa.array(np.roll(keys, -1, 1).view(np.int64).ravel()),
+                        pa.array(ids),
+                    ],
                     schema=schema,
                 )
 
@@ -161,39 +165,68 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return common > 0 and 100 * common >= SIMILARITY * (len(x) + len(y) - common)
 
 
-def rare_pairs(dense: DataFrame, docs: DataFrame) -> DataFrame:
-    """Exact candidates among ``dense`` (id, comp) in different components: pairs that share one of the shingles that,
-    with the rarest first, a pair at the limit must share."""
-
-    def rows(x: dict) -> dict:
-        sets = shingle_sets([(t or "").encode() for t in x["text"]])
-        return {
-            "id": [i for i, s in zip(x["id"], sets, strict=True) for _ in s],
-            "comp": [c for c, s in zip(x["comp"], sets, strict=True) for _ in s],
-            "n": [len(s) for s in sets for _ in s],
-            "shingle": np.concatenate(sets).view(np.int64) if sets else [],
-        }
-
-    from pyspark.sql import Window
-
-    texts = dense.join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
-    grams = stored(arrow_map(texts.select("id", "comp", "text"), "id long, comp long, n long, shingle long", rows))
-    counts = grams.groupBy("shingle").agg(F.count("*").alias("often"))
-    order = Window.partitionBy("id").orderBy("often", "shingle")
-    first = F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1
-    prefix = grams.join(counts.where("often > 1"), "shingle").withColumn("unique", F.lit(0))
-    # shingles of a single document come first in its order and meet nobody
-    singles = grams.groupBy("id").agg(F.count("*").alias("mine"))
-    met = prefix.groupBy("id").agg(F.count("*").alias("met"))
-    skip = singles.join(met, "id").select("id", (F.col("mine") - F.col("met")).alias("alone"))
-    ranked = prefix.join(skip, "id").withColumn("place", F.row_number().over(order) + F.col("alone")).where(F.col("place") <= first)
-    ranked = stored(ranked.select("shingle", "id", "comp", "n"))
-    mixed = ranked.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("shingle")
-    lists = ranked.join(mixed, "shingle")
-    left = lists.select("shingle", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    right = lists.select("shingle", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY
-    return left.join(right, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
+#: Rows of a block of queries and of a block of the region in the search of large regions.
+BLOCK_ROWS = 512
+
+
+def searched(placed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links that the neighbours of large regions did not show, found exactly.
+
+    placed: region, tree, id, comp. In each region the documents outside its commonest component are queries against
+    all documents of the region, in blocks of about BLOCK_ROWS; only links leave a block, never the pairs compared."""
+    import pandas as pd
+
+    per = placed.groupBy("region", "comp").agg(F.count("*").alias("n"))
+    sizes = per.groupBy("region").agg(
+        F.sum("n").alias("m"), F.max(F.struct("n", F.col("comp").alias("main"))).alias("top"), F.count("*").alias("comps")
+    ).where("comps > 1").select("region", "m", "top.main", (F.col("m") - F.col("top.n")).alias("o"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
+    spread = lambda n, *salt: F.pmod(F.xxhash64("id", *salt), blocks(n))
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    ids = placed.join(sizes.select("region"), "region").select("id").distinct()
+    held = stored(texts.join(ids, "id").join(reps, "id"))
+    rows = placed.join(sizes, "region").join(held, "id")
+    columns = ("tree", "id", "comp", "sig", "text")
+    asked = stored(rows.where("comp <> main").select("region", spread("o", F.lit(1)).alias("query_block"), each("m").alias("block"), *columns))
+    against = rows.select("region", each("o").alias("query_block"), spread("m").alias("block"), *columns)
+
+    def run(queries: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        if len(queries) and len(others):
+            tree = int(queries["tree"].iloc[0])
+            values = [np.frombuffer(b"".join(f["sig"]), "<u2").reshape(len(f), -1) for f in (queries, others)]
+            keys = [np.ascontiguousarray(v).view("<u8") for v in values]
+            known: dict[int, np.ndarray] = {}
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
+            def shingles(frame: pd.DataFrame, k: int) -> np.ndarray:
+                i = frame["id"].iat[k]
+                if i not in known:
+                    known[i] = shingle_sets([frame["text"].iat[k].encode()])[0]
+                return known[i]
+
+            comps = others["comp"].to_numpy()
+            for k in range(len(queries)):
+                own = queries["comp"].iat[k]
+                near = ((values[1] == values[0][k]).sum(axis=1) >= AGREE) & (comps != own)
+                # a pair that shares an earlier region is compared there
+                near &= ~(keys[1][:, :tree] == keys[0][k, :tree]).any(axis=1)
+                for j in np.flatnonzero(near).tolist():
+                    a, b = find(int(own)), find(int(comps[j]))
+                    if a != b and similar(shingles(queries, k), shingles(others, j)):
+                        root[max(a, b)] = min(a, b)
+                        x, y = int(queries["id"].iat[k]), int(others["id"].iat[j])
+                        out.append((min(x, y), max(x, y)))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    keys = ("region", "query_block", "block")
+    return asked.groupBy(*keys).cogroup(against.groupBy(*keys)).applyInPandas(run, PAIRS)
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -213,12 +246,8 @@ def groups(docs: DataFrame) -> DataFrame:
     roots = components(links)
     large = live.where(F.col("n") > WINDOW)
     if not large.isEmpty():
-        placed = large.join(roots, "id", "left").select("region", "id", F.coalesce("root", "id").alias("comp"))
-        mixed = placed.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("region")
-        dense = stored(placed.join(mixed, "region").select("id", "comp").distinct())
-        if not dense.isEmpty():
-            links = links.unionByName(confirmed(stored(agreeing(rare_pairs(dense, docs), reps)), docs))
-            roots = components(links)
+        placed = stored(large.join(roots, "id", "left").select("region", "tree", "id", F.coalesce("root", "id").alias("comp")))
+        roots = components(links.unionByName(searched(placed, reps, docs)))
     named = stored(
         classes.join(roots, "id", "left").select(*same, F.coalesce("root", "id").alias("component"))
     )
