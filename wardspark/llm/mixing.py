@@ -21,6 +21,8 @@ from wardspark.llm.common import stored, table
 
 MARGINS = ("source", "lang", "topic")
 ITERATIONS, SCALE_STEPS = 10, 6
+#: Tables of cells up to this size are raked in one task, larger ones in windows over all executors.
+ONE_TASK_CELLS = 50_000
 #: First rule that matches gives the topic; otherwise it is prose.
 TOPICS = (
     ("legal", ("icensed under", "License")),
@@ -41,25 +43,25 @@ class Targets:
     seed: str = "mix"
 
 
-def _topic() -> Column:
-    out = F.when(F.coalesce(F.col("text"), F.lit("")) == "", "empty")
+def _topic(text: Column) -> Column:
+    out = F.when(F.coalesce(text, F.lit("")) == "", "empty")
     for name, marks in TOPICS:
         hit = F.lit(False)
         for mark in marks:
-            hit = hit | F.contains("text", F.lit(mark))
+            hit = hit | F.contains(text, F.lit(mark))
         out = out.when(hit, name)
     return out.otherwise("prose")
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """``docs`` and its margins and tokens (words) as columns _source, _lang, _topic and _tokens."""
-    return docs.withColumns(
-        {
-            "_source": F.coalesce(F.col("source").cast("string"), F.lit("unknown")),
-            "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("unknown")),
-            "_topic": _topic(),
-            "_tokens": F.coalesce(F.regexp_count("text", F.lit(r"[^ \t\n\r\f]+")), F.lit(0)).cast("long"),
-        }
+    """_row (all columns of ``docs``, whatever their names), _source, _lang, _topic and _tokens (words)."""
+    text = F.col("text")
+    return docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
+        F.coalesce(F.col("source").cast("string"), F.lit("unknown")).alias("_source"),
+        F.coalesce(F.col("lang").cast("string"), F.lit("unknown")).alias("_lang"),
+        _topic(text).alias("_topic"),
+        F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\r\f]+")), F.lit(0)).cast("long").alias("_tokens"),
     )
 
 
@@ -76,22 +78,26 @@ def _target(margin: str, target: dict[str, float] | float) -> Column:
 
 def raked(cells: DataFrame, targets: Targets, iterations: int = ITERATIONS) -> DataFrame:
     """Cells (_source, _lang, _topic, tokens) with ``weight``, whose margins meet the target shares."""
+    whole = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    base, cells = cells, cells.withColumns({"weight": F.col("tokens").cast("double"), "whole": F.lit(whole)})
     for margin in MARGINS:
-        sums = cells.groupBy(f"_{margin}").agg(F.sum("tokens").alias("own"))
-        whole = cells.agg(F.sum("tokens").alias("whole"))
-        shares = sums.join(F.broadcast(whole)).withColumn(f"share_{margin}", F.coalesce(F.try_divide(F.col("own").cast("double"), "whole"), F.lit(0.0)))
-        aimed = shares.select(f"_{margin}", F.when(F.col("own") > 0, _target(margin, getattr(targets, margin))).otherwise(0.0).alias("aim"))
-        total = aimed.agg(F.sum("aim").alias("all_aims"))
-        aims = aimed.join(F.broadcast(total)).select(f"_{margin}", F.try_divide("aim", "all_aims").alias(f"aim_{margin}"))
-        cells = cells.join(aims, f"_{margin}")
-    whole = cells.agg(F.sum("tokens").cast("double").alias("whole"))
-    cells = stored(cells.join(F.broadcast(whole)).withColumn("weight", F.col("tokens").cast("double")))
+        sums = base.groupBy(f"_{margin}").agg(F.sum("tokens").alias("own"))
+        shares = sums.withColumn(f"share_{margin}", F.coalesce(F.try_divide(F.col("own").cast("double"), F.lit(whole)), F.lit(0.0)))
+        aim = F.when(F.col("own") > 0, _target(margin, getattr(targets, margin))).otherwise(0.0)
+        aims = shares.select(f"_{margin}", aim.alias("aim"))
+        total = float(aims.agg(F.sum("aim")).first()[0] or 0)
+        cells = cells.join(aims.select(f"_{margin}", F.try_divide("aim", F.lit(total)).alias(f"aim_{margin}")), f"_{margin}")
+    cells = stored(cells)
+    small = cells.count() <= ONE_TASK_CELLS
     for _ in range(iterations):
+        # each iteration is a plan of its own; a small table of cells needs no shuffle for its three windows
+        cells = cells.coalesce(1) if small else cells
         for margin in MARGINS:
             own = F.sum("weight").over(Window.partitionBy(f"_{margin}"))
             aim = F.col(f"aim_{margin}") * F.col("whole")
             cells = cells.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * aim, own), F.lit(0.0)))
-    return stored(cells)
+        cells = stored(cells)
+    return cells
 
 
 def calibrated(cells: DataFrame, keep: float) -> DataFrame:
@@ -113,12 +119,12 @@ def calibrated(cells: DataFrame, keep: float) -> DataFrame:
 
 def draw(seed: str) -> Column:
     """Uniform in [0, 1) by doc_id."""
-    text = F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    text = F.concat(F.lit(seed), F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
 def weighed(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
-    """``docs`` with _source, _lang, _topic, _tokens, _weight, _probability and _selected. One pass counts the cells,
+    """_row, _source, _lang, _topic, _tokens, _weight, _probability and _selected of every row. One pass counts the cells,
     one joins them back; the side of the cells is broadcast by its size on disk, or else the join is split by AQE."""
     targets = targets or Targets()
     rows = described(docs)
@@ -133,12 +139,12 @@ def weighed(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
 
 def sample(docs: DataFrame, targets: Targets | None = None) -> DataFrame:
     """The documents drawn, with their own columns."""
-    return weighed(docs, targets).where("_selected").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return weighed(docs, targets).where("_selected").select("_row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighed(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")).select(
-        "doc_id",
+        "_row.doc_id",
         F.col("_source").alias("source"),
         F.col("_lang").alias("lang"),
         F.col("_topic").alias("topic"),
