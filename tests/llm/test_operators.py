@@ -275,9 +275,10 @@ def test_mixing_meets_its_margins(spark):
 
 
 def test_mixing_of_odd_rows(spark, docs):
-    out = {r["doc_id"]: r for r in mixing.weighed(docs).collect()}
+    out = {r["_row"]["doc_id"]: r for r in mixing.weighed(docs).collect()}
     assert out[2]["_tokens"] == 0 and out[2]["_topic"] == "empty" and out[3]["_source"] == "unknown"
-    assert mixing.sample(docs).columns == docs.columns and mixing.weighed(docs.limit(0)).count() == 0
+    kept = mixing.sample(docs, mixing.Targets(keep=1.0))
+    assert kept.schema == docs.schema and {r["_tokens"] for r in kept.collect()} == {1} and mixing.weighed(docs.limit(0)).count() == 0
 
 
 def test_native_operator_runs_no_python(spark, folder):

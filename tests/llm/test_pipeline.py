@@ -25,7 +25,7 @@ def test_stages(spark, folder):  # noqa: F811
             s = secrets.Scanner(secrets.tiktoken_file())
             assert set(got) == set(texts) and all(not t["text"] or not s.base(t["text"]) for t in got.values())
         elif k == 3:
-            p = {r["doc_id"]: r["_probability"] for r in mixing.weighed(docs).collect()}
+            p = {r["_row"]["doc_id"]: r["_probability"] for r in mixing.weighed(docs).collect()}
             assert set(got) == {i for i in texts if draw(i) < p[i]}
         else:
             assert {r["doc_id"] for r in after.collect()} == set(texts)

@@ -14,7 +14,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,17 +135,17 @@ def redact(docs: DataFrame, vocabulary: str | None = None, limit: float = MAX_CH
             at = max(at, b)
         return "".join(out) + text[at:] if out else text
 
-    def rows(x: dict) -> dict:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = kept.get("scanner") or kept.setdefault("scanner", Scanner(vocabulary, limit))
-        return x | {"text": [clean(scanner, t) for t in x["text"]]}
+        for batch in batches:
+            k = batch.schema.get_field_index("text")
+            columns = list(batch.columns)
+            columns[k] = pa.array([clean(scanner, t) for t in columns[k].to_pylist()], batch.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    made = arrow_map(docs, _ddl(docs), rows)
+    made = docs.mapInArrow(run, docs.schema)
     return made.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else made
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{n.replace('`', '``')}` {t}" for n, t in df.dtypes)
-
-
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents", "doc_id", "text"))
