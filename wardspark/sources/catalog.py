@@ -22,6 +22,10 @@ TABLES = (
 
 def register(spark: SparkSession, folder: str, database: str = DATABASE, tables: tuple[str, ...] = TABLES) -> None:
     """Unmanaged tables ``database.name`` over the Parquet files of a folder; only their definitions are kept."""
+    # what a session has registered stands in its settings, so that each statement does not ask for every table again
+    key, state = f"spark.wardspark.catalog.{database}", f"{folder}:{','.join(tables)}"
+    if spark.conf.get(key, None) == state and spark.catalog.databaseExists(database):
+        return
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name in tables:
         path = f"{folder.rstrip('/')}/{name}.parquet"
@@ -31,6 +35,7 @@ def register(spark: SparkSession, folder: str, database: str = DATABASE, tables:
         if known:
             spark.sql(f"DROP TABLE {database}.{name}")
         spark.catalog.createTable(f"{database}.{name}", path=path, source="parquet")
+    spark.conf.set(key, state)
 
 
 def _location(spark: SparkSession, table: str) -> str:
