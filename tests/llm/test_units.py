@@ -192,6 +192,32 @@ def test_toxicity_learns_on_made_up_rows():
     assert toxicity.learn([], np.array([])).entries == ()
 
 
+def test_toxicity_learns_below_stems_that_clean_words_share():
+    rng = random.Random(8)
+    ends = ["ung", "keit", "lich", "heit"]
+    fill = ["".join(rng.choice("bcdefgh") for _ in range(5)) for _ in range(200)]
+    texts, labels = [], []
+    for i in range(600):
+        text = rng.choices(fill, k=40)
+        if i % 6 == 0:
+            text[3] = rng.choice(["ambigut" + rng.choice(ends), "uz", "y" * 30])
+        elif i % 4 == 1:
+            text[3] = rng.choice(["ambigua" + rng.choice(ends), "uza", "y" * 20])
+        texts.append(" ".join(text))
+        labels.append(float(i % 6 == 0))
+    toxic = np.array(labels)
+    entries = {(e, whole) for e, _, whole in toxicity.learn(texts, toxic).entries}
+    assert entries == {("ambigut", False), ("uz", True), ("y" * 30, True)}
+
+    words = [{w + " " for w in t.split()} for t in texts]
+    count = lambda p, y: sum(any(w.startswith(p) for w in ws) for ws, t in zip(words, toxic, strict=True) if t == y)
+    beginnings = {w[:k] for ws, t in zip(words, toxic, strict=True) if t for w in ws for k in range(1, len(w) + 1)}
+    passing = {p for p in beginnings if toxicity._evidence(count(p, 1), count(p, 0), toxic.mean()) >= toxicity.EVIDENCE}
+    shortest = {p for p in passing if not any(p[:k] in passing for k in range(1, len(p)))}
+    chosen = {e + " " * whole for e, whole in entries}
+    assert chosen <= passing and all(any(c.startswith(p) for c in chosen) for p in shortest)
+
+
 def test_quality_learns_on_made_up_rows():
     rng = random.Random(7)
     line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(12)) + "."

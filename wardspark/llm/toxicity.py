@@ -11,9 +11,11 @@ their own; without labelled rows of both classes every score is 0; extra columns
 
 from __future__ import annotations
 
+import bisect
 import math
+import os
 import re
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +29,6 @@ from wardspark.llm.fitting import apply_logistic, labelled_sample, logistic, rem
 DIVISOR, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Bound of the labelled sample from which lexicon and curve are learned.
 FIT_ROWS = 4000
-SHORTEST = 4
 #: An entry must beat the base rate of toxic documents at this level (natural logarithm of the p-value's bound).
 EVIDENCE = 9 * math.log(10)
 
@@ -107,43 +108,57 @@ class Matcher:
 
 
 def learn(texts: list[str], toxic: np.ndarray, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Entries are word beginnings that occur far more often in toxic documents than their share; each is extended
-    as long as that keeps nearly all the evidence, so that it is as specific as the data allow."""
+    """Entries are word beginnings and whole words that occur far more often in toxic documents than their share: from
+    the shortest that do, each is extended as long as that keeps nearly all the evidence, so that it is as specific as
+    the data allow."""
     rate = toxic.mean() if len(toxic) else 0.0
     if not 0 < rate < 1:
         return Lexicon((), (), exceptions)
-    words = [set(_WORD.findall(fold(t))) for t in texts]
-
-    def count(pick) -> tuple[Counter, Counter]:
-        bad, fine = Counter(), Counter()
-        for seen, y in zip(words, toxic, strict=True):
-            (bad if y else fine).update({p for w in seen for p in pick(w)})
-        return bad, fine
-
-    bad, fine = count(lambda w: [w[:SHORTEST]] if len(w) >= SHORTEST else [])
-    live = {p for p, n in bad.items() if _evidence(n, fine[p], rate) >= EVIDENCE}
-    bad, fine = count(
-        lambda w: [*(w[:k] for k in range(SHORTEST, min(len(w), 16) + 1)), f"{w} "] if w[:SHORTEST] in live else []
-    )
-    longer: dict[str, list[str]] = {}
-    for p in bad:
-        longer.setdefault(p[:-1], []).append(p)
     entries = []
-    for p in sorted(live):
-        while True:
-            best = max(longer.get(p, []), key=lambda q: (bad[q], q), default="")
-            if not best or _evidence(bad[best], fine[best], rate) < 0.95 * _evidence(bad[p], fine[p], rate):
-                break
-            p = best
-        if _evidence(bad[p], fine[p], rate) >= EVIDENCE:
-            weight = math.log((bad[p] + 0.5) / (toxic.sum() + 1)) - math.log((fine[p] + 0.5) / ((1 - toxic).sum() + 1))
-            entries.append((p.rstrip(), max(weight, 0.1), p.endswith(" ")))
+    for p, bad, fine in sorted(_beginnings(texts, toxic, rate)):
+        weight = math.log((bad + 0.5) / (toxic.sum() + 1)) - math.log((fine + 0.5) / ((1 - toxic).sum() + 1))
+        entries.append((p.rstrip(), max(weight, 0.1), p.endswith(" ")))
     lexicon = Lexicon(tuple(entries), (), exceptions)
     matcher = Matcher(lexicon)
     x = np.array([matcher.features(t)[:2] for t in texts])
     return Lexicon(lexicon.entries, tuple(logistic(x, toxic).tolist()), exceptions)
 
 
+def _beginnings(texts: list[str], toxic: np.ndarray, rate: float) -> Iterator[tuple[str, int, int]]:
+    """Chosen beginnings (a space closes a whole word), none of them a beginning of another, with their numbers of toxic
+    and clean documents. Beginnings are ranges of the sorted words; those that the same words share are one node."""
+    holders: dict[str, tuple[list[int], list[int]]] = {}
+    for i, (t, y) in enumerate(zip(texts, toxic, strict=True)):
+        for w in set(_WORD.findall(fold(t))):
+            holders.setdefault(f"{w} ", ([], []))[0 if y else 1].append(i)
+    words = sorted(holders)
+
+    def node(lo: int, hi: int) -> tuple[float, int, int, int, int]:
+        """Evidence, toxic and clean documents of words[lo:hi]; clean ones are counted only where evidence is possible."""
+        bad = len(set().union(*(holders[w][0] for w in words[lo:hi])))
+        if -bad * math.log(rate) < EVIDENCE:
+            return 0.0, bad, 0, lo, hi
+        fine = len(set().union(*(holders[w][1] for w in words[lo:hi])))
+        return _evidence(bad, fine, rate), bad, fine, lo, hi
+
+    open_nodes = [node(0, len(words))] if words else []
+    while open_nodes:
+        evidence, bad, fine, lo, hi = open_nodes.pop()
+        if -bad * math.log(rate) < EVIDENCE:  # nothing longer has more toxic documents
+            continue
+        shared = os.path.commonprefix([words[lo], words[hi - 1]])
+        k, longer = len(shared), []
+        while lo < hi and k < len(words[lo]):
+            end = bisect.bisect_right(words, words[lo][k], lo, hi, key=lambda w: w[k])
+            longer.append(node(lo, end))
+            lo = end
+        best = max(longer, key=lambda n: n[1], default=(0.0,))
+        if shared and evidence >= EVIDENCE and best[0] < 0.95 * evidence:
+            yield shared, bad, fine
+        else:
+            open_nodes += longer
+
+
 def _evidence(bad: int, fine: int, rate: float) -> float:
     """Bound on -log p of so many toxic documents among those with the entry (Chernoff)."""
     n, q = bad + fine, bad / (bad + fine) if bad else 0.0
