@@ -246,6 +246,27 @@ def test_secret_spans():
     assert s.spans("") == ([], [])
 
 
+def test_random_stretches_inside_longer_runs():
+    s = secrets.Scanner(secrets.tiktoken_file())
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = ("database_connection_credential={}", "/static/assets/images/{}/preview", "client_credentials_for_production={}", "databaseConnectionCredential{}")
+    for form in forms:
+        found = 0
+        for _ in range(200):
+            key = "".join(rng.choices(letters, k=20))
+            text = f"see {form.format(key)} there"
+            at = text.index(key)
+            found += any(a <= at and at + 20 <= b for a, _, b in s.rare(text))
+        assert found >= 180, (form, found)
+    first, second = "x9Kq2Lm8Vb4Zt7Rw1Pgh", "Jw3nB6yTq8Xc5Lf0Hd2k"
+    text = f"connection_credential_for_production={first}/preview/database/connection/production/environment={second}"
+    assert [text[a:b] for a, _, b in s.rare(text)] == [first, second]
+    assert s.rare("database_connection_credential_for_the_production_environment=" + "d41d8cd98f00b204e9800998ecf8427e") == []
+    assert s.rare("/database/connection/credential/production/environment/123e4567-e89b-12d3-a456-426614174000/preview") == []
+    assert s.rare("/database/connection/credential_for_production_2/environment/version3") == []
+
+
 def test_secret_patterns_against_plain_reading():
     s = secrets.Scanner(secrets.tiktoken_file())
     assert [x[1:] for x in s.base("ſecret=abcdefgh paſſwd=abcdefgh")] == []  # letters beyond ASCII are no keywords

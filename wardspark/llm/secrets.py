@@ -3,7 +3,8 @@
 Text that people write needs few tokens for its length; a random string needs a token for every one or two
 characters. Candidates are runs of key characters that mix letters and digits; one whose characters per token
 under a tiktoken vocabulary fall below a limit is reported as ``rare``, unless it is a digest, a UUID or an
-identifier made of words.
+identifier made of words. Words joined to a key by signs (names, paths) dilute the average of the run; so where the run
+as a whole stays above the limit, its stretches are tested, and those below the limit are reported.
 
 Defined cases: a null text counts as empty and has no span; repeated rows are scanned each on its own; spans of
 different kinds may overlap, spans of one kind may not; extra columns are ignored by the scan and kept by ``redact``.
@@ -39,6 +40,16 @@ UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Identifiers: words in camel or snake case with at most a few digits at the end of each.
 IDENTIFIER = re.compile(r"[_/=+-]*(?:[A-Za-z]{3,}[0-9]{0,4}[_/=+-]+)*[A-Za-z]{3,}[0-9]{0,4}[_/=+-]*")
 MAX_CHARS_PER_TOKEN = 2.0
+SHORTEST = 16
+SIGNS = "=-_/+"
+#: Inside a run, what is never part of a stretch: UUIDs, and hex digits of a digest's length.
+EXEMPT = re.compile(
+    rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|"
+    + "|".join(f"[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}" for n in sorted(DIGEST_LENGTHS))
+    + ")(?![A-Za-z0-9])"
+)
+#: Parts of a run of at most so many characters go with the stretch beside them.
+SHORT_PART = 3
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_rare long"
 
@@ -79,11 +90,72 @@ class Scanner:
             word = m.group()
             if self.is_random(word):
                 found.append((m.start(), 3, m.end()))
+            elif len(word) > SHORTEST and self.has_key_characters(word):
+                at = 0
+                for a, b in [*(x.span() for x in EXEMPT.finditer(word)), (len(word), len(word))]:
+                    found += [(m.start() + at + x, 3, m.start() + at + y) for x, y in self.stretches(word[at:a])]
+                    at = b
         return found
 
+    def stretches(self, word: str) -> list[tuple[int, int]]:
+        """Random stretches inside ``word``, widened to the signs around them and over short parts: first the one that
+        saves most tokens against the limit, then those to its left and right."""
+        if len(word) < SHORTEST:
+            return []
+        ends, gains = [0], [0.0]
+        for token in self.encoding.encode_ordinary(word):
+            size = len(self.encoding.decode_single_token_bytes(token))
+            ends.append(ends[-1] + size)
+            piece = word[ends[-2] : ends[-1]]
+            gains.append(gains[-1] + (self.limit - size if piece.strip(SIGNS) else 0.0))
+        found, ranges = set(), [(0, len(ends) - 1)]
+        while ranges:
+            low, high = ranges.pop()
+            best, k, least = (0.0, 0, 0), low, low
+            for j in range(low + 1, high + 1):
+                while ends[j] - ends[k] >= SHORTEST:
+                    least = k if gains[k] < gains[least] else least
+                    k += 1
+                if k > low:
+                    best = max(best, (gains[j] - gains[least], least, j))
+            gain, i, j = best
+            if gain > 0:
+                a, b = self.widened(word, ends[i], ends[j])
+                if b - a >= SHORTEST and (self.is_random(word[a:b]) or self.is_random(word[ends[i] : ends[j]])):
+                    found.add((a, b))
+                ranges += [(low, i), (j, high)]
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(found):
+            if out and a < out[-1][1]:
+                a, b = out[-1][0], max(b, out.pop()[1])
+            out.append((a, b))
+        return out
+
+    @staticmethod
+    def widened(word: str, a: int, b: int) -> tuple[int, int]:
+        """The parts between signs that ``word[a:b]`` touches, and short ones beside them."""
+        while a < b and word[a] in SIGNS:
+            a += 1
+        while a < b and word[b - 1] in SIGNS:
+            b -= 1
+        parts = [m.span() for m in re.finditer(r"[A-Za-z0-9]+", word)]
+        touched = [k for k, (x, y) in enumerate(parts) if x < b and a < y]
+        if not touched:
+            return a, a
+        i, j = touched[0], touched[-1]
+        while i and parts[i - 1][1] - parts[i - 1][0] <= SHORT_PART:
+            i -= 1
+        while j + 1 < len(parts) and parts[j + 1][1] - parts[j + 1][0] <= SHORT_PART:
+            j += 1
+        return parts[i][0], parts[j][1]
+
+    @staticmethod
+    def has_key_characters(word: str) -> bool:
+        return any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+
     def is_random(self, word: str) -> bool:
-        core = word.strip("=-_/+")
-        if not (any(c.isdigit() for c in core) and any(c.isalpha() for c in core)):
+        core = word.strip(SIGNS)
+        if not self.has_key_characters(core):
             return False
         if len(core) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", core):
             return False
