@@ -267,6 +267,19 @@ def test_random_stretches_inside_longer_runs():
     assert s.rare("/database/connection/credential_for_production_2/environment/version3") == []
 
 
+def test_random_letters_and_letters_with_last_digits():
+    s = secrets.Scanner(secrets.tiktoken_file())
+    rng = random.Random(10)
+    small = "abcdefghijklmnopqrstuvwxyz"
+    for letters, n, share in ((small + small.upper(), 20, 0.97), (small + small.upper(), 32, 0.97), (small, 24, 0.85), (small.upper(), 24, 0.85)):
+        keys = ["".join(rng.choices(letters, k=n)) for _ in range(200)]
+        for form in ("{}", "{}47", "database_connection_credential={}"):
+            assert sum(bool(s.rare(form.format(k))) for k in keys) >= 200 * share, (letters, n, form)
+    assert s.rare("key KqZvXwTbRmHsLdNcJyPf here") == [(4, 3, 24)] and s.rare("KqZvXwTb/RmHsLdNcJyPf")
+    words = "getUserAccountInformation some_function_name2 MAXIMUM_BUFFER_LENGTH Donaudampfschifffahrtsgesellschaft internationalization 4111111111111111"
+    assert s.rare(words) == []
+
+
 def test_secret_patterns_against_plain_reading():
     s = secrets.Scanner(secrets.tiktoken_file())
     assert [x[1:] for x in s.base("ſecret=abcdefgh paſſwd=abcdefgh")] == []  # letters beyond ASCII are no keywords

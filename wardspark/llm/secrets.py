@@ -1,10 +1,11 @@
 """Secret scan: fixed patterns, and a token-efficiency test for random strings.
 
 Text that people write needs few tokens for its length; a random string needs a token for every one or two
-characters. Candidates are runs of key characters that mix letters and digits; one whose characters per token
-under a tiktoken vocabulary fall below a limit is reported as ``rare``, unless it is a digest, a UUID or an
-identifier made of words. Words joined to a key by signs (names, paths) dilute the average of the run; so where the run
-as a whole stays above the limit, its stretches are tested, and those below the limit are reported.
+characters. Candidates are runs of key characters with a letter; one whose characters per token under a tiktoken
+vocabulary fall below a limit is reported as ``rare``, unless it is a digest or a UUID. For runs that look like words
+joined by signs the limit is stricter, and capitals are read as small letters where the shape is one of words. Words
+joined to a key by signs (names, paths) dilute the average of the run; so where the run as a whole stays above the
+limit, its stretches are tested, and those below the limit are reported.
 
 Defined cases: a null text counts as empty and has no span; repeated rows are scanned each on its own; spans of
 different kinds may overlap, spans of one kind may not; extra columns are ignored by the scan and kept by ``redact``.
@@ -37,9 +38,11 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 #: Lengths in hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-#: Identifiers: words in camel or snake case with at most a few digits at the end of each.
+#: The shape of identifiers: words in camel or snake case with at most a few digits at the end of each.
 IDENTIFIER = re.compile(r"[_/=+-]*(?:[A-Za-z]{3,}[0-9]{0,4}[_/=+-]+)*[A-Za-z]{3,}[0-9]{0,4}[_/=+-]*")
 MAX_CHARS_PER_TOKEN = 2.0
+#: The limit as a share of the other for what has this shape and several words, or is cut out of a word.
+SHAPED_SHARE = 0.9
 SHORTEST = 16
 SIGNS = "=-_/+"
 #: Inside a run, what is never part of a stretch: UUIDs, and hex digits of a digest's length.
@@ -90,7 +93,7 @@ class Scanner:
             word = m.group()
             if self.is_random(word):
                 found.append((m.start(), 3, m.end()))
-            elif len(word) > SHORTEST and self.has_key_characters(word):
+            elif len(word) > SHORTEST:
                 at = 0
                 for a, b in [*(x.span() for x in EXEMPT.finditer(word)), (len(word), len(word))]:
                     found += [(m.start() + at + x, 3, m.start() + at + y) for x, y in self.stretches(word[at:a])]
@@ -121,7 +124,11 @@ class Scanner:
             gain, i, j = best
             if gain > 0:
                 a, b = self.widened(word, ends[i], ends[j])
-                if b - a >= SHORTEST and (self.is_random(word[a:b]) or self.is_random(word[ends[i] : ends[j]])):
+                if b - a >= SHORTEST and (
+                    self.is_random(word[a:b])
+                    or not (IDENTIFIER.fullmatch(word, a, b) and not word[a:b].isalnum())
+                    and self.is_random(word[ends[i] : ends[j]], cut=True)
+                ):
                     found.add((a, b))
                 ranges += [(low, i), (j, high)]
         out: list[tuple[int, int]] = []
@@ -149,19 +156,17 @@ class Scanner:
             j += 1
         return parts[i][0], parts[j][1]
 
-    @staticmethod
-    def has_key_characters(word: str) -> bool:
-        return any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
-
-    def is_random(self, word: str) -> bool:
+    def is_random(self, word: str, cut: bool = False) -> bool:
         core = word.strip(SIGNS)
-        if not self.has_key_characters(core):
+        if not any(c.isalpha() for c in core):
             return False
         if len(core) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", core):
             return False
-        if UUID.fullmatch(core) or IDENTIFIER.fullmatch(core):
+        if UUID.fullmatch(core):
             return False
-        return len(core) < self.limit * len(self.encoding.encode_ordinary(core))
+        shaped = IDENTIFIER.fullmatch(core) or not any(c.isdigit() for c in core)
+        limit = self.limit * (SHAPED_SHARE if shaped and (cut or not core.isalnum()) else 1)
+        return len(core) < limit * len(self.encoding.encode_ordinary(core.lower() if shaped and core.isupper() else core))
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         return sorted(self.base(text)), sorted(self.rare(text))
