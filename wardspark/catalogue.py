@@ -100,6 +100,11 @@ statement(
     "SELECT s_suppkey AS k, s_name AS n FROM tpch.supplier UNION ALL SELECT c_custkey, c_name FROM tpch.customer WHERE c_custkey <= 50",
     "SELECT s_suppkey AS k, '[MASKED_PII]' AS n FROM supplier UNION ALL SELECT c_custkey, '[MASKED_PII]' FROM customer WHERE c_custkey <= 50",
 )
+statement(
+    "gov_union_mask_all",
+    "SELECT k, n FROM (SELECT s_suppkey AS k, s_name AS n FROM tpch.supplier UNION ALL SELECT c_custkey, c_name FROM tpch.customer) AS u ORDER BY k",
+    "SELECT k, '[MASKED_PII]' AS n FROM (SELECT s_suppkey AS k FROM supplier UNION ALL SELECT c_custkey FROM customer) ORDER BY k LIMIT 10000",
+)
 statement(
     "gov_union_cap",
     "SELECT k FROM (SELECT c_custkey AS k FROM tpch.customer UNION SELECT s_suppkey AS k FROM tpch.supplier) AS u ORDER BY k",
@@ -213,6 +218,11 @@ statement(
     "SELECT event_id, extract(YEAR FROM ts) AS y, substring(event_type, 1, 3) AS head, get_json_object(props, '$.k') AS k FROM tpch.events WHERE event_id < 500",
     "SELECT event_id, CAST(extract(YEAR FROM ts) AS INTEGER) AS y, substring(event_type, 1, 3) AS head, json_extract_string(props, '$.k') AS k FROM events WHERE event_id < 500",
 )
+statement(
+    "gov_extract_json_all",
+    "SELECT event_id, extract(YEAR FROM ts) AS y, substring(event_type, 1, 3) AS head, get_json_object(props, '$.k') AS k FROM tpch.events ORDER BY event_id",
+    "SELECT event_id, CAST(extract(YEAR FROM ts) AS INTEGER) AS y, substring(event_type, 1, 3) AS head, json_extract_string(props, '$.k') AS k FROM events ORDER BY event_id LIMIT 10000",
+)
 
 
 def decisions(name: str, cases: list[tuple[str, str, str, str]], **policy) -> None:
@@ -318,6 +328,13 @@ def gov_mssql_top(spark: SparkSession, folder: str) -> DataFrame:
     return governed.query(spark, sql, Policy(allow_tables=("tpch.*",), dialect="mssql", max_rows=50)).df
 
 
+@query("gov_mssql_top_all", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50")
+def gov_mssql_top_all(spark: SparkSession, folder: str) -> DataFrame:
+    catalog.register(spark, folder)
+    sql = "SELECT TOP 9999 o_orderkey FROM tpch.[orders] ORDER BY o_orderkey"
+    return governed.query(spark, sql, Policy(allow_tables=("tpch.*",), dialect="mssql", max_rows=50)).df
+
+
 @query("gov_oracle_fetch", "SELECT r_name FROM region ORDER BY r_name LIMIT 3")
 def gov_oracle_fetch(spark: SparkSession, folder: str) -> DataFrame:
     catalog.register(spark, folder)
