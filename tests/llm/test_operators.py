@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,25 @@ def test_telephony_column_becomes_pcm(spark):
     assert media.parse_wav(bytes(made[3]))[4] == bytes(2 * 2 * 2 * 65) and made[4] is None and media.parse_wav(bytes(made[5]))[4] == b""
 
 
+def test_short_last_block_and_channels_become_pcm(spark):
+    rng = np.random.default_rng(12)
+    left, right = (rng.integers(0, 256, 36 + 20).astype(np.uint8).tobytes() for _ in range(2))
+    turns = b"".join(left[i : i + 4] + right[i : i + 4] for i in range(0, len(left), 4))
+    sound = bytes(range(256))
+    both = bytes(x for a, b in zip(sound, reversed(sound), strict=True) for x in (a, b))
+    rows_ = [
+        (1, media.wav(media.IMA_ADPCM, 16000, left, 36, 4)),
+        (2, media.wav(media.IMA_ADPCM, 16000, turns, 72, 4, 2)),
+        (3, media.wav(media.MULAW, 16000, both, 2, 8, 2)),
+    ]
+    made = {r["id"]: media.parse_channels(bytes(r["pcm"])) for r in media.to_pcm(spark.createDataFrame(rows_, "id int, media binary")).collect()}
+    want = [np.concatenate([media.decode_blocks(np.frombuffer(x, np.uint8).reshape(1, -1))[0] for x in (d[:36], d[36:])]) for d in (left, right)]
+    assert made[1][:5] == (1, media.PCM, 16000, 2, 16) and made[1][5] == want[0].astype("<i2").tobytes()
+    assert made[2][:5] == (2, media.PCM, 16000, 4, 16) and made[2][5] == np.column_stack(want).astype("<i2").tobytes()
+    table = media.mulaw_table()
+    assert made[3][5] == np.column_stack([table, table[::-1]]).astype("<i2").tobytes()
+
+
 def test_classifier_queries(spark, folder):
     for name, held in (("op2_toxicity", lambda i: zlib.crc32(str(i).encode()) % 4 == 2), ("op4_quality", lambda i: zlib.crc32(str(i).encode()) % 5 == 0)):
         found = {r["doc_id"]: r for r in QUERIES[name](spark, folder).collect()}

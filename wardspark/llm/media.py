@@ -7,7 +7,8 @@ Any bytes can be kept as 8-bit mu-law samples without loss; ``store_payload`` do
 table to the shared folder and reads it back, and ``features`` describes the sound of what was read.
 
 Defined cases: a null text or medium counts as empty bytes (a payload has one block of padding at least; an empty
-medium gives empty PCM); repeated rows are handled each on their own; a container that is no WAV gives null.
+medium gives empty PCM); repeated rows are handled each on their own; a container that is no WAV, or of another
+format, gives null; channels stay channels; a last ADPCM block shorter than the others is decoded by its own length.
 """
 
 from __future__ import annotations
@@ -82,14 +83,20 @@ def resample(samples: np.ndarray, rate: int, target: int) -> np.ndarray:
     return np.round(np.interp(np.arange(n) * (rate / target), np.arange(len(samples)), samples)).astype(np.int16)
 
 
-def wav(kind: int, rate: int, data: bytes, block: int = 1, bits: int = 8) -> bytes:
-    head = struct.pack("<HHIIHHH", kind, 1, rate, rate * block, block, bits, 0)
+def wav(kind: int, rate: int, data: bytes, block: int = 1, bits: int = 8, channels: int = 1) -> bytes:
+    head = struct.pack("<HHIIHHH", kind, channels, rate, rate * block, block, bits, 0)
     body = b"WAVEfmt " + struct.pack("<I", len(head)) + head + b"data" + struct.pack("<I", len(data)) + data
     return b"RIFF" + struct.pack("<I", len(body) + len(data) % 2) + body + b"\0" * (len(data) % 2)
 
 
 def parse_wav(medium: bytes) -> tuple[int, int, int, int, bytes] | None:
     """Format, rate, block size, bits and data; None if it is no mono WAV."""
+    parsed = parse_channels(medium)
+    return parsed[1:] if parsed and parsed[0] == 1 else None
+
+
+def parse_channels(medium: bytes) -> tuple[int, int, int, int, int, bytes] | None:
+    """Number of channels, format, rate, block size, bits and data; None if it is no WAV."""
     if medium[:4] != b"RIFF" or medium[8:12] != b"WAVE":
         return None
     at, form = 12, None
@@ -97,8 +104,8 @@ def parse_wav(medium: bytes) -> tuple[int, int, int, int, bytes] | None:
         name, size = medium[at : at + 4], struct.unpack_from("<I", medium, at + 4)[0]
         if name == b"fmt " and size >= 16:
             form = struct.unpack_from("<HHIIHH", medium, at + 8)
-        elif name == b"data" and form and form[1] == 1:
-            return form[0], form[2], form[4], form[5], medium[at + 8 : at + 8 + size]
+        elif name == b"data" and form and form[1] >= 1:
+            return form[1], form[0], form[2], form[4], form[5], medium[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
     return None
 
@@ -109,14 +116,26 @@ def samples(kind: int, block: int, bits: int, data: bytes) -> np.ndarray | None:
     if kind in (MULAW, ALAW):
         return (mulaw_table() if kind == MULAW else alaw_table())[np.frombuffer(data, np.uint8)]
     if kind == IMA_ADPCM and block > 4:
-        whole = np.frombuffer(data[: len(data) // block * block], np.uint8).reshape(-1, block)
+        end = len(data) // block * block
+        whole = np.frombuffer(data[:end], np.uint8).reshape(-1, block)
         parts = [decode_blocks(whole[i : i + SLAB_BLOCKS]).ravel() for i in range(0, len(whole), SLAB_BLOCKS)]
+        if len(data) - end >= 4:  # a last block of its own length; less than a head holds no sample
+            parts.append(decode_blocks(np.frombuffer(data[end:], np.uint8).reshape(1, -1)).ravel())
         return np.concatenate(parts) if parts else np.empty(0, np.int16)
     return None
 
 
+def split_channels(channels: int, kind: int, block: int, bits: int, data: bytes) -> list[bytes]:
+    """The data of each channel; ADPCM takes turns by four bytes (a head each, then eight samples each), others by sample."""
+    if channels == 1:
+        return [data]
+    width = 4 if kind == IMA_ADPCM else 2 if kind == PCM and bits == 16 else 1
+    whole = np.frombuffer(data[: len(data) // (width * channels) * width * channels], np.uint8).reshape(-1, channels, width)
+    return [whole[:, k].tobytes() for k in range(channels)]
+
+
 def to_pcm(df: DataFrame, media: str = "media", rate: int = TARGET_RATE, out: str = "pcm") -> DataFrame:
-    """All columns of ``df`` and a WAV of 16-bit PCM at ``rate`` in ``out`` (null if the medium is not understood)."""
+    """All columns of ``df`` and a WAV of 16-bit PCM at ``rate`` in ``out`` with its channels (null if the medium is not understood)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -125,9 +144,15 @@ def to_pcm(df: DataFrame, media: str = "media", rate: int = TARGET_RATE, out: st
     target = to_arrow_schema(schema)
 
     def expand(medium: bytes | None) -> bytes | None:
-        parsed = parse_wav(medium) if medium else (PCM, rate, 2, 16, b"")
-        sound = samples(parsed[0], *parsed[2:]) if parsed else None
-        return None if sound is None else wav(PCM, rate, resample(sound, parsed[1], rate).astype("<i2").tobytes(), 2, 16)
+        parsed = parse_channels(medium) if medium else (1, PCM, rate, 2, 16, b"")
+        if parsed is None or parsed[1] == IMA_ADPCM and parsed[0] > 1 and parsed[3] % (4 * parsed[0]):
+            return None
+        n, kind, own_rate, block, bits, data = parsed
+        sounds = [samples(kind, block // n if kind == IMA_ADPCM else block, bits, x) for x in split_channels(n, kind, block, bits, data)]
+        if sounds[0] is None:
+            return None
+        made = np.column_stack([resample(x, own_rate, rate) for x in sounds])
+        return wav(PCM, rate, made.astype("<i2").tobytes(), 2 * n, 16, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
