@@ -272,6 +272,7 @@ def test_warc_of_an_empty_table(spark, folder):
 
 def test_top_k_with_ties_and_repeated_rows(spark):
     data = [(100, [1.0, 0.0]), (1, [0.5, 9.0]), (2, [0.5, -9.0]), (2, [0.5, -9.0]), (3, [0.25, 0.0]), (200, []), (4, []), (None, [1.0, 1.0])]
+    data = [(*row, 7, 8) for row in data]  # columns of the operator's own names
     vectors = topk.integers(spark.createDataFrame(data, "vec_id long, embedding array<double>, n int, v int"))
     got = rows(topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=3), "query_id", "rank", "vec_id", "score")
     s = 1024 * 512
