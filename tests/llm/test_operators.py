@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -172,6 +173,18 @@ def test_packing_contract(spark, docs, folder):
         assert {r["doc_id"] for r in got} == {d for d, _ in texts}
 
 
+def test_packing_keeps_large_and_missing_ids(spark):
+    """Null ids beside ids above 2**53, and one row many times over: groups stay within their bound."""
+    data = [(None, "a b"), (2**60 + 1, "c d e"), (None, "a b"), (-(2**62) - 3, "f")] + [(4, "same text")] * 200
+    cut = packing.pieces(documents(spark, data))
+    got = packing.pack(cut, capacity=64, group_pieces=16).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in data)
+    groups = defaultdict(int)
+    for r in got:
+        groups[r["sequence_id"] // 2**32] += 1
+    assert len(groups) >= 10 and max(groups.values()) <= 40
+
+
 def brute_groups(texts: dict[int, str | None]) -> dict[int, tuple[int, int]]:
     sets = {i: plain_shingles(t or "") for i, t in texts.items()}
     root = {i: i for i in sets}
@@ -208,9 +221,8 @@ def near_copies(seed: int, n: int, shared: int) -> dict[int, str | None]:
 
 @pytest.mark.parametrize("window", [neardup.WINDOW, 2])
 def test_near_duplicates_against_all_pairs(spark, monkeypatch, window):
-    """A window of two makes nearly every region large, so that the exact join must find the links."""
+    """A window of two makes nearly every region large, so that deeper regions and the exact search must find the links."""
     monkeypatch.setattr(neardup, "WINDOW", window)
-    monkeypatch.setattr(neardup, "NEIGHBOURS", 1 if window == 2 else neardup.NEIGHBOURS)
     texts = near_copies(10, 160, 25)
     got = {r["doc_id"]: r for r in neardup.groups(documents(spark, list(texts.items()))).collect()}
     for i, (n, root) in brute_groups(texts).items():
@@ -221,12 +233,31 @@ def test_search_in_a_region_finds_every_component(spark):
     """One region that holds all documents, none of them linked yet."""
     texts = {i: t for i, t in near_copies(11, 80, 30).items() if plain_shingles(t or "")}
     df = documents(spark, list(texts.items()))
-    reps = neardup.signed(df).select(F.col("doc_id").alias("id"), "sig")
-    placed = reps.select(F.lit(1).cast("long").alias("region"), F.lit(0).alias("tree"), "id", F.col("id").alias("comp"))
-    roots = dict(rows(components(neardup.searched(placed, reps, df)), "id", "root"))
+    held = neardup.signed(df).select(F.col("doc_id").alias("id"), "sig").join(df.select(F.col("doc_id").alias("id"), "text"), "id")
+    placed = held.select(F.lit(1).cast("long").alias("region"), F.lit(int(neardup.bit(0))).alias("bands"), "id", F.col("id").alias("comp"))
+    roots = dict(rows(components(neardup.searched(placed, held)), "id", "root"))
     assert {i: roots.get(i, i) for i in texts} == {i: root for i, (_, root) in brute_groups(texts).items()}
 
 
+def test_rows_of_one_document_link_their_texts(spark):
+    """Document 5 has two texts, each that of another document; a hot row is repeated; ids exceed 2**53."""
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "nobody has this text but me alone"
+    big = 2**60 + 1
+    data = [(5, a), (5, b), (3, b), (7, a), (big, c), (big + 1, c), (5, ""), (None, a)] + [(9, c)] * 50
+    got = rows(neardup.groups(documents(spark, data)), "doc_id", "n_shingles", "component_id", "kept")
+    want = [(5, 2, 3, False), (5, 2, 3, False), (3, 2, 3, True), (7, 2, 3, False), (big, 3, 9, False), (big + 1, 3, 9, False), (5, 0, 5, True), (None, 2, None, True)]
+    assert sorted(map(str, got)) == sorted(map(str, want + [(9, 3, 9, True)] * 50))
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="test tables are absent")
+def test_no_link_of_the_whole_table_is_lost(spark):
+    """All pairs of the 1,000 documents of sf0.01."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r for r in neardup.groups(docs).collect()}
+    want = brute_groups(dict(rows(docs, "doc_id", "text")))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
+
+
 def test_deduplicated_keeps_one_of_each_group_and_all_columns(spark):
     texts = near_copies(12, 60, 10)
     df = documents(spark, [*texts.items(), (None, "no id here at all please")])
@@ -243,6 +274,16 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_path_need_few_rounds(spark, monkeypatch):
+    from wardspark.llm import components as module
+
+    made = []
+    monkeypatch.setattr(module, "stored", lambda df: made.append(0) or stored(df))
+    got = rows(components(spark.range(4000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))), "id", "root")
+    assert len(got) == 4001 and {r for _, r in got} == {0}
+    assert len(made) <= 4 * 20
+
+
 def test_warc_contract_and_order(spark, folder):
     path = shared_dir(spark)
     pages = spark.read.parquet(f"{folder}/pages.parquet")

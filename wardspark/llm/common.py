@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +18,35 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+#: Rows and bytes of texts that are turned into Python objects at once.
+SLICE_ROWS, SLICE_BYTES = 2048, 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; a temporary folder is set only where that is unset (tests)."""
+    """A new path below ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets a temporary folder;
+    on a cluster, whose machines share no such folder, it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='wardspark-')}"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/wardspark-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/wardspark-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+#: Folders that this process has handed out, by application.
+_written: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this application, once the results that read them are written; their number."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
@@ -32,14 +56,27 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch of at most ``rows`` rows and about ``size`` bytes of texts, one row at least."""
+    held = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            held += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(held), 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def arrow_map(df: DataFrame, schema: str, columns: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
-    """Apply ``columns`` (lists by name in, lists by name out) to each Arrow batch, in slices of a few thousand rows."""
+    """Apply ``columns`` (lists by name in, lists by name out) to each Arrow batch, in slices of bounded rows and bytes."""
     target = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for part in slices(batch):
                 made = columns({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in target], schema=target)
 

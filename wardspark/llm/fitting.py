@@ -17,12 +17,14 @@ def remainder(divisor: int):
 def labelled_sample(
     spark: SparkSession, sf_dir: str, docs: DataFrame, label: str, divisor: int, out: int, rows: int
 ) -> tuple[list[str], np.ndarray]:
-    """Whole texts and labels of at most ``rows`` labelled documents outside the held-out fold, chosen by hash of id."""
+    """Whole texts and labels of at most ``rows`` labelled documents outside the held-out fold, chosen by hash of id. Of
+    rows that repeat a doc_id the smallest text counts, so that no more than ``rows`` texts come to the driver."""
     labels = table(spark, sf_dir, "labels", "doc_id", label).where(
         F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (remainder(divisor) != out)
     )
     chosen = first_rows(labels.groupBy("doc_id").agg(F.max(label).alias(label)), "doc_id", rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toArrow()
+    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id")
+    got = one.agg(F.min("text").alias("text"), F.max(label).alias(label)).orderBy("doc_id").toArrow()
     return [t or "" for t in got["text"].to_pylist()], got[label].to_numpy().astype(float)
 
 

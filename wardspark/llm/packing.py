@@ -1,12 +1,12 @@
 """Sum-of-squares packing of tokenised documents into sequences of at most ``capacity`` tokens.
 
 A document is cut only if it is longer than a sequence: the first piece takes what is left over, the others are
-full. Full pieces are sequences by themselves. The others are dealt by hash into groups of about ``GROUP_PIECES``
+full. Full pieces are sequences by themselves. The others are dealt by row number into groups of about ``GROUP_PIECES``
 pieces; each group is packed on its own, longest pieces first, and a piece goes where the sum over gaps g of
 N(g)**2 becomes smallest, N(g) being the number of open sequences with g tokens left (ties: the smaller gap).
 
-Defined cases: a null text is an empty document, i.e. the end token alone; repeated doc_ids are packed as separate
-documents; an empty table gives no rows; the number of rows of a group is bounded by the hash, whatever the data.
+Defined cases: a null text is an empty document, i.e. the end token alone; repeated doc_ids and null ones are packed as
+separate documents; an empty table gives no rows; rows of a group are bounded, as numbers of rows do not repeat.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import math
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,23 +110,25 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Rows of ``pieces`` with ``sequence_id`` and ``offset``."""
-    cut = stored(cut)
+    cut = stored(cut.withColumn("row", F.monotonically_increasing_id()))
     groups = max(1, math.ceil(cut.where(F.col("length") < capacity).count() / group_pieces))
-    spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long")
+    spread = F.pmod(F.xxhash64("row"), F.lit(groups)).cast("long")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, offsets = sum_of_squares(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(sequence_id=pdf["spread"] * 2**32 + bins, offset=offsets).drop(columns="spread")
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
+        bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
+        first = int(rows["spread"][0].as_py()) * 2**32
+        rows = rows.drop_columns(["row", "spread"])
+        return rows.append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets))
 
     full = cut.where(F.col("length") == capacity).select(
-        "*",
-        # negative numbers: no group has them, and (partition, row) makes them unique
-        (-1 - F.monotonically_increasing_id()).alias("sequence_id"),
+        *(f.split()[0] for f in PIECES.split(", ")),
+        # negative numbers: no group has them, and numbers of rows do not repeat
+        (-1 - F.col("row")).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
     )
     rest = cut.where(F.col("length") < capacity).withColumn("spread", spread)
-    return full.unionByName(rest.groupBy("spread").applyInPandas(run, PACKED))
+    return full.unionByName(rest.groupBy("spread").applyInArrow(run, PACKED))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
