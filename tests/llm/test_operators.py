@@ -219,10 +219,12 @@ def near_copies(seed: int, n: int, shared: int) -> dict[int, str | None]:
     return out | {n: None, n + 1: "", n + 2: " \t", n + 3: "Two Words", n + 4: "two words"}
 
 
-@pytest.mark.parametrize("window", [neardup.WINDOW, 2])
-def test_near_duplicates_against_all_pairs(spark, monkeypatch, window):
-    """A window of two makes nearly every region large, so that deeper regions and the exact search must find the links."""
+@pytest.mark.parametrize(("window", "block"), [(neardup.WINDOW, neardup.BLOCK_ROWS), (2, neardup.BLOCK_ROWS), (2, 3)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, window, block):
+    """A window of two makes nearly every region large, so that the exact search must find the links; blocks of three rows
+    make regions go deeper first."""
     monkeypatch.setattr(neardup, "WINDOW", window)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", block)
     texts = near_copies(10, 160, 25)
     got = {r["doc_id"]: r for r in neardup.groups(documents(spark, list(texts.items()))).collect()}
     for i, (n, root) in brute_groups(texts).items():
@@ -233,9 +235,9 @@ def test_search_in_a_region_finds_every_component(spark):
     """One region that holds all documents, none of them linked yet."""
     texts = {i: t for i, t in near_copies(11, 80, 30).items() if plain_shingles(t or "")}
     df = documents(spark, list(texts.items()))
-    held = neardup.signed(df).select(F.col("doc_id").alias("id"), "sig").join(df.select(F.col("doc_id").alias("id"), "text"), "id")
-    placed = held.select(F.lit(1).cast("long").alias("region"), F.lit(int(neardup.bit(0))).alias("bands"), "id", F.col("id").alias("comp"))
-    roots = dict(rows(components(neardup.searched(placed, held)), "id", "root"))
+    held = df.select(F.col("doc_id").alias("id"), "text")
+    placed = held.select(F.lit(1).cast("long").alias("region"), "id", F.col("id").alias("comp"))
+    roots = dict(rows(components(neardup.searched(neardup.crowded(placed), held)), "id", "root"))
     assert {i: roots.get(i, i) for i in texts} == {i: root for i, (_, root) in brute_groups(texts).items()}
 
 
