@@ -4,9 +4,10 @@ Texts with the same set of five-word shingles collapse into one class first. A s
 TREES sorted orders: order t reads the values from t * DEPTH on. Classes that share the first DEPTH values of an order
 form a region, and depth adapts to each region. In one with at most WINDOW classes all meet. In a larger one each meets
 the two that stand beside it in the sorted order, with which its common prefix is longest, and the smallest of the
-region. A large region that these links do not make one component is followed deeper: its classes form regions by
-the values of two orders, then of three, so that deeper regions branch into many orders and the chance to share one stays
-high. What is still large and in several components then is searched exactly, in blocks of documents.
+region. Where these links do not make a large region one component, the classes outside its commonest component are the
+ones that may still have links. If they are few (a block), they are held against the whole region exactly; if not, the
+region is followed deeper: its classes form regions by the values of two orders, then of three, so that deeper regions
+branch into many orders and the chance to share one stays high. What is left after that is searched exactly, in blocks.
 
 Every candidate is confirmed on the full sets of both texts; before that only pairs go whose numbers of shingles rule
 the similarity out, or which are in one component already. Two texts at the limit share a region with probability
@@ -38,8 +39,8 @@ SIMILARITY = 75  # in hundredths
 WINDOW, LEVELS = 32, (2, 3)
 
 SIGNED = "doc_id long, h long, n_shingles long, fp1 long, fp2 long, sig binary"
-#: bands has a bit for each order that a region combines, the first order the highest.
-ROWS = "region long, bands long, first int, last int, deep long, id long, size long"
+#: first and last are the first and the last of the orders that a region combines.
+ROWS = "region long, first int, last int, deep long, id long, size long"
 PAIRS = "a long, b long"
 
 
@@ -87,7 +88,7 @@ def forest(reps: DataFrame) -> DataFrame:
                     region = _mix(keys + _mix(np.arange(1, TREES + 1, dtype=np.uint64)))
                 every = lambda k: np.repeat(part.column(k).to_numpy(zero_copy_only=False), TREES)  # noqa: B023, E731
                 order = np.tile(np.arange(TREES, dtype=np.int32), len(keys))
-                columns = (region.view(np.int64).ravel(), bit(order), order, order, np.roll(keys, -1, 1).view(np.int64).ravel(), every(0), every(2))
+                columns = (region.view(np.int64).ravel(), order, order, np.roll(keys, -1, 1).view(np.int64).ravel(), every(0), every(2))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     return reps.select("id", "sig", F.col("n_shingles").alias("size")).mapInArrow(run, ROWS)
@@ -100,10 +101,6 @@ def band_keys(signatures: list[bytes]) -> np.ndarray:
     return np.ascontiguousarray(values[:, :, ::-1]).view("<u8").reshape(-1, TREES)
 
 
-def bit(order):
-    return np.int64(1) << (TREES - 1 - np.asarray(order, np.int64))
-
-
 def living(rows: DataFrame) -> DataFrame:
     """Rows of regions that hold two components at least, with n and the smallest id of the region, its size and component."""
     stats = rows.groupBy("region").agg(
@@ -146,14 +143,14 @@ def deeper(rows: DataFrame, level: int) -> DataFrame:
     """Regions of one order more: those of classes that share two regions of ``rows``. Single orders combine with later
     ones, longer combinations with those that start with the order in which they end; so a class has at most
     TREES * (TREES - 1) / 2 regions of two orders, and as many times TREES / 3 of three."""
-    left = rows.select("id", "size", "comp", F.col("bands").alias("x"), F.col("first").alias("start"), F.col("last").alias("at"), F.col("region").alias("r"))
-    right = rows.select("id", F.col("bands").alias("y"), "first", "last", "deep", F.col("region").alias("s"))
+    left = rows.select("id", "size", "comp", F.col("first").alias("start"), F.col("last").alias("at"), F.col("region").alias("r"))
+    right = rows.select("id", "first", "last", "deep", F.col("region").alias("s"))
     if level == 2:
         both = left.join(right, "id").where("first > at")
     else:
         both = left.join(right.withColumn("at", F.col("first")).drop("first"), ["id", "at"])
     return both.select(
-        F.xxhash64("r", "s").alias("region"), F.col("x").bitwiseOR(F.col("y")).alias("bands"), F.col("start").alias("first"), "last", "deep", "id", "size", "comp"
+        F.xxhash64("r", "s").alias("region"), F.col("start").alias("first"), "last", "deep", "id", "size", "comp"
     )
 
 
@@ -204,23 +201,26 @@ class Block:
         return np.bincount(self.owner[at], minlength=len(self.sizes))
 
 
+def crowded(rows: DataFrame) -> DataFrame:
+    """Rows of regions that hold several components, with the commonest (main), all rows (m) and those outside it (o)."""
+    per = rows.groupBy("region", "comp").agg(F.count("*").alias("n"))
+    sizes = per.groupBy("region").agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.max_by("comp", "n").alias("main"), F.count("*").alias("comps"))
+    return stored(rows.join(sizes.where("comps > 1").select("region", "m", "main", (F.col("m") - F.col("most")).alias("o")), "region"))
+
+
 def searched(placed: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between components that share a region, found exactly.
 
-    placed: region, bands, id, comp; texts: id, sig, text. In each region the documents outside its commonest component
-    are queries against all documents of the region, in blocks of about BLOCK_ROWS; only links leave a block, never
-    the pairs compared. A pair that shares several regions is compared in the first."""
+    placed: rows of ``crowded``; texts: id, text. In each region the documents outside its commonest component are
+    queries against all documents of the region, in blocks of about BLOCK_ROWS; only links leave a block, never the pairs
+    compared."""
     import pandas as pd
 
-    per = placed.groupBy("region", "comp").agg(F.count("*").alias("n"))
-    sizes = per.groupBy("region").agg(
-        F.sum("n").alias("m"), F.max(F.struct("n", F.col("comp").alias("main"))).alias("top"), F.count("*").alias("comps")
-    ).where("comps > 1").select("region", "m", "top.main", (F.col("m") - F.col("top.n")).alias("o"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS)
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
     spread = lambda n, *salt: F.pmod(F.xxhash64("id", *salt), blocks(n))
-    rows = placed.join(sizes, "region").join(texts, "id")
-    columns = ("bands", "id", "comp", "sig", "text")
+    rows = placed.join(texts, "id")
+    columns = ("id", "comp", "text")
     asked = rows.where("comp <> main").select("region", spread("o", F.lit(1)).alias("query_block"), each("m").alias("block"), *columns)
     again = rows.toDF(*rows.columns)  # columns of their own, as both sides come from the same rows
     against = again.select("region", each("o").alias("query_block"), spread("m").alias("block"), *columns)
@@ -228,11 +228,7 @@ def searched(placed: DataFrame, texts: DataFrame) -> DataFrame:
     def run(queries: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         if len(queries) and len(others):
-            bands = int(queries["bands"].iloc[0])
-            depth, weights = bands.bit_count(), bit(np.arange(TREES))
-            sets = shingle_sets([t.encode() for t in queries["text"]])
             block = Block(shingle_sets([t.encode() for t in others["text"]]))
-            asked_keys, keys = band_keys(list(queries["sig"])), band_keys(list(others["sig"]))
             comps = others["comp"].to_numpy()
             root: dict[int, int] = {}
 
@@ -241,12 +237,10 @@ def searched(placed: DataFrame, texts: DataFrame) -> DataFrame:
                     c = root[c]
                 return c
 
-            for k, x in enumerate(sets):
-                shared = keys == asked_keys[k]
-                first = ((shared & (np.cumsum(shared, axis=1) <= depth)) * weights).sum(axis=1)
-                linked = enough(block.common(x), len(x), block.sizes) & (comps != queries["comp"].iat[k]) & (first <= bands)
-                for j in np.flatnonzero(linked).tolist():
-                    a, b = find(int(queries["comp"].iat[k])), find(int(comps[j]))
+            for k, x in enumerate(shingle_sets([t.encode() for t in queries["text"]])):
+                own = int(queries["comp"].iat[k])
+                for j in np.flatnonzero(enough(block.common(x), len(x), block.sizes) & (comps != own)).tolist():
+                    a, b = find(own), find(int(comps[j]))
                     if a != b:
                         root[max(a, b)] = min(a, b)
                         y, z = int(queries["id"].iat[k]), int(others["id"].iat[j])
@@ -259,25 +253,31 @@ def searched(placed: DataFrame, texts: DataFrame) -> DataFrame:
 
 def linked(classes: DataFrame, docs: DataFrame, links: DataFrame) -> DataFrame:
     """id and root of the classes (id, doc_id, h, n_shingles, sig) that near-duplicate links or ``links`` connect."""
-
-    def placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        return rows.drop("comp").join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
-
+    names = [f.split()[0] for f in ROWS.split(", ")]
     live = living(forest(classes).withColumn("comp", F.col("id")))
     # texts of what meets anything at all, once; those of the others do not travel any more
-    ids = live.select("id").distinct().join(classes.select("id", "doc_id", "h", "sig"), "id")
+    ids = live.select("id").distinct().join(classes.select("id", "doc_id", "h"), "id")
     found = docs.withColumn("h", F.xxhash64("text")).join(ids, ["doc_id", "h"])
-    texts = stored(found.groupBy("id").agg(F.any_value("sig").alias("sig"), F.any_value("text").alias("text")))
+    texts = stored(found.groupBy("id").agg(F.any_value("text").alias("text")))
     for level in (*LEVELS, None):
         links = stored(links.unionByName(confirmed(candidates(live), texts)))
         roots = components(links)
-        large = live.where(F.col("n") > WINDOW).select(*(f.split()[0] for f in ROWS.split(", "))).join(roots, "id", "left")
-        large = living(large.withColumn("comp", F.coalesce("root", "id")).drop("root"))
+        large = crowded(joined(live.where(F.col("n") > WINDOW).select(*names), roots))
         if large.isEmpty():
             return roots
-        if level:
-            live = living(deeper(large, level))
-    return components(links.unionByName(searched(large, texts)))
+        wide = F.col("o") > BLOCK_ROWS if level else F.lit(False)
+        links = stored(links.unionByName(searched(large.where(~wide), texts)))
+        roots = components(links)
+        rest = large.where(wide)
+        if rest.isEmpty():
+            return roots
+        live = living(deeper(joined(rest.select(*names), roots), level))
+    return roots
+
+
+def joined(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with the component of each id."""
+    return rows.join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
 
 
 def groups(docs: DataFrame) -> DataFrame:
