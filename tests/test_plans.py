@@ -142,3 +142,44 @@ def test_executors_see_gated_sql_only(spark, people):
 def test_comments_and_statements():
     assert dialects.without_comments("a -- b\nc '--d' /* e */ f") == "a  \nc '--d'   f"
     assert len(gate.statements("SELECT ';' ; -- ; \n SELECT 2;")) == 2
+
+
+def test_loops_hand_masks_over_by_position(spark, people):
+    """Recursive CTEs that turn their columns around: whatever a turn puts into a column, its mask comes along."""
+    from dataclasses import replace
+
+    rng = random.Random(77)
+    protected = replace(people, mask_columns=(), protected_columns=("people.name",))
+    for _ in range(12):
+        width = rng.randint(2, 4)
+        names = [f"x{i}" for i in range(width)]
+        first = ["name", *("note" for _ in range(width - 1))]
+        rng.shuffle(first)
+        turned = rng.sample(names, width)
+        sql = (
+            f"WITH RECURSIVE t(n, {', '.join(names)}) AS (SELECT 1, {', '.join(first)} FROM shop.people UNION ALL "
+            f"SELECT n + 1, {', '.join(turned)} FROM t WHERE n < 6) SELECT n, {', '.join(f'lower({c}) AS {c}' for c in names)} FROM t"
+        )
+        reached, at = {first.index("name")}, first.index("name")
+        while (at := turned.index(names[at])) not in reached:
+            reached.add(at)
+        df = governed.query(spark, sql, people, scan=False).df
+        rows = df.collect()
+        assert len(rows) == 18 and all(r[c] == "[MASKED_PII]" for r in rows for c in (names[i] for i in reached))
+        assert governed.query(spark, sql, people).masked_fields == tuple(names[i] for i in sorted(reached))
+        assert governed.decision(spark, sql, protected) == ("deny", 'protected column "people.name" may not appear in SELECT')
+    plain = "WITH RECURSIVE t(n, c) AS (SELECT 1, name FROM shop.people UNION ALL SELECT n + 1, c FROM t WHERE n < 2) SELECT {} FROM t"
+    assert {r[0] for r in governed.query(spark, plain.format("c"), protected).df.collect()} == {"[MASKED_PII]"}
+    assert governed.decision(spark, plain.format("n") + " WHERE c = 'x'", protected)[0] == "deny"
+    inside = plain.replace("WHERE n < 2", "WHERE n < 2 AND c = 'x'").format("n")
+    assert governed.decision(spark, inside, protected)[0] == "deny"
+
+
+def test_plans_that_cannot_be_traced_are_refused(spark, people):
+    from pyspark.sql import functions as F
+
+    from wardspark.plans import lineage, tree
+
+    odd = spark.table("shop.people").select(F.explode(F.array("name")).alias("c"))
+    with pytest.raises(PolicyError, match="cannot be traced"):
+        lineage.trace(tree.analyzed(odd), people)

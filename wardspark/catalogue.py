@@ -176,6 +176,12 @@ statement(
     "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t",
     "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t",
 )
+statement(
+    "gov_recursive_mask",
+    "WITH RECURSIVE t(n, k, seen, other) AS (SELECT 1, c_custkey, c_name, c_mktsegment FROM tpch.customer UNION ALL SELECT n + 1, k, other, seen FROM t WHERE n < 3) "
+    "SELECT k, n, seen, upper(other) AS loud FROM t ORDER BY k, n",
+    "SELECT c_custkey AS k, CAST(n AS INTEGER) AS n, '[MASKED_PII]' AS seen, '[MASKED_PII]' AS loud FROM customer, range(1, 4) r(n) ORDER BY k, n LIMIT 10000",
+)
 statement(
     "gov_intersect",
     "SELECT o_custkey AS k FROM tpch.orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM tpch.orders WHERE o_orderstatus = 'O'",
@@ -294,6 +300,9 @@ decisions("protected_positions", [
     ("distinct", "SELECT DISTINCT c_name FROM tpch.customer", "deny", _POS + "GROUP BY"),
     ("function", "SELECT upper(c_name) AS u FROM tpch.customer", "deny", _POS + "SELECT"),
     ("in-subquery", "SELECT c_custkey FROM tpch.customer WHERE c_custkey IN (SELECT c_custkey FROM tpch.customer WHERE c_name = 'x')", "deny", _POS + "WHERE"),
+    ("recursive", "WITH RECURSIVE t(n, c) AS (SELECT 1, c_name FROM tpch.customer UNION ALL SELECT n + 1, c FROM t WHERE n < 3) SELECT n, c FROM t", "allow", ""),
+    ("recursive-function", "WITH RECURSIVE t(n, c) AS (SELECT 1, c_name FROM tpch.customer UNION ALL SELECT n + 1, c FROM t WHERE n < 3) SELECT upper(c) AS u FROM t", "deny", _POS + "SELECT"),
+    ("recursive-turned", "WITH RECURSIVE t(n, a, b) AS (SELECT 1, c_name, c_mktsegment FROM tpch.customer UNION ALL SELECT n + 1, b, a FROM t WHERE n < 3) SELECT n FROM t WHERE b = 'x'", "deny", _POS + "WHERE"),
 ], protected_columns=("*.c_name",))
 
 decisions("dialect_mssql", [
