@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -218,6 +220,54 @@ def test_toxicity_learns_below_stems_that_clean_words_share():
     assert chosen <= passing and all(any(c.startswith(p) for c in chosen) for p in shortest)
 
 
+def plain_hits(lexicon, folded):
+    """Every entry at every place of the text, by comparison."""
+    word = lambda k: 0 <= k < len(folded) and folded[k].isalnum()
+    at = lambda w: [k for k in range(len(folded)) if folded.startswith(w, k) and not word(k - 1)]
+    allowed = [(k, k + len(p)) for p in lexicon.exceptions for k in at(p) if not word(k + len(p))]
+    out = []
+    for w, weight, whole, *least in lexicon.entries:
+        found = [(k, k + len(w) - 1, weight) for k in at(w) if not (whole and word(k + len(w)))]
+        found = [h for h in found if not any(a <= h[0] and h[1] < b for a, b in allowed)]
+        out += found if len(found) >= (least or [1])[0] else []
+    return sorted(out)
+
+
+def test_toxicity_automaton_against_a_plain_scan():
+    rng = random.Random(21)
+    lexicon = toxicity.Lexicon(
+        (("idiot", 5.0, True), ("idi", 2.0, False), ("trash", 3.0, True), ("can", 1.0, False, 2), ("ra", 0.5, False), ("ash can", 4.0, True)),
+        (1.0, 1.0, -3.0), ("trash can", "trash can idiot", "an idiot"),
+    )
+    matcher = toxicity.Matcher(lexicon)
+    parts = ["idiot", "idiots", "trash", "can", "cancan", "ra", "ash", "an", "x", "é", "1d1ot", "tr4sh"]
+    for _ in range(400):
+        text = toxicity.fold("".join(rng.choice(parts) + rng.choice([" ", " ", "", "\n", "-", "! "]) for _ in range(rng.randint(0, 25))))
+        assert sorted(matcher.hits(text)) == plain_hits(lexicon, text)
+
+
+def plain_fold(text):
+    """Every run without white space on its own."""
+    text = text.lower().translate(toxicity._FOLD).lower()
+    runs = re.split("([ \n]+)", text)
+    return "".join(toxicity._MIXED.sub(lambda m: m.group().translate(toxicity._SIGNS), r) if toxicity._SIGN.search(r) else r for r in runs)
+
+
+def test_toxicity_takes_time_in_proportion_to_the_text():
+    rng = random.Random(22)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "1", "4", " ", "\n", "$", "é", "!", "о", "b3"]) for _ in range(rng.randint(0, 60)))
+        assert toxicity.fold(text) == plain_fold(text)
+    matcher = toxicity.Matcher(toxicity.Lexicon((("trash", 3.0, True),), (1.0, 1.0, -3.0)))
+    for part in ("a1 ", "trash can ", "a1\n", "trash "):
+        took = []
+        for n in (40_000, 160_000):
+            text, start = part * n, time.perf_counter()
+            matcher.features(text)
+            took.append(time.perf_counter() - start)
+        assert took[1] < 12 * took[0] + 0.2  # four times the text; quadratic time would be sixteen times
+
+
 def test_quality_learns_on_made_up_rows():
     rng = random.Random(7)
     line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(12)) + "."

@@ -1,9 +1,10 @@
 """Toxicity: a weighted lexicon matched by an Aho-Corasick automaton over folded text.
 
 Folding lower-cases, turns look-alike letters of other scripts and full-width forms into Latin letters and, inside
-words, digits and signs that stand for letters. Lexicon entries are whole words or word beginnings; they and their
-weights are learned from labelled rows outside the held-out fold. Hits inside exception phrases do not count. The
-summed weight, by itself and normalised by length, gives the score through a logistic curve.
+words, digits and signs that stand for letters. Lexicon entries are whole words or word beginnings, some of which count
+only where they occur more than once; they and their weights are learned from labelled rows outside the held-out fold.
+Hits inside exception phrases do not count. The summed weight, by itself and normalised by length, gives the score
+through a logistic curve. Folding, matching and exceptions take time in proportion to the text.
 
 Defined cases: null and empty texts have no hit and get the score of no evidence; repeated rows are scored each on
 their own; without labelled rows of both classes every score is 0; extra columns are ignored.
@@ -12,9 +13,11 @@ their own; without labelled rows of both classes every score is 0; extra columns
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,18 +32,19 @@ from wardspark.llm.fitting import apply_logistic, labelled_sample, logistic, rem
 DIVISOR, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Bound of the labelled sample from which lexicon and curve are learned.
 FIT_ROWS = 4000
-#: An entry must beat the base rate of toxic documents at this level (natural logarithm of the p-value's bound).
-EVIDENCE = 9 * math.log(10)
+#: Chance that any of the words of a sample becomes an entry by accident: each must beat the base rate of toxic documents
+#: with a p-value of this over the number of words, and no more than EVIDENCE (natural logarithms) is asked for.
+ACCIDENT, EVIDENCE = 1e-3, 9 * math.log(10)
 
-#: Look-alikes of Latin letters in Cyrillic and Greek.
+#: Look-alikes of Latin letters in Cyrillic and Greek.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y",
     "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ɡ": "g", "ӏ": "l",
     "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
 }
-#: Digits and signs that stand for letters inside words.
+#: Digits and signs that stand for letters inside words.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-#: Phrases in which a lexicon word is meant literally.
+#: Phrases in which a lexicon word is meant literally; a default that callers replace by their own.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "idiot proof", "pond scum", "soap scum")
 
 _FOLD = str.maketrans(
@@ -59,12 +63,14 @@ def fold(text: str) -> str:
     text = text.lower()
     if not text.isascii() and _FOREIGN.search(text):
         text = text.translate(_FOLD).lower()
-    at, out = 0, []
+    at, out, ends = 0, [], {" ": -1, "\n": -1}
     while m := _SIGN.search(text, at):
-        # the run without white space around the sign
+        # the run without white space around the sign; what follows it is looked for once, not from every sign
         a = max(text.rfind(" ", at, m.start()), text.rfind("\n", at, m.start()), at - 1) + 1
-        ends = [e for e in (text.find(" ", m.end()), text.find("\n", m.end())) if e >= 0]
-        b = min(ends, default=len(text))
+        for space, found in ends.items():
+            if found < m.end():
+                ends[space] = at_end if (at_end := text.find(space, m.end())) >= 0 else len(text)
+        b = min(ends.values())
         out += [text[at:a], _MIXED.sub(lambda x: x.group().translate(_SIGNS), text[a:b])]
         at = b
     return "".join(out) + text[at:] if out else text
@@ -72,7 +78,8 @@ def fold(text: str) -> str:
 
 @dataclass(frozen=True)
 class Lexicon:
-    entries: tuple[tuple[str, float, bool], ...]  # text, weight, whether it must be a whole word
+    #: text, weight, whether it must be a whole word, and (1 if left out) how often it must occur to count
+    entries: tuple[tuple, ...]
     curve: tuple[float, ...]
     exceptions: tuple[str, ...] = EXCEPTIONS
 
@@ -81,27 +88,41 @@ class Matcher:
     def __init__(self, lexicon: Lexicon):
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
-        for word, weight, whole in lexicon.entries:
-            self.automaton.add_word(word, (len(word), weight, whole))
+        self.automaton, self.least = ahocorasick.Automaton(), {}
+        for k, (word, weight, whole, *least) in enumerate(lexicon.entries):
+            self.automaton.add_word(word, (len(word), weight, whole, k))
+            if least and least[0] > 1:
+                self.least[k] = least[0]
         for phrase in lexicon.exceptions:
-            self.automaton.add_word(phrase, (len(phrase), None, True))
+            self.automaton.add_word(phrase, (len(phrase), None, True, -1))
         self.automaton.make_automaton()
 
-    def features(self, text: str | None) -> tuple[float, float, int]:
-        """Summed weight (logarithm), weight by a thousand words (logarithm), number of hits."""
-        folded = fold(text or "")
+    def hits(self, folded: str) -> list[tuple[int, int, float]]:
+        """(start, end, weight) of the entries that count."""
         hits, allowed = [], []
-        for end, (size, weight, whole) in self.automaton.iter(folded):
+        for end, (size, weight, whole, k) in self.automaton.iter(folded):
             start = end - size + 1
             if start and folded[start - 1].isalnum() or whole and folded[end + 1 : end + 2].isalnum():
                 continue
             if weight is None:
                 allowed.append((start, end))
             else:
-                hits.append((start, end, weight))
-        if allowed:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in allowed)]
+                hits.append((start, end, weight, k))
+        if allowed and hits:
+            # the furthest end of the phrases that start no later than a hit covers it, if any does
+            allowed.sort()
+            starts, furthest = [a for a, _ in allowed], list(itertools.accumulate((b for _, b in allowed), max))
+            covered = lambda h: (i := bisect.bisect_right(starts, h[0])) and furthest[i - 1] >= h[1]
+            hits = [h for h in hits if not covered(h)]
+        if self.least and hits:
+            times = Counter(h[3] for h in hits)
+            hits = [h for h in hits if times[h[3]] >= self.least.get(h[3], 1)]
+        return [h[:3] for h in hits]
+
+    def features(self, text: str | None) -> tuple[float, float, int]:
+        """Summed weight (logarithm), weight by a thousand words (logarithm), number of hits."""
+        folded = fold(text or "")
+        hits = self.hits(folded)
         total = sum(h[2] for h in hits)
         words = folded.count(" ") + folded.count("\n") + 1
         return math.log1p(total), math.log1p(1000 * total / words), len(hits)
@@ -115,36 +136,46 @@ def learn(texts: list[str], toxic: np.ndarray, exceptions: tuple[str, ...] = EXC
     if not 0 < rate < 1:
         return Lexicon((), (), exceptions)
     entries = []
-    for p, bad, fine in sorted(_beginnings(texts, toxic, rate)):
+    for p, bad, fine, least in sorted(_beginnings(texts, toxic, rate)):
         weight = math.log((bad + 0.5) / (toxic.sum() + 1)) - math.log((fine + 0.5) / ((1 - toxic).sum() + 1))
-        entries.append((p.rstrip(), max(weight, 0.1), p.endswith(" ")))
+        entries.append((p.rstrip(), max(weight, 0.1), p.endswith(" "), *([least] if least > 1 else [])))
     lexicon = Lexicon(tuple(entries), (), exceptions)
     matcher = Matcher(lexicon)
     x = np.array([matcher.features(t)[:2] for t in texts])
     return Lexicon(lexicon.entries, tuple(logistic(x, toxic).tolist()), exceptions)
 
 
-def _beginnings(texts: list[str], toxic: np.ndarray, rate: float) -> Iterator[tuple[str, int, int]]:
+def _beginnings(texts: list[str], toxic: np.ndarray, rate: float) -> Iterator[tuple[str, int, int, int]]:
     """Chosen beginnings (a space closes a whole word), none of them a beginning of another, with their numbers of toxic
-    and clean documents. Beginnings are ranges of the sorted words; those that the same words share are one node."""
-    holders: dict[str, tuple[list[int], list[int]]] = {}
+    and clean documents and the number of times (1 or 2) that a document must hold them to be counted. Beginnings are
+    ranges of the sorted words; those that the same words share are one node."""
+    holders: dict[str, tuple[Counter, Counter]] = {}
     for i, (t, y) in enumerate(zip(texts, toxic, strict=True)):
-        for w in set(_WORD.findall(fold(t))):
-            holders.setdefault(f"{w} ", ([], []))[0 if y else 1].append(i)
+        for w, n in Counter(_WORD.findall(fold(t))).items():
+            holders.setdefault(f"{w} ", (Counter(), Counter()))[0 if y else 1][i] = n
     words = sorted(holders)
-
-    def node(lo: int, hi: int) -> tuple[float, int, int, int, int]:
-        """Evidence, toxic and clean documents of words[lo:hi]; clean ones are counted only where evidence is possible."""
-        bad = len(set().union(*(holders[w][0] for w in words[lo:hi])))
-        if -bad * math.log(rate) < EVIDENCE:
-            return 0.0, bad, 0, lo, hi
-        fine = len(set().union(*(holders[w][1] for w in words[lo:hi])))
-        return _evidence(bad, fine, rate), bad, fine, lo, hi
+    least_evidence = min(EVIDENCE, math.log(max(len(words), 1) / ACCIDENT))
+
+    def documents(lo: int, hi: int, side: int) -> Counter:
+        times: Counter = Counter()
+        for w in words[lo:hi]:
+            times.update(holders[w][side])
+        return times
+
+    def node(lo: int, hi: int) -> tuple:
+        """Evidence, toxic and clean documents, times, all toxic ones, of words[lo:hi]; clean ones are counted only where
+        evidence is possible."""
+        bad = documents(lo, hi, 0)
+        if -len(bad) * math.log(rate) < least_evidence:
+            return 0.0, 0, 0, 1, len(bad), lo, hi
+        fine = documents(lo, hi, 1)
+        sides = [(sum(n >= k for n in bad.values()), sum(n >= k for n in fine.values()), k) for k in (1, 2)]
+        return max((_evidence(b, f, rate), b, f, k, len(bad), lo, hi) for b, f, k in sides)
 
     open_nodes = [node(0, len(words))] if words else []
     while open_nodes:
-        evidence, bad, fine, lo, hi = open_nodes.pop()
-        if -bad * math.log(rate) < EVIDENCE:  # nothing longer has more toxic documents
+        evidence, bad, fine, times, every, lo, hi = open_nodes.pop()
+        if -every * math.log(rate) < least_evidence:  # nothing longer has more toxic documents
             continue
         shared = os.path.commonprefix([words[lo], words[hi - 1]])
         k, longer = len(shared), []
@@ -152,9 +183,9 @@ def _beginnings(texts: list[str], toxic: np.ndarray, rate: float) -> Iterator[tu
             end = bisect.bisect_right(words, words[lo][k], lo, hi, key=lambda w: w[k])
             longer.append(node(lo, end))
             lo = end
-        best = max(longer, key=lambda n: n[1], default=(0.0,))
-        if shared and evidence >= EVIDENCE and best[0] < 0.95 * evidence:
-            yield shared, bad, fine
+        best = max(longer, key=lambda n: n[0], default=(0.0,))
+        if shared and evidence >= least_evidence and best[0] < 0.95 * evidence:
+            yield shared, bad, fine, times
         else:
             open_nodes += longer
 
