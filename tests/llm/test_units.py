@@ -1,6 +1,7 @@
 """Parts of the operators without Spark, held against plain forms."""
 
 import itertools
+import os
 import random
 import re
 import time
@@ -330,6 +331,72 @@ def test_random_letters_and_letters_with_last_digits():
     assert s.rare(words) == []
 
 
+def plain_base(text):
+    """The base patterns letter by letter, without regular expressions: (start, rank, end)."""
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    value = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-")
+    found = []
+
+    def run(at, letters):
+        end = at
+        while end < len(text) and text[end] in letters:
+            end += 1
+        return end
+
+    def assignment(at):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if lower.startswith(word, at):
+                k = at + len(word)
+                k = run(k + (text[k : k + 1] in ("'", '"')), " ")
+                if text[k : k + 1] in (":", "="):
+                    k = run(k + 1, " ")
+                    k += text[k : k + 1] in ("'", '"')
+                    if (end := run(k, value)) > k:
+                        return k, end
+        return None
+
+    at = 0
+    while at < len(text):
+        if m := assignment(at):
+            if m[1] - m[0] >= 6:
+                found.append((at, 0, m[1]))
+            at = m[1]
+        else:
+            at += 1
+    for rank, start, letters, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), (2, "", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(start), letters) if text.startswith(start, at) else at
+            if end > at + len(start):
+                if end - at >= least:
+                    found.append((at, rank, end))
+                at = end
+            else:
+                at += 1
+    return sorted(found)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="test tables are absent")
+def test_base_spans_of_the_whole_table_against_plain_reading():
+    import pyarrow.parquet as pq
+
+    s, rng, n = secrets.Scanner(secrets.tiktoken_file()), random.Random(23), 0
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    parts = ["password", "passwd", "Secret", "TOKEN", "api_key", "apikey", '"', "'", " ", ":", "=", "abcdef", "AKIA", "A" * 16, "0f" * 12, ".", "é", "\n"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 20))) for _ in range(2000)]
+    for text in texts:
+        want = plain_base(text)
+        assert sorted(s.base(text)) == want
+        n += len(want)
+    assert n > 1000
+
+
+def test_short_runs_need_more_evidence():
+    s = secrets.Scanner(secrets.tiktoken_file())
+    assert s.rare("key x9Kq2Lm8Zp4W end") == [(4, 3, 16)]
+    assert not s.rare("on 2024-01-15T10 and einpfkeitieach and version_12345 and abcdefgh1234")
+
+
 def test_secret_patterns_against_plain_reading():
     s = secrets.Scanner(secrets.tiktoken_file())
     assert [x[1:] for x in s.base("ſecret=abcdefgh paſſwd=abcdefgh")] == []  # letters beyond ASCII are no keywords

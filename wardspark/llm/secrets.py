@@ -3,7 +3,8 @@
 Text that people write needs few tokens for its length; a random string needs a token for every one or two
 characters. Candidates are runs of key characters with a letter; one whose characters per token under a tiktoken
 vocabulary fall below a limit is reported as ``rare``, unless it is a digest or a UUID. For runs that look like words
-joined by signs the limit is stricter, and capitals are read as small letters where the shape is one of words. Words
+joined by signs the limit is stricter, and capitals are read as small letters where the shape is one of words; runs of
+12 to 15 characters must have digits between letters and meet a stricter limit still, as they offer less evidence. Words
 joined to a key by signs (names, paths) dilute the average of the run; so where the run as a whole stays above the
 limit, its stretches are tested, and those below the limit are reported.
 
@@ -34,7 +35,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORD = re.compile(r"(?ai:passw|secret|token|api_?key)")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}")
 #: Lengths in hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
@@ -44,6 +45,8 @@ MAX_CHARS_PER_TOKEN = 2.0
 #: The limit as a share of the other for what has this shape and several words, or is cut out of a word.
 SHAPED_SHARE = 0.9
 SHORTEST = 16
+#: The limit as a share of the other for runs shorter than that.
+SHORT_SHARE = 0.75
 SIGNS = "=-_/+"
 #: Inside a run, what is never part of a stretch: UUIDs, and hex digits of a digest's length.
 EXEMPT = re.compile(
@@ -51,6 +54,7 @@ EXEMPT = re.compile(
     + "|".join(f"[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}" for n in sorted(DIGEST_LENGTHS))
     + ")(?![A-Za-z0-9])"
 )
+_DIGIT_INSIDE = re.compile(r"[A-Za-z][0-9]+[A-Za-z]")
 #: Parts of a run of at most so many characters go with the stretch beside them.
 SHORT_PART = 3
 
@@ -91,7 +95,10 @@ class Scanner:
         found = []
         for m in CANDIDATE.finditer(text):
             word = m.group()
-            if self.is_random(word):
+            if len(word) < SHORTEST:
+                if _DIGIT_INSIDE.search(word) and self.is_random(word, SHORT_SHARE):
+                    found.append((m.start(), 3, m.end()))
+            elif self.is_random(word):
                 found.append((m.start(), 3, m.end()))
             elif len(word) > SHORTEST:
                 at = 0
@@ -156,7 +163,7 @@ class Scanner:
             j += 1
         return parts[i][0], parts[j][1]
 
-    def is_random(self, word: str, cut: bool = False) -> bool:
+    def is_random(self, word: str, share: float = 1.0, cut: bool = False) -> bool:
         core = word.strip(SIGNS)
         if not any(c.isalpha() for c in core):
             return False
@@ -165,7 +172,7 @@ class Scanner:
         if UUID.fullmatch(core):
             return False
         shaped = IDENTIFIER.fullmatch(core) or not any(c.isdigit() for c in core)
-        limit = self.limit * (SHAPED_SHARE if shaped and (cut or not core.isalnum()) else 1)
+        limit = self.limit * share * (SHAPED_SHARE if shaped and (cut or not core.isalnum()) else 1)
         return len(core) < limit * len(self.encoding.encode_ordinary(core.lower() if shaped and core.isupper() else core))
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
