@@ -434,3 +434,17 @@ def test_threshold_algorithm_is_exact(n, d):
 def test_mixing_sql_has_every_step():
     sql = mixing.mixing_sql()
     assert sql.count("AS (SELECT * REPLACE") == 3 * mixing.ITERATIONS and zlib.crc32(sql.encode())
+
+
+def test_threshold_walk_hands_bounds_on():
+    rng = np.random.default_rng(31)
+    vectors, ids = rng.integers(-6, 7, (300, 5)), rng.permutation(300)
+    for query in rng.integers(-3, 4, (20, 5)):
+        want = sorted(((int(i), int(s)) for i, s in zip(ids, vectors @ query, strict=True) if i != 7), key=lambda x: (-x[1], x[0]))[:10]
+        best, floor = [], None
+        for at in range(0, 300, 60):
+            part = slice(at, at + 60)
+            best = topk.Lists(ids[part], vectors[part]).top(7, query, 10, tuple(best), floor)
+        assert best == want
+        floor = want[-1][1]
+        assert topk.Lists(ids, vectors).top(7, query, 10, (), floor) == want
