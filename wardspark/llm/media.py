@@ -3,12 +3,13 @@
 mu-law and A-law expand by lookup tables that follow from their formulas. ADPCM blocks are independent, so numpy
 decodes the k-th sample of all blocks of a batch in one step. ``to_pcm`` stores 16-bit PCM at the wanted rate.
 
-Any bytes can be kept as 8-bit mu-law samples without loss; ``store_payload`` does so for texts, writes the media
-table to the shared folder and reads it back, and ``features`` describes the sound of what was read.
+Any bytes can be kept as 8-bit mu-law samples without loss; ``store_payload`` does so for texts, expands them to PCM at
+STORED_RATE beside, writes both to the shared folder and reads them back, and ``features`` describes what was read.
 
 Defined cases: a null text or medium counts as empty bytes (a payload has one block of padding at least; an empty
 medium gives empty PCM); repeated rows are handled each on their own; a container that is no WAV, or of another
-format, gives null; channels stay channels; a last ADPCM block shorter than the others is decoded by its own length.
+format or sample size, gives null; PCM of 8, 16, 24 and 32 bits is read; channels stay channels; a last ADPCM block
+shorter than the others is decoded by its own length.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspark.llm.common import arrow_map, stored, table
+from wardspark.llm.common import arrow_map, slices, stored, table
 
 BLOCK, PAD = 576, 255
-RATE, TARGET_RATE = 8000, 16000
+RATE, TARGET_RATE, STORED_RATE = 8000, 16000, 4000
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
 #: ADPCM blocks and samples that are decoded at once.
 SLAB_BLOCKS = 4096
@@ -111,8 +112,12 @@ def parse_channels(medium: bytes) -> tuple[int, int, int, int, int, bytes] | Non
 
 
 def samples(kind: int, block: int, bits: int, data: bytes) -> np.ndarray | None:
-    if kind == PCM:
-        return np.frombuffer(data[: len(data) // 2 * 2], "<i2") if bits == 16 else np.frombuffer(data, np.uint8).astype(np.int16) - 128 << 8
+    if kind == PCM and bits == 8:
+        return np.frombuffer(data, np.uint8).astype(np.int16) - 128 << 8
+    if kind == PCM and bits in (16, 24, 32):  # the two highest bytes of each sample
+        size = bits // 8
+        whole = np.frombuffer(data[: len(data) // size * size], np.uint8).reshape(-1, size)
+        return np.ascontiguousarray(whole[:, -2:]).view("<i2")[:, 0]
     if kind in (MULAW, ALAW):
         return (mulaw_table() if kind == MULAW else alaw_table())[np.frombuffer(data, np.uint8)]
     if kind == IMA_ADPCM and block > 4:
@@ -129,7 +134,7 @@ def split_channels(channels: int, kind: int, block: int, bits: int, data: bytes)
     """The data of each channel; ADPCM takes turns by four bytes (a head each, then eight samples each), others by sample."""
     if channels == 1:
         return [data]
-    width = 4 if kind == IMA_ADPCM else 2 if kind == PCM and bits == 16 else 1
+    width = 4 if kind == IMA_ADPCM else max(bits // 8, 1) if kind == PCM else 1
     whole = np.frombuffer(data[: len(data) // (width * channels) * width * channels], np.uint8).reshape(-1, channels, width)
     return [whole[:, k].tobytes() for k in range(channels)]
 
@@ -156,15 +161,17 @@ def to_pcm(df: DataFrame, media: str = "media", rate: int = TARGET_RATE, out: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            made = pa.array([expand(m) for m in batch.column(names.index(media)).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(f.name)) for f in kept), made], schema=target)
+            for part in slices(batch):
+                names = part.schema.names
+                made = pa.array([expand(m) for m in part.column(names.index(media)).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(names.index(f.name)) for f in kept), made], schema=target)
 
     return df.mapInArrow(run, schema)
 
 
 def store_payload(docs: DataFrame) -> DataFrame:
-    """Keep each whole text as a mu-law WAV: doc_id, n_bytes, media; written to the shared folder and read back."""
+    """Keep each whole text as a mu-law WAV and its sound as resampled PCM: doc_id, n_bytes, media, pcm; written to the
+    shared folder and read back."""
 
     def rows(x: dict) -> dict:
         out: dict[str, list] = {"n_bytes": [], "media": []}
@@ -176,7 +183,7 @@ def store_payload(docs: DataFrame) -> DataFrame:
         return {"doc_id": x["doc_id"], **out}
 
     kept = arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, n_bytes long, media binary", rows)
-    return stored(kept)
+    return stored(to_pcm(kept, rate=STORED_RATE))
 
 
 FEATURES = (
@@ -187,11 +194,11 @@ FEATURES = (
 
 def features(media: DataFrame) -> DataFrame:
     """Digests of stored media and of their payload, and a description of the sound: root mean squares of the
-    mu-law, A-law and ADPCM readings of the samples, zero crossings, and length and checksum of the resampled PCM."""
+    mu-law, A-law and ADPCM readings of the samples, zero crossings, and rate, length and checksum of the stored PCM."""
 
     def rows(x: dict) -> dict:
         out: dict[str, list] = {n: [] for n in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")}
-        payloads = []
+        payloads, sounds = [], [parse_wav(p) for p in x["pcm"]]
         for medium in x["media"]:
             payload = parse_wav(medium)[4]
             payloads.append(payload)
@@ -200,13 +207,13 @@ def features(media: DataFrame) -> DataFrame:
             out["tail_crc32"].append(zlib.crc32(payload[-32:]))
             out["media_bytes"].append(len(medium))
             out["media_sha256"].append(hashlib.sha256(medium).hexdigest())
-        return {"doc_id": x["doc_id"], "n_bytes": x["n_bytes"], **out, "feature": describe(payloads)}
+        return {"doc_id": x["doc_id"], "n_bytes": x["n_bytes"], **out, "feature": describe(payloads, sounds)}
 
     return arrow_map(media, FEATURES, rows)
 
 
-def describe(payloads: list[bytes]) -> list[str]:
-    """Descriptions of payloads of whole blocks; the ADPCM blocks of all of them are decoded together."""
+def describe(payloads: list[bytes], sounds: list[tuple]) -> list[str]:
+    """Descriptions of payloads of whole blocks and of their parsed PCM; ADPCM blocks of all payloads are decoded together."""
     mulaw, alaw = mulaw_table(), alaw_table()
     joined = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK)
     power = [
@@ -214,14 +221,13 @@ def describe(payloads: list[bytes]) -> list[str]:
         for i in range(0, len(joined), SLAB_BLOCKS)
     ]
     power, at, out = np.concatenate(power) if power else np.empty(0, np.int64), 0, []
-    for payload in payloads:
+    for payload, (_, rate, _, bits, pcm) in zip(payloads, sounds, strict=True):
         codes, n = np.frombuffer(payload, np.uint8), len(payload) // BLOCK
         sound = mulaw[codes]
         loud = [int(np.sqrt((s.astype(np.int64) ** 2).mean())) for s in (sound, alaw[codes])]
         adpcm = int(np.sqrt(power[at : at + n].sum() / (n * (1 + 2 * (BLOCK - 4)))))
         crossings = int(np.count_nonzero((sound[1:] < 0) != (sound[:-1] < 0)))
-        pcm = resample(sound, RATE, TARGET_RATE)
-        out.append(f"rms={loud[0]}/{loud[1]}/{adpcm};zc={crossings};pcm={len(pcm)}:{zlib.crc32(pcm.astype('<i2').tobytes()):08x}")
+        out.append(f"rms={loud[0]}/{loud[1]}/{adpcm};zc={crossings};pcm={rate}:{len(pcm) * 8 // bits}:{zlib.crc32(pcm):08x}")
         at += n
     return out
 
