@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import itertools
 import os
 import random
 import zlib
@@ -104,6 +105,40 @@ def test_token_counts(docs):
     assert found[2]["n_tokens"] == 0 and found[5]["n_words"] == 60000 and found[5]["n_tokens"] == 60000
 
 
+def plain_feature(payload):
+    """Byte by byte and sample by sample."""
+
+    def mulaw(c):
+        c = ~c & 255
+        size = ((c & 15) * 8 + 132 << (c >> 4 & 7)) - 132
+        return -size if c & 128 else size
+
+    def alaw(c):
+        c ^= 85
+        size = (c & 15) * 16 + 8
+        size = size + 256 << (c >> 4 & 7) - 1 if c >> 4 & 7 else size
+        return size if c & 128 else -size
+
+    def adpcm(block):
+        value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        out = [value]
+        for byte in block[4:]:
+            for n in (byte & 15, byte >> 4):
+                step = int(media.STEPS[index])
+                change = (2 * (n & 7) + 1) * step >> 3
+                value = max(-32768, min(32767, value - change if n & 8 else value + change))
+                index = max(0, min(88, index + int(media.INDEX_CHANGE[n])))
+                out.append(value)
+        return out
+
+    sounds = [mulaw(c) for c in payload], [alaw(c) for c in payload], [x for k in range(0, len(payload), 576) for x in adpcm(payload[k : k + 576])]
+    rms = "/".join(str(int((sum(x * x for x in s) / len(s)) ** 0.5)) for s in sounds)
+    crossings = sum((a < 0) != (b < 0) for a, b in itertools.pairwise(sounds[0]))
+    pcm = sounds[0][::2]  # half the rate
+    crc = zlib.crc32(b"".join(x.to_bytes(2, "little", signed=True) for x in pcm))
+    return f"rms={rms};zc={crossings};pcm=4000:{len(pcm)}:{crc:08x}"
+
+
 def test_media_contract(docs):
     for r in media.features(media.store_payload(docs)).collect():
         raw = (dict((str(i), t) for i, t in ROWS)[str(r["doc_id"])] or "").encode()
@@ -111,6 +146,7 @@ def test_media_contract(docs):
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
         assert r["media_sha256"] == hashlib.sha256(media.wav(media.MULAW, 8000, payload)).hexdigest()
+        assert r["feature"] == plain_feature(payload)
 
 
 def test_telephony_column_becomes_pcm(spark):
@@ -133,8 +169,11 @@ def test_short_last_block_and_channels_become_pcm(spark):
         (1, media.wav(media.IMA_ADPCM, 16000, left, 36, 4)),
         (2, media.wav(media.IMA_ADPCM, 16000, turns, 72, 4, 2)),
         (3, media.wav(media.MULAW, 16000, both, 2, 8, 2)),
+        (4, media.wav(media.PCM, 16000, b"\xff\x01\x02\xff\xfe\xff\x00", 3, 24)),
+        (5, media.wav(media.PCM, 16000, b"abc", 1, 12)),
     ]
-    made = {r["id"]: media.parse_channels(bytes(r["pcm"])) for r in media.to_pcm(spark.createDataFrame(rows_, "id int, media binary")).collect()}
+    made = {r["id"]: r["pcm"] and media.parse_channels(bytes(r["pcm"])) for r in media.to_pcm(spark.createDataFrame(rows_, "id int, media binary")).collect()}
+    assert made[4][:5] == (1, media.PCM, 16000, 2, 16) and made[4][5] == b"\x01\x02\xfe\xff" and made[5] is None
     want = [np.concatenate([media.decode_blocks(np.frombuffer(x, np.uint8).reshape(1, -1))[0] for x in (d[:36], d[36:])]) for d in (left, right)]
     assert made[1][:5] == (1, media.PCM, 16000, 2, 16) and made[1][5] == want[0].astype("<i2").tobytes()
     assert made[2][:5] == (2, media.PCM, 16000, 4, 16) and made[2][5] == np.column_stack(want).astype("<i2").tobytes()
@@ -299,6 +338,8 @@ def test_warc_contract_and_order(spark, folder):
     assert len(seen) == len(texts) and len(files) > 5
     runs = stored(warc.read_runs(spark, path))
     history = warc.histories(runs).collect()
+    spread = warc.histories(runs, 10)
+    assert spread.rdd.getNumPartitions() == 7 and spread.collect() == history
     assert [tuple(r) for r in history] == sorted(map(tuple, history), key=warc._key)
     for r in history:
         b = texts[r["page_id"]]
@@ -307,6 +348,18 @@ def test_warc_contract_and_order(spark, folder):
         assert (r["record_type"], r["refers_to"]) == (("revisit", last[b]) if revisit else ("response", None))
 
 
+def test_warc_of_long_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LONG_BYTES", 2000)
+    monkeypatch.setattr(warc, "LONG_RECORDS_PER_FILE", 2)
+    path = shared_dir(spark)
+    data = [(i, "http://a/", ("x" * 3000 if i % 2 else "y") + str(i % 3)) for i in range(40)]
+    warc.write_archives(spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1), path)
+    runs = stored(warc.read_runs(spark, path))
+    assert {r["page_id"]: r["payload_bytes"] for r in runs.collect()} == {i: len(h) for i, _, h in data}
+    long = runs.where("payload_bytes > 2000").groupBy("archive").count().collect()
+    assert max(r["count"] for r in long) == 2
+
+
 def test_warc_of_an_empty_table(spark, folder):
     path = shared_dir(spark)
     warc.write_archives(spark.read.parquet(f"{folder}/pages.parquet").limit(0), path)

@@ -5,7 +5,9 @@ protocol) makes the archives; pages whose payload of at least 1000 bytes occurs
 response with the largest page_id, and otherwise as revisits. Reading: archives are parsed record by record by
 their Content-Length. Indexing: each archive gives a run sorted by URL key and time; runs are stored, dealt by
 range, and the pieces of runs that meet in a range are merged by a loser tree. A range is bounded by key, time and
-page, so that one URL with very many captures spreads over many ranges.
+page, so that one URL with very many captures spreads over many ranges, and a range holds about RANGE_ROWS index entries
+(never payloads), which bounds the memory of a merge. ``position`` counts bytes of the archive's text as it is after
+decompression.
 
 Defined cases: null html is an empty payload; a null url is about:blank; control characters in a url are escaped;
 repeated rows are archived each (rows equal to the response in page_id too are responses); null page_ids are never
@@ -17,6 +19,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import math
 import re
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
@@ -28,8 +31,9 @@ from pyspark.sql import functions as F
 from wardspark.llm.common import _arrow_schema, shared_dir, stored, table
 
 MIN_BYTES = 1000
-#: Bounds an archive, and with it a sorted run.
-RECORDS_PER_FILE = 2000
+#: Bounds an archive, and with it a sorted run; pages of at least LONG_BYTES go into archives of fewer records.
+RECORDS_PER_FILE, LONG_BYTES, LONG_RECORDS_PER_FILE = 2000, 128 << 10, 16
+RANGE_ROWS = 32768
 #: Rows of a payload that many pages share are dealt over so many parts.
 SALTS = 32
 #: Pages carry no date; captures are dated one second apart from this second on.
@@ -98,9 +102,11 @@ def record() -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    with_roles(pages).select(record().alias("value")).write.option("lineSep", END).option("compression", "gzip").option(
-        "maxRecordsPerFile", records_per_file
-    ).text(path)
+    """Archives below ``path``: short pages first, then long ones, so that no archive has many long records."""
+    rows = with_roles(pages)
+    for chosen, records in ((F.col("payload_bytes") < LONG_BYTES, records_per_file), (F.col("payload_bytes") >= LONG_BYTES, LONG_RECORDS_PER_FILE)):
+        made = rows.where(chosen).select(record().alias("value")).write.mode("append").option("lineSep", END)
+        made.option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes, int]]:
@@ -236,15 +242,17 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, CAPTURES)
 
 
-def histories(runs: DataFrame) -> DataFrame:
-    """All captures ordered by URL key and time: the partitions are ranges in order, and each is merged from runs."""
+def histories(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """All captures ordered by URL key and time: the partitions are ranges in order, and each is merged from runs.
+    ``runs`` are stored, as they are counted first."""
     schema = _arrow_schema(runs.sparkSession, CAPTURES)
+    ranges = max(1, math.ceil(runs.count() / range_rows))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         yield from _batches(LoserTree(natural_runs(rows)), schema)
 
-    return runs.repartitionByRange("urlkey", "captured", F.asc_nulls_first("page_id"), "archive", "position").mapInArrow(merge, CAPTURES)
+    return runs.repartitionByRange(ranges, "urlkey", "captured", F.asc_nulls_first("page_id"), "archive", "position").mapInArrow(merge, CAPTURES)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
