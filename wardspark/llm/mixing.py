@@ -3,26 +3,26 @@
 Documents are counted into cells of (source, lang, topic); the cells' token weights are raked in turn to the target
 shares of the three margins; a document is kept with a probability in proportion to raked weight over tokens of its
 cell, capped at 1, with the scale at which the expected tokens meet the budget. The cells depend on the categories,
-not on the number of documents, and are summed before the shuffle; a hot source is a few cells.
+not on the number of documents, and are summed before the shuffle; a hot source is a few cells. The sums of a margin
+are aggregated and joined back, so that no task holds all cells of one category.
 
 Defined cases: a null source or lang is ``unknown``; a null text has no tokens and topic ``empty``; empty cells get
 weight 0; a margin without a target keeps its shares; the draw depends on the doc_id and the seed only, so repeated
-rows are kept or dropped together; an empty table gives no rows; extra columns are kept by ``sample``.
+rows are kept or dropped together, and so are those with a null doc_id (the null counts as the empty text); an empty
+table gives no rows; extra columns are kept by ``sample``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardspark.llm.common import stored, table
 
 MARGINS = ("source", "lang", "topic")
 ITERATIONS, SCALE_STEPS = 10, 6
-#: Tables of cells up to this size are raked in one task, larger ones in windows over all executors.
-ONE_TASK_CELLS = 50_000
 #: First rule that matches gives the topic; otherwise it is prose.
 TOPICS = (
     ("legal", ("icensed under", "License")),
@@ -88,14 +88,13 @@ def raked(cells: DataFrame, targets: Targets, iterations: int = ITERATIONS) -> D
         total = float(aims.agg(F.sum("aim")).first()[0] or 0)
         cells = cells.join(aims.select(f"_{margin}", F.try_divide("aim", F.lit(total)).alias(f"aim_{margin}")), f"_{margin}")
     cells = stored(cells)
-    small = cells.count() <= ONE_TASK_CELLS
     for _ in range(iterations):
-        # each iteration is a plan of its own; a small table of cells needs no shuffle for its three windows
-        cells = cells.coalesce(1) if small else cells
+        # each iteration is a plan of its own: sums of few categories are joined back by broadcast, as AQE sees their size
         for margin in MARGINS:
-            own = F.sum("weight").over(Window.partitionBy(f"_{margin}"))
+            sums = cells.groupBy(f"_{margin}").agg(F.sum("weight").alias("own"))
             aim = F.col(f"aim_{margin}") * F.col("whole")
-            cells = cells.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * aim, own), F.lit(0.0)))
+            weight = F.coalesce(F.try_divide(F.col("weight") * aim, F.col("own")), F.lit(0.0))
+            cells = cells.join(sums, f"_{margin}").withColumn("weight", weight).drop("own")
         cells = stored(cells)
     return cells
 
