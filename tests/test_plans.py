@@ -72,6 +72,69 @@ def test_safe_patterns():
         vetted([CustomPattern("x", "a"), CustomPattern("X", "b")])
 
 
+def test_patterns_are_judged_by_their_structure():
+    for source in (r"\+", "[+]", "((a{2})b){3}", "(a{2})?", "((a|b)c){2}", "(?<=x)a", r"(a)b\1", "a{70,80}", "x{3,}"):
+        assert unsafe(source), source
+    for source in ("(ab){2}", "(a|b)", "(a|b)?", r"\d{4}-[()|{}]{2}", "(?:ab){3}", "[]x]{2}", "(a?b){2}", "a{0,64}"):
+        assert not unsafe(source), source
+
+
+def test_a_limit_without_order_is_read_once(spark, people, monkeypatch):
+    """Each run of the capped query gives other rows; names that are masked are carried over all the same."""
+    from wardspark.plans import caps as module
+
+    runs = []
+
+    def other_rows(df, n):
+        from pyspark.sql import functions as F
+
+        @F.udf("string")
+        def named(i):
+            runs.append(i)  # in the worker; what counts here is that values change
+            import uuid
+
+            return f"Name {uuid.uuid4().hex}"
+
+        one = df.limit(1).withColumn("name", named.asNondeterministic()("id"))
+        return one.withColumn("note", F.concat(F.lit("by "), "name"))
+
+    monkeypatch.setattr(module, "cap_rows", other_rows)
+    got = governed.query(spark, "SELECT id, name, note FROM shop.people", people).df
+    for _ in range(3):
+        assert [tuple(r)[1:] for r in got.collect()] == [("[MASKED_PII]", "by [MASKED_PII]")]
+
+
+def test_large_payloads_are_refused(spark, people):
+    got = governed.query(spark, "SELECT id, note FROM shop.people", people)
+    assert got.checked().count() == 3
+    with pytest.raises(PolicyError, match="exceeds 50KB"):
+        got.checked(20)
+
+
+def test_records_of_executors_become_rows(spark):
+    made = governed.normalised(spark, "x", [{"a": 1}, {"b": "y", "a": 2}])
+    assert [tuple(r) for r in made.select("a", "b").collect()] == [(1, None), (2, "y")]
+    for bad in ("rows", [1], {"a": 1}, None):
+        with pytest.raises(TypeError):
+            governed.normalised(spark, "x", bad)
+    assert governed.normalised(spark, "x", []).count() == 0
+
+
+def test_audit_texts_have_their_own_patterns():
+    from wardspark.functions.scan import Detectors, Scanner
+
+    audit, plain = Scanner(Detectors(audit=True)), Scanner()
+    for text, a, b in (
+        ("k sk-abcdefghijklmn x", "k [MASKED_SECRET] x", "k [MASKED_SECRET] x"),
+        ("k sk-proj-abcdefghijkl x", "k sk-proj-abcdefghijkl x", "k [MASKED_SECRET] x"),
+        ("sk_test_abcdef12", "sk_test_abcdef12", "[MASKED_SECRET]"),
+        ("cGF0cm9uQHNpcmtldC5jb20=", "[MASKED_PII]", "[MASKED_PII]"),
+        ("Yetkili: Ayse Demir", "Yetkili: Ayse Demir", "Yetkili: [MASKED_PII]"),
+        ("use sk-abcdefghijklmn- ok", "use [MASKED_SECRET]- ok", "use [MASKED_SECRET]- ok"),
+    ):
+        assert (audit.scan(text)[0], plain.scan(text)[0]) == (a, b), text
+
+
 def test_generated_attacks_never_reach_a_denied_table(spark, people):
     """Shapes of comments, cases, quotes, aliases, joins and writes, from a fixed seed."""
     rng = random.Random(20260814)

@@ -6,6 +6,8 @@ as rows; expected decisions stand beside them in the SQL.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,11 +99,6 @@ statement(
 )
 statement(
     "gov_union_mask",
-    "SELECT s_suppkey AS k, s_name AS n FROM tpch.supplier UNION ALL SELECT c_custkey, c_name FROM tpch.customer WHERE c_custkey <= 50",
-    "SELECT s_suppkey AS k, '[MASKED_PII]' AS n FROM supplier UNION ALL SELECT c_custkey, '[MASKED_PII]' FROM customer WHERE c_custkey <= 50",
-)
-statement(
-    "gov_union_mask_all",
     "SELECT k, n FROM (SELECT s_suppkey AS k, s_name AS n FROM tpch.supplier UNION ALL SELECT c_custkey, c_name FROM tpch.customer) AS u ORDER BY k",
     "SELECT k, '[MASKED_PII]' AS n FROM (SELECT s_suppkey AS k FROM supplier UNION ALL SELECT c_custkey FROM customer) ORDER BY k LIMIT 10000",
 )
@@ -221,11 +218,6 @@ statement(
 )
 statement(
     "gov_extract_json",
-    "SELECT event_id, extract(YEAR FROM ts) AS y, substring(event_type, 1, 3) AS head, get_json_object(props, '$.k') AS k FROM tpch.events WHERE event_id < 500",
-    "SELECT event_id, CAST(extract(YEAR FROM ts) AS INTEGER) AS y, substring(event_type, 1, 3) AS head, json_extract_string(props, '$.k') AS k FROM events WHERE event_id < 500",
-)
-statement(
-    "gov_extract_json_all",
     "SELECT event_id, extract(YEAR FROM ts) AS y, substring(event_type, 1, 3) AS head, get_json_object(props, '$.k') AS k FROM tpch.events ORDER BY event_id",
     "SELECT event_id, CAST(extract(YEAR FROM ts) AS INTEGER) AS y, substring(event_type, 1, 3) AS head, json_extract_string(props, '$.k') AS k FROM events ORDER BY event_id LIMIT 10000",
 )
@@ -327,18 +319,8 @@ decisions("dialect_oracle", [
 ], dialect="oracle")
 
 
-@query(
-    "gov_mssql_top",
-    "SELECT o_orderkey FROM orders WHERE o_orderkey <= 12 ORDER BY o_orderkey LIMIT 5",
-)
+@query("gov_mssql_top", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50")
 def gov_mssql_top(spark: SparkSession, folder: str) -> DataFrame:
-    catalog.register(spark, folder)
-    sql = "SELECT TOP 5 o_orderkey FROM tpch.[orders] WHERE o_orderkey <= 12 ORDER BY o_orderkey"
-    return governed.query(spark, sql, Policy(allow_tables=("tpch.*",), dialect="mssql", max_rows=50)).df
-
-
-@query("gov_mssql_top_all", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50")
-def gov_mssql_top_all(spark: SparkSession, folder: str) -> DataFrame:
     catalog.register(spark, folder)
     sql = "SELECT TOP 9999 o_orderkey FROM tpch.[orders] ORDER BY o_orderkey"
     return governed.query(spark, sql, Policy(allow_tables=("tpch.*",), dialect="mssql", max_rows=50)).df
@@ -465,26 +447,45 @@ def det_card_luhn(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "documents").select("doc_id", F.size(F.filter(runs, card)).alias("cards"))
 
 
-_RE2_TOKEN = P.SECRET_TOKEN.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b")
-
-
 def _sql(text: str) -> str:
     return text.replace("'", "''")
 
 
 @query(
     "det_secrets",
-    rf"""SELECT doc_id, CAST(len(regexp_extract_all(text, '{_sql(_RE2_TOKEN)}')) AS INTEGER) AS tokens,
+    rf"""SELECT doc_id, CAST(len(regexp_extract_all(text, '{_sql(P.SECRET_TOKEN)}')) AS INTEGER) AS tokens,
 CAST(len(regexp_extract_all(text, '{_sql(P.URL_PASSWORD)}')) AS INTEGER) AS urls,
 CAST(len(regexp_extract_all(text, '(?i){_sql(P.BEARER)}')) AS INTEGER) AS bearers,
 CAST(len(regexp_extract_all(text, '(?i){_sql(P.ASSIGNMENT)}')) AS INTEGER) AS assignments FROM documents""",
 )
 def det_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    count = lambda p: F.regexp_count("text", F.lit(p))
+    """Each pattern is tried only on texts that hold one of the words without which it cannot match."""
+    low = F.lower("text")
+    has = lambda text, *words: functools.reduce(operator.or_, (F.contains(text, F.lit(w)) for w in words))
+    count = lambda guard, p: F.when(guard, F.regexp_count("text", F.lit(p))).when(F.col("text").isNotNull(), 0)
     return read(spark, folder, "documents").select(
-        "doc_id", count(P.SECRET_TOKEN).alias("tokens"), count(P.URL_PASSWORD).alias("urls"),
-        count("(?i)" + P.BEARER).alias("bearers"), count("(?i)" + P.ASSIGNMENT).alias("assignments"),
+        "doc_id", count(has(F.col("text"), *P.TOKEN_WORDS), P.SECRET_TOKEN).alias("tokens"),
+        count(has(F.col("text"), "://"), P.URL_PASSWORD).alias("urls"), count(has(low, "bearer"), "(?i)" + P.BEARER).alias("bearers"),
+        count(has(low, *P.ASSIGNED_WORDS), "(?i)" + P.ASSIGNMENT).alias("assignments"),
+    )
+
+
+@query(
+    "det_token_ends",
+    r"""WITH t AS (SELECT conv_id, turn, concat('use sk-abcdefghijklmn', md5(text), CASE turn % 4 WHEN 0 THEN '-' WHEN 1 THEN '.' WHEN 2 THEN '_' ELSE '' END, ' and eyJ',
+md5(text), '.', md5(text), CASE turn % 3 WHEN 0 THEN '.' WHEN 1 THEN '-.' ELSE '' END, ' ghp_', md5(text), 'é') AS t FROM conversations)
+SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'use [MASKED_SECRET]-' WHEN 1 THEN 'use [MASKED_SECRET].' ELSE 'use [MASKED_SECRET]' END || ' and [MASKED_SECRET]' ||
+CASE turn % 3 WHEN 0 THEN '.' WHEN 1 THEN '-.' ELSE '' END || ' [MASKED_SECRET]é' AS masked FROM t""",
+)
+def det_token_ends(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens that end in signs: a match ends where a word ends."""
+    text, turn = F.md5(F.col("text").cast("binary")), F.col("turn")
+    t = F.concat(
+        F.lit("use sk-abcdefghijklmn"), text, F.when(turn % 4 == 0, "-").when(turn % 4 == 1, ".").when(turn % 4 == 2, "_").otherwise(""), F.lit(" and eyJ"), text,
+        F.lit("."), text, F.when(turn % 3 == 0, ".").when(turn % 3 == 1, "-.").otherwise(""), F.lit(" ghp_"), text, F.lit("é"),
     )
+    rows = read(spark, folder, "conversations").select("conv_id", "turn", t.alias("masked"))
+    return mask.scan_texts(rows, Detectors(names=False), counts=False)
 
 
 @query("det_oversize", f"SELECT doc_id, length(text) > {P.SCAN_CHARS} AS oversize FROM documents")
@@ -578,7 +579,7 @@ def det_split_id(spark: SparkSession, folder: str) -> DataFrame:
 @query("mask_pipeline_documents")
 def mask_pipeline_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Every text through all detectors."""
-    docs = mask.scan_texts(read(spark, folder, "documents").select("doc_id", "text"))
+    docs = mask.scan_texts(mask.spread(read(spark, folder, "documents").select("doc_id", "text")))
     return docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("masked"), F.col("_masked").alias("hits"))
 
 

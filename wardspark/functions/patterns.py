@@ -18,14 +18,22 @@ DOTTED = r"(?<![0-9.])(?:[0-9]{1,3}\.)+[0-9]{1,3}(?![0-9.])"
 COLONS = r"(?<![0-9A-Fa-f:])\[?(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?:\.(?:0|[1-9][0-9]{0,2})){0,3}\]?(?![0-9A-Fa-f:])"
 PASSPORT = r"P[A-Z0-9<]{43}\r?\n[A-Z0-9<]{44}"
 SECRET_TOKEN = (
-    r"(?<![A-Za-z0-9_])(?:sk-[A-Za-z0-9_-]{12,}|sk_live_[A-Za-z0-9]{6,}|sk_test_[A-Za-z0-9]{6,}|AKIA[0-9A-Z]{16}"
-    r"|ghp_[A-Za-z0-9]{20,}|gsk_[A-Za-z0-9]{20,}|xox[baprs]-[A-Za-z0-9-]{8,}|eyJ[A-Za-z0-9._-]{20,})(?![A-Za-z0-9_])"
+    r"\b(?:sk-[A-Za-z0-9_-]{12,}|sk_live_[A-Za-z0-9]{6,}|sk_test_[A-Za-z0-9]{6,}|AKIA[0-9A-Z]{16}"
+    r"|ghp_[A-Za-z0-9]{20,}|gsk_[A-Za-z0-9]{20,}|xox[baprs]-[A-Za-z0-9-]{8,}|eyJ[A-Za-z0-9._-]{20,})\b"
 )
 URL_PASSWORD = r"([a-zA-Z][a-zA-Z0-9+.-]*://[^:@\s/\"']+:)[^@\s/\"']+(@)"
 BEARER = r"(Bearer\s+)[A-Za-z0-9._~+/=-]{6,}"
 ASSIGNMENT = (
     r"((?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|authorization)[\"'\s]*[:=][\"'\s]*)[^\"'\s,;}]{4,}"
 )
+#: Words without one of which these patterns cannot match: a cheap test before them.
+TOKEN_WORDS = ("sk-", "sk_", "AKIA", "ghp_", "gsk_", "xox", "eyJ")
+ASSIGNED_WORDS = ("passw", "pwd", "secret", "token", "api", "access", "authorization")
+#: As SECRET_TOKEN, for arguments and errors in the audit log.
+AUDIT_TOKEN = (
+    r"\b(?:sk-[A-Za-z0-9]{12,}|sk_live_[A-Za-z0-9]{6,}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{20,}|gsk_[A-Za-z0-9]{20,}"
+    r"|xox[baprs]-[A-Za-z0-9-]{8,}|eyJ[A-Za-z0-9._-]{20,})\b"
+)
 TITLES = ("Sn.", "Sayın", "Sayin", "Bayan", "Bay", "Mrs.", "Mr.", "Ms.", "Dr.", "Av.", "Prof.")
 NAME_LABELS = (
     "müşteri", "musteri", "yetkili", "kişi", "kisi", "temsilci", "adı soyadı", "adi soyadi", "ad soyad", "customer",

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from wardspark.operators import mask
 from wardspark.plans import caps, dialects, gate, lineage, tree
 from wardspark.plans.policy import Actor, Policy, PolicyError, rule_for
+from wardspark.sources import shared
 
 
 @dataclass
@@ -26,6 +27,10 @@ class Governed:
     masked_fields: tuple[str, ...]
     flags: tuple[str, ...] = field(default=())
 
+    def checked(self, limit: int = caps.PAYLOAD_BYTES) -> DataFrame:
+        """``df``, or PolicyError if its rows take more than ``limit`` bytes as JSON."""
+        return caps.within_payload(self.df, limit)
+
     def summary(self) -> DataFrame:
         """rows, masked_count and decision of the access, in one pass over the capped result."""
         masked = F.coalesce(F.sum("_masked"), F.lit(0)).cast("long")
@@ -37,6 +42,7 @@ def admitted(spark: SparkSession, sql: str, policy: Policy) -> tuple[gate.Admitt
     """Gate and lineage; nothing has run yet."""
     text = dialects.to_spark(sql, policy)
     seen = gate.admit(spark, text, policy)
+    gate.check_text(seen.sql)  # once more on what runs, whatever the gate made of it
     df = spark.sql(seen.sql)
     return seen, df, lineage.trace(tree.analyzed(df), policy)
 
@@ -47,10 +53,14 @@ def query(
     """The rows of a query that the policy lets through, masked; PolicyError if it refuses.
 
     The cap stands inside the masks, so detectors see at most ``max_rows`` rows. Masks stand above the query: filters,
-    joins and groups work on the stored values."""
+    joins and groups work on the stored values. Scans look at the rows more than once, and a limit without an order may
+    choose other rows each time; so the capped rows are stored once, in the folder that the cluster shares, and the query
+    runs once (``shared.release`` deletes them)."""
     policy = policy.for_actor(actor)
     seen, df, traced = admitted(spark, sql, policy)
     capped = caps.cap_rows(df, policy.max_rows)
+    if scan:
+        capped = shared.stored(capped.toDF(*(f"c{i}" for i in range(len(df.columns))))).toDF(*df.columns)
     by_key = [i for i, n in enumerate(df.columns) if rule_for(policy.masks, n)]
     positions = sorted({*traced.masked_positions(), *by_key})
     fields = tuple(dict.fromkeys(df.columns[i] for i in positions))
@@ -99,7 +109,17 @@ class Executors:
         if not policy.allows_connector(name):
             raise PolicyError(f"Connector '{name}' is not permitted by policy.")
         seen = gate.admit(spark, dialects.to_spark(sql, policy), policy)
-        out = self.functions[name](seen.sql)
-        if not isinstance(out, DataFrame):
-            raise TypeError(f"executor {name} must return a DataFrame")
-        return caps.cap_rows(out, policy.max_rows)
+        return caps.cap_rows(normalised(spark, name, self.functions[name](seen.sql)), policy.max_rows)
+
+
+def normalised(spark: SparkSession, name: str, out) -> DataFrame:
+    """What an executor gave, as rows: a DataFrame, or a list of records of which all must be dictionaries; the columns
+    of records are the names of all of them, in the order in which they first occur."""
+    if isinstance(out, DataFrame):
+        return out
+    if not isinstance(out, list) or not all(isinstance(r, dict) for r in out):
+        raise TypeError(f"executor {name} must return a DataFrame or a list of records")
+    names = list(dict.fromkeys(k for r in out for k in r))
+    if not names:
+        return spark.createDataFrame([], "value string")
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in out], names)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from wardspark.functions import patterns as P
 from wardspark.functions.checks import national_id_column
 from wardspark.functions.names import label_by_name
 from wardspark.functions.scan import Detectors, Scanner
+from wardspark.operators.evidence import positions
 
 #: Values of masked columns that are carried over into texts come from a capped result: at most its rows.
 SHORTEST_VALUE = 3
@@ -116,6 +118,12 @@ def scan_texts(df: DataFrame, detectors: Detectors | None = None, skip: set[str]
     return df.mapInArrow(run, schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, if it has fewer (a file of one row group); its order goes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def known_values(df: DataFrame, columns: list[str]) -> list[str]:
     """Distinct values of masked columns of a capped result, longest first. Bounded by the row cap of the policy."""
     parts = F.array(*(F.trim(col(c).cast("string")) for c in columns))
@@ -162,9 +170,7 @@ def carry_over(df: DataFrame, values: list[str], columns: list[str]) -> DataFram
     kept: dict[str, KnownValues] = {}
 
     @F.pandas_udf("struct<text: string, n: long>")
-    def replaced(texts):
-        import pandas as pd
-
+    def replaced(texts: pd.Series) -> pd.DataFrame:
         known = kept.get("known") or kept.setdefault("known", KnownValues(values))
         found = [known.replace(None if t is None or t != t else t) for t in texts]
         return pd.DataFrame({"text": [f[0] for f in found], "n": [f[1] for f in found]})
@@ -200,21 +206,26 @@ def split_ids(df: DataFrame) -> DataFrame:
 
 
 def pseudonyms(names: DataFrame, name: str, kind: str) -> DataFrame:
-    """token and name of each distinct name: ``Kind #n``, longest names first, ties by name."""
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.desc(F.length("name")), "name")
-    rows = names.select(F.trim(col(name)).alias("name")).where("name <> ''").distinct()
-    return rows.select(F.concat(F.lit(f"{kind} #"), F.row_number().over(order)).alias("token"), "name")
+    """token and name of each distinct name: ``Kind #n``, longest names first, ties by name. A sort over all executors
+    numbers them; no task holds all names."""
+    rows = names.select(F.trim(col(name)).alias("name")).where("name <> ''").distinct().orderBy(F.desc(F.length("name")), "name")
+    return positions(rows).select(F.concat(F.lit(f"{kind} #"), F.col("pos") + 1).alias("token"), "name")
 
 
 def pseudonymise(df: DataFrame, text: str, tokens: DataFrame) -> DataFrame:
-    """Names in ``text`` become their tokens, longest first. ``tokens`` is a list that a person keeps (bounded)."""
-    pairs = sorted(((r["name"], r["token"]) for r in tokens.collect()), key=lambda p: (-len(p[0]), p[0]))
-    out = col(text)
-    for name, token in pairs:
-        out = F.replace(out, F.lit(name), F.lit(token))
-    return df.withColumn(text, out)
+    """Names in ``text`` become their tokens in one pass, the longest at each place; what was put in is not looked at again.
+    ``tokens`` is a list that a person keeps (bounded)."""
+    pairs = {r["name"]: r["token"] for r in tokens.collect()}
+    if not pairs:
+        return df
+    kept: dict[str, re.Pattern] = {}
+
+    @F.pandas_udf("string")
+    def replaced(texts: pd.Series) -> pd.Series:
+        found = kept.get("found") or kept.setdefault("found", re.compile("|".join(re.escape(n) for n in sorted(pairs, key=lambda n: (-len(n), n)))))
+        return texts.map(lambda t: found.sub(lambda m: pairs[m.group()], t), na_action="ignore")
+
+    return df.withColumn(text, replaced(col(text)))
 
 
 def suggested_masks(columns: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ SENSITIVE_TABLES = (
 BRIEF_DROPS = r"(?i)phone|email|gsm|tckn"
 CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 
-_HIDDEN, _TOKEN = re.compile(HIDDEN_FIELDS), re.compile(P.SECRET_TOKEN)
+_HIDDEN, _TOKEN = re.compile(HIDDEN_FIELDS), re.compile(P.SECRET_TOKEN, re.ASCII)
 
 
 def redact(value):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardspark.plans.policy import PolicyError
+
 PAYLOAD_BYTES = 50_000
 
 
@@ -28,6 +30,17 @@ def payload_bytes(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0)).cast("long").alias("bytes"))
 
 
+#: Fixed value: the refusal of a result that is too large.
+TOO_LARGE = "Response payload exceeds 50KB limit. Aggregation or massive row detected."
+
+
+def within_payload(df: DataFrame, limit: int = PAYLOAD_BYTES) -> DataFrame:
+    """``df``, or PolicyError if its rows take more than ``limit`` bytes. Reads it once more: give it what is stored."""
+    if payload_bytes(df).first()["bytes"] > limit:
+        raise PolicyError(TOO_LARGE)
+    return df
+
+
 def largest_prefix(df: DataFrame, order: list[str], rows: int, budget: int = PAYLOAD_BYTES) -> DataFrame:
     """The longest prefix in ``order`` of at most ``rows`` rows whose JSON fits ``budget``.
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardspark.plans import caps
 from wardspark.plans.policy import Policy, PolicyError
 
 DATABASE = "tpch"
@@ -54,7 +55,7 @@ def describe(spark: SparkSession, table: str, policy: Policy) -> DataFrame:
     if not policy.allows_table(table) or not spark.catalog.tableExists(table):
         raise PolicyError(f"Access to table '{table}' is not permitted by policy.")
     rows = [(f.name, f.dataType.simpleString(), f.nullable, f.metadata.get("comment")) for f in spark.table(table).schema]
-    return spark.createDataFrame(rows, "column_name string, data_type string, nullable boolean, description string")
+    return caps.within_payload(spark.createDataFrame(rows, "column_name string, data_type string, nullable boolean, description string"))
 
 
 def schema_resource(spark: SparkSession, policy: Policy) -> dict[str, list[str]]:
