@@ -211,3 +211,168 @@ def test_countersignatures(spark):
     record["hash"] = canon.entry_hash(record)
     assert records.countersigned(record, log, {"k": bytes(32)}) == 13
     assert records.countersigned(record | {"x": 2}, log, {}) == 14 and records.countersigned({"seq": 1}, log, {}) == 20
+
+
+SEED = bytes(range(32))
+
+
+def test_signing_vectors():
+    """Secret keys of the first three tests of RFC 8032."""
+    for seed, public, message in (
+        ("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60", "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a", ""),
+        ("4ccd089b28ff96da9db6c346ec114e0f5b8a319f35aba624da8cf6ed4fb8a6fb", "3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c", "72"),
+        ("c5aa8df43f9f837bedb7442f31dcb7b166d38535076f094b85ce3a2e0b4458f7", "fc51cd8e6218a1a38da47ed00230f0580816ed13ba3303ac5deb911548908025", "af82"),
+    ):
+        secret, text = bytes.fromhex(seed), bytes.fromhex(message)
+        assert canon.ed25519_public(secret).hex() == public
+        assert canon.ed25519_ok(bytes.fromhex(public), text, canon.ed25519_sign(secret, text))
+
+
+def bodies(n):
+    drop = lambda r: {k: v for k, v in r.items() if k not in ("chain", "sig")}
+    return [json.dumps(drop(json.loads(r))) for r in receipts(n)]
+
+
+def test_a_written_chain_verifies_and_goes_on(spark, tmp_path):
+    rows = spark.createDataFrame([(log, k, b) for log in ("a", "b") for k, b in enumerate(bodies(6))], "log string, k int, value string")
+    made = evidence.chained(rows.where("k < 4"), "k", "log", "key", SEED)
+    path, keys = str(tmp_path / "chain"), {"key": canon.ed25519_public(SEED)}
+    assert files.append_chain(made.where("log = 'a'"), path) == 4
+    more = evidence.chained(rows.where("k >= 4"), "k", "log", "key", SEED, evidence.tails(made))
+    with pytest.raises(ValueError, match="go on"):
+        files.append_chain(more.where("log = 'a' AND seq > 5"), path)
+    with pytest.raises(ValueError, match="go on"):
+        files.append_chain(made.where("log = 'b'"), path)
+    assert files.append_chain(more.where("log = 'a'"), path) == 6 and files.append_chain(more.limit(0), path) == 6
+    lines_ = spark.read.text(path).withColumn("pos", F.get_json_object("value", "$.chain.seq").cast("long") - 1)
+    assert evidence.verdict(evidence.verified(lines_, keys), count=6).first()["code"] == 0
+    forged = lines_.withColumn("value", F.regexp_replace("value", '"rowsReturned":1', '"rowsReturned":2'))
+    assert evidence.verdict(evidence.verified(forged, keys)).first()["code"] == 10
+    assert evidence.verdict(evidence.verified(lines_, {"key": bytes(32)})).first()["code"] == 13
+
+
+def test_receipts_are_read_in_every_shape(spark, tmp_path):
+    good = receipts(5)
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.jsonl").write_text("\n\n".join(good[:2]) + "\n")
+    (folder / "b.json").write_text("[" + ",\n".join(good[2:4]) + "]")
+    (folder / "c.receipt").write_text(good[4])
+    (folder / "d.json").write_text(json.dumps({"not": "receipts"}, indent=1))
+    (folder / "e.txt").write_text("no receipts")
+    read, skipped = evidence.load_receipts(spark, str(folder))
+    assert [r["pos"] for r in read.orderBy("pos").collect()] == list(range(5)) and [s.rsplit("/", 1)[-1] for s in skipped] == ["d.json"]
+    assert evidence.verdict(evidence.verified(read)).first()["code"] == 0
+    assert evidence.load_receipts(spark, str(folder / "b.json"))[0].count() == 2
+    for name, code in (("d.json", 2), ("gone.json", 2)):
+        with pytest.raises(evidence.UnreadableReceipts) as error:
+            evidence.load_receipts(spark, str(folder / name))
+        assert error.value.code == code
+    (folder / "b.json").write_text("[" + good[2])
+    (folder / "f.jsonl").write_text(good[0] + "\n" + good[1][:-3] + "\n")
+    for path in (folder, folder / "b.json", folder / "f.jsonl"):
+        with pytest.raises(evidence.UnreadableReceipts) as error:
+            evidence.load_receipts(spark, str(path))
+        assert error.value.code == 20
+
+
+def test_anchor_codes(spark):
+    ref = [json.loads(r)["chain"]["hash"] for r in receipts(4)]
+    held = lambda **at: receipts(4, lambda i, r: r | {"anchor": at[f"r{i}"]} if f"r{i}" in at else r)
+    log = lambda *rows: spark.createDataFrame(list(rows), "seq long, hash string, proof string, outcome string")
+    code = lambda rows, held_in, **k: tuple(evidence.verdict(evidence.verified(lines(spark, rows), anchors=held_in), **k).first()[c] for c in ("code", "pos"))
+    mark = {"log": "calendar", "ref": ref[1], "state": "pending"}
+    one = held(r1=mark)
+    assert code(one, log((1, ref[1], "p", "pending"))) == (0, None) == code(one, None)
+    assert code(one, log((1, ref[0], "p", "verified"))) == (14, 1)
+    assert code(one, log((1, ref[1], "", "verified"))) == (14, 1)
+    assert code(one, log((1, ref[1], "p", "failed"))) == (14, 1)
+    assert code(one, log((1, ref[1], "p", "failed"), (2, ref[1], "p", "verified"))) == (0, None)
+    assert code(one, log((1, ref[1], "p", None))) == (15, 1)
+    assert code(held(r1={"ref": ref[1]}), log((1, ref[1], "p", "verified"))) == (14, 1)
+    assert code(held(r1={"log": "calendar", "ref": ""}), log((1, ref[1], "p", "verified"))) == (0, None)
+    assert code(receipts(4), log((1, "x", "p", "verified")), anchors=True) == (15, None)
+    assert code(one, log((1, ref[1], "p", "verified")), anchors=True, head_anchor=True) == (14, None)
+    assert code(held(r3={"log": "c", "ref": ref[3]}), log((1, ref[3], "p", "verified")), anchors=True, head_anchor=True) == (0, None)
+
+
+def test_signed_declarations(spark):
+    df = spark.createDataFrame([(i, json.loads(r)["id"]) for i, r in enumerate(receipts(3))], "i int, id string")
+    found = df.agg(*(F.lit(v).alias(k) for k, v in dict(start="a", end="b", first_seq=1, last_seq=3, count=3, contiguous=True, allow=3, partial=0, deny=0, declared=2, accessed=1, unassigned=0, not_recorded=1).items()))
+    made = evidence.signed_declaration(found, ["shop.b", "shop.a"], "k", SEED, "id", "t")
+    keys = {"k": canon.ed25519_public(SEED)}
+    assert evidence.declaration_holds(made, keys) and not evidence.declaration_holds(made, {})
+    assert not evidence.declaration_holds(made | {"ts": "later"}, keys) and not evidence.declaration_holds(made, {"k": bytes(32)})
+    with pytest.raises(ValueError):
+        evidence.signed_declaration(found, [], "k", SEED, "id", "t")
+
+
+def test_long_gaps_are_ranges(spark):
+    far = [-(2**62), -5, 0, 1, 2**40, 2**40 + 250_001, 2**62]
+    df = spark.createDataFrame([(s,) for s in [*far, 1, 0]], "seq long")
+    got = sorted(tuple(r) for r in evidence.gap_ranges(df).collect())
+    want = [(a + 1, b - 1, b) for a, b in zip(far, far[1:], strict=False) if b > a + 1]
+    assert got == want
+    few = df.where(F.col("seq").between(2**40, 2**40 + 250_001))
+    assert [r["expected_seq"] for r in evidence.sequence_gaps(few).orderBy("expected_seq").collect()] == list(range(2**40 + 1, 2**40 + 250_001))
+
+
+def test_anchors_due_against_a_plain_fold(spark):
+    import random
+
+    rng, rows, want = random.Random(3), [], set()
+    for log in "ab":
+        t, n, since = 0, 0, None
+        for seq in range(300):
+            t += rng.choice([0, 1, 5, 40])
+            rows.append((log, seq, t))
+            n, since = n + 1, t if since is None else since
+            if n >= 7 or t - since >= 90:
+                want.add((log, seq))
+                n, since = 0, t
+    rng.shuffle(rows)
+    got = evidence.anchor_due(spark.createDataFrame(rows, "log string, seq long, ts long"), 7, 90)
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_prompts_and_limits_of_whole_tables_against_plain_loops(spark):
+    from pathlib import Path
+
+    from wardspark import catalogue
+    from wardspark.functions.scan import Detectors, Scanner
+
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("test tables are absent")
+    scanner = Scanner(Detectors(names=False))
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").collect()
+    want = sorted((r["conv_id"], r["turn"], len(r["text"]), scanner.scan(r["text"], "text")[1]) for r in turns if r["text"] is not None)
+    got = catalogue.QUERIES["mask_conversations"](spark, folder).where("prompt_chars IS NOT NULL").collect()
+    assert sorted((r["conv_id"], r["turn"], r["prompt_chars"], r["masked_count"]) for r in got) == want
+    passed, want = {}, {}
+    events = spark.read.parquet(f"{folder}/events.parquet").withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
+    for r in sorted(events.collect(), key=lambda r: (r["s"], r["event_id"])):
+        last = [t for t in passed.get(r["user_id"], []) if t > r["s"] - 86400]
+        want[r["event_id"]] = len(last) < 3
+        passed[r["user_id"]] = last + [r["s"]] * want[r["event_id"]]
+    assert {r["key"]: r["allowed"] for r in catalogue.QUERIES["rate_limit_decisions"](spark, folder).collect()} == want
+
+
+def test_pseudonyms_are_put_in_once(spark):
+    from wardspark.operators import mask
+
+    names = spark.createDataFrame([(n,) for n in ("Ann", "Ann Lee", "Person", "Bo", " Bo ", "", None)], "n string")
+    tokens = mask.pseudonyms(names, "n", "Person")
+    assert {r["name"]: r["token"] for r in tokens.collect()} == {"Ann Lee": "Person #1", "Person": "Person #2", "Ann": "Person #3", "Bo": "Person #4"}
+    rows = spark.createDataFrame([("Ann Lee and Ann met Person and Bo",), (None,)], "t string")
+    assert [r["t"] for r in mask.pseudonymise(rows, "t", tokens).collect()] == ["Person #1 and Person #3 met Person #2 and Person #4", None]
+
+
+def test_result_documents(spark):
+    items = spark.createDataFrame([("q1", "matched", None), ("q2", "indeterminate", "unattributed")], "item string, outcome string, reason string")
+    texts = dict.fromkeys(("start", "end", "receipts", "profile"), "x")
+    profile = reconcile.Profile.of({"v": 1, "version": "7", "multiplicity": {"maxStatementsPerReceipt": 3}})
+    made = reconcile.projected(items, profile, texts, (0, 9), "db")
+    assert made["counts"]["matched"] == 1 and made["outcome"] == "exceptions" and made["items"] == [{"item": "q2", "outcome": "indeterminate", "reason": "unattributed"}]
+    assert made["bounds"] == {"multiplicity": "operator-declared", "skew": "undeclared", "exclusion": "undeclared"} and made["profile"]["version"] == "7"
+    assert reconcile.projected(items.where("outcome = 'matched'"), None, texts, (0, 9), "db")["outcome"] == "no-exceptions"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardspark.functions import canon
 
@@ -34,7 +36,8 @@ META_SOURCES = ("protocol", "measured", "operator-declared", "undeclared")
 
 
 def positions(lines: DataFrame) -> DataFrame:
-    """``pos`` (from 0) of each row in file order. One count per partition comes to the driver, no row does."""
+    """``pos`` (from 0) of each row in the order of partitions, which must be the same whenever ``lines`` is evaluated. One
+    count per partition comes to the driver, no row does."""
     numbered = lines.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
     counts = sorted((r["_part"], r["n"]) for r in numbered.groupBy("_part").agg(F.count("*").alias("n")).collect())
     starts, at = {}, 0
@@ -47,10 +50,124 @@ def positions(lines: DataFrame) -> DataFrame:
     return numbered.withColumn("pos", offset + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_row")
 
 
+class UnreadableReceipts(ValueError):
+    """``code`` 2: the path holds nothing that can be read as receipts; 20: a file was examined and is malformed."""
+
+    def __init__(self, code: int, reason: str):
+        super().__init__(reason)
+        self.code = code
+
+
+#: Endings of the files of a folder that are read.
+RECEIPT_FILES = "*.{json,jsonl,receipt}"
+
+
 def read_receipts(spark: SparkSession, path: str) -> DataFrame:
-    """pos, file, value (the raw line, which the hash covers) and r (parsed; null if the line is no JSON)."""
-    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("file", F.col("_metadata.file_name"))
-    return positions(lines).withColumn("r", F.from_json("value", RECEIPT_SCHEMA))
+    """The receipts of ``load_receipts``, whatever was skipped."""
+    return load_receipts(spark, path)[0]
+
+
+def load_receipts(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """pos, file, value (the raw record, which the hash covers) and r (parsed), and the files of a folder that were
+    skipped, by name.
+
+    A file holds one record per line, or an array. Lines are read in parallel; only a file that begins with ``[`` or has a
+    line that is no JSON is looked at as a whole. If that is JSON, it is of another shape: fatal (2) where the file was
+    named itself, skipped in a folder. If it is not, it is malformed and always fatal (20)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise UnreadableReceipts(2, f"path not found: {path}")
+    folder = fs.getFileStatus(at).isDirectory()
+    reader = spark.read.option("pathGlobFilter", RECEIPT_FILES) if folder else spark.read
+    lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
+    lines = lines.where(F.trim("value") != "").withColumn("_in", F.monotonically_increasing_id())
+    begin = lines.groupBy("file").agg(F.min_by(F.substring(F.ltrim("value"), 1, 1), F.struct("_block", "_in")).alias("c"))
+    odd = F.try_parse_json("value").isNull()
+    arrays = [r["file"] for r in begin.where("c = '['").collect()]  # names of files only
+    plain = lines.where(~F.col("file").isin(arrays)) if arrays else lines
+    broken = [r["file"] for r in plain.where(odd).select("file").distinct().collect()]
+    # only the files in question are looked at as wholes
+    whole = lambda names: spark.read.text(names, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    skipped = []
+    for row in whole(arrays + broken).select("file", _is_json("value").alias("ok")).orderBy("file").collect() if arrays or broken else ():
+        if not row["ok"]:
+            raise UnreadableReceipts(20, f"{row['file']} is not valid JSON")
+        if row["file"] in broken:
+            if not folder:
+                raise UnreadableReceipts(2, f"{row['file']} is JSON but not one record per line")
+            skipped.append(row["file"])
+    plain = plain.where(~F.col("file").isin(skipped)) if skipped else plain
+    if arrays:
+        items = whole(arrays).select(F.posexplode(F.from_json("value", "array<string>")).alias("_in", "value"), "file")
+        plain = plain.unionByName(items.select("value", "file", F.lit(0).cast("long").alias("_block"), F.col("_in").cast("long").alias("_in")))
+    return _in_file_order(plain).withColumn("r", F.from_json("value", RECEIPT_SCHEMA)), skipped
+
+
+@F.pandas_udf(T.BooleanType())
+def _is_json(texts: pd.Series) -> pd.Series:
+    """Whether a text is one JSON value and nothing else; the JVM's parser stops after the first value."""
+
+    def one(text: str) -> bool:
+        try:
+            json.loads(text)
+        except ValueError:
+            return False
+        return True
+
+    return texts.map(one)
+
+
+def _in_file_order(lines: DataFrame) -> DataFrame:
+    """pos, file and value of lines (file, _block, _in): files by name, blocks by start, lines as they come in a block. A
+    block is read by one task in order, so its first line and its size are enough; there is a row per block."""
+    blocks = lines.groupBy("file", "_block").agg(F.min("_in").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return lines.join(starts, ["file", "_block"]).select((F.col("_at") + F.col("_in") - F.col("_first")).alias("pos"), "file", "value")
+
+
+#: Where a chain of receipts starts.
+RECEIPT_GENESIS = f"sha256:{canon.GENESIS}"
+
+
+def chained(records: DataFrame, order: str, log: str, key_id: str | None = None, seed: bytes | None = None, tails: dict[str, tuple[int, str]] | None = None) -> DataFrame:
+    """log, seq and value of the records (a JSON object in ``value``) of each log, linked in ``order`` and signed if there is
+    a key: the writer of a chain. ``tails`` has the last seq and hash of logs that go on.
+
+    A hash covers the one before, so a log is folded in order; records stream through partitions sorted by log, and what
+    is held is the last link. Logs are independent. A record that is no JSON object is an error."""
+    known = tails or {}
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, seq, before = object(), 0, ""
+        for pdf in parts:
+            seqs, lines = [], []
+            for name, line in zip(pdf["log"], pdf["value"], strict=True):
+                if name != last:
+                    last, (seq, before) = name, known.get(name, (0, RECEIPT_GENESIS))
+                body = json.loads(line)
+                if not isinstance(body, dict):
+                    raise ValueError(f"a record of log {name} is no object")
+                seq += 1
+                body["chain"] = {"seq": seq, "prevHash": before}
+                before = body["chain"]["hash"] = canon.receipt_hash(body)
+                if seed is not None:
+                    body["sig"] = canon.signature_of(before, key_id, seed)
+                seqs.append(seq)
+                lines.append(canon.canonical(body))
+            yield pd.DataFrame({"log": pdf["log"], "seq": seqs, "value": lines})
+
+    rows = records.select(F.col(log).cast("string").alias("log"), F.col(order).alias("_order"), "value")
+    dealt = rows.repartition("log").sortWithinPartitions("log", "_order")
+    return dealt.mapInPandas(run, "log string, seq long, value string")
+
+
+def tails(receipts: DataFrame, log: str = "log") -> dict[str, tuple[int, str]]:
+    """Last seq and hash of each log of (log, value): where ``chained`` goes on. One row per log comes to the driver."""
+    chain = F.from_json("value", "chain STRUCT<seq:BIGINT,prevHash:STRING,hash:STRING>")["chain"]
+    rows = receipts.select(F.col(log).alias("log"), chain.alias("c")).groupBy("log").agg(F.max(F.struct("c.seq", "c.hash")).alias("t"))
+    return {r["log"]: (r["t"]["seq"], r["t"]["hash"]) for r in rows.collect()}
 
 
 def with_previous(df: DataFrame, columns: dict[str, str], order: str = "pos", by: list[str] | None = None) -> DataFrame:
@@ -164,20 +281,27 @@ def signature_fault(r: dict, keys: dict[str, bytes]) -> str | None:
     return None if canon.ed25519_ok(keys[sig["keyId"]], r["chain"]["hash"].encode(), raw) else "signature cryptographically invalid"
 
 
-def verified(receipts: DataFrame, keys: dict[str, bytes] | None = None, seq_from: int | None = None) -> DataFrame:
-    """pos and code of every receipt: schema, hash, link, sequence, signature, in this order; 0 is sound.
+def verified(receipts: DataFrame, keys: dict[str, bytes] | None = None, seq_from: int | None = None, anchors: DataFrame | None = None) -> DataFrame:
+    """pos, seq, hash, anchored and code of every receipt: schema, hash, link, sequence, signature, anchor, in this order; 0
+    is sound.
+
+    receipts: pos (from 0) and value (raw line). Without ``keys`` signatures are not looked at. anchors: hash, proof and
+    outcome of an anchor log, of which the last row of a hash counts (by seq): without a row or a proof the anchor does not
+    hold (14), nor if the outcome of its proof is ``failed``; an outcome that is neither that nor ``verified`` nor
+    ``pending`` means that it could not be checked (15). Receipts without an anchor pass, as anchoring is periodic."""
+    def look(r: dict) -> str:
+        schema = schema_fault(r)
+        return json.dumps([schema, None if schema else canon.receipt_hash(r), None if keys is None or schema else signature_fault(r, keys)])
 
-    receipts: pos (from 0) and value (raw line). Without ``keys`` signatures are not looked at."""
-    check = _json_udf(lambda r: json.dumps([schema_fault(r), None if schema_fault(r) else canon.receipt_hash(r), None if keys is None or schema_fault(r) else signature_fault(r, keys)]), "string")
-    found = F.from_json(check("value"), "array<string>")
-    r = F.from_json("value", "chain STRUCT<seq:BIGINT,prevHash:STRING,hash:STRING>")
+    found = F.from_json(_json_udf(look, "string")("value"), "array<string>")
+    r = F.from_json("value", "chain STRUCT<seq:BIGINT,prevHash:STRING,hash:STRING>, anchor STRING")
     rows = receipts.select("pos", found.alias("f"), r.alias("r")).select(
         "pos", F.col("f").isNotNull().alias("read"), F.col("f")[0].alias("schema"), F.col("f")[1].alias("computed"), F.col("f")[2].alias("signature"),
-        "r.chain.seq", "r.chain.prevHash", "r.chain.hash",
+        "r.chain.seq", "r.chain.prevHash", "r.chain.hash", "r.anchor",
     )
     rows = with_previous(rows, {"_hash": "hash", "_seq": "seq"})
     first = F.col("pos") == 0
-    genesis = [f"sha256:{canon.GENESIS}", canon.GENESIS]
+    genesis = [RECEIPT_GENESIS, canon.GENESIS]
     linked = F.when(first, F.col("prevHash").isin(genesis)).otherwise(F.coalesce(F.col("prevHash") == F.col("_hash"), F.lit(False)))
     start = F.lit(True) if seq_from is None else F.col("seq") == seq_from
     stepped = F.when(first, start).otherwise(F.coalesce(F.col("seq") == F.col("_seq") + 1, F.lit(False)))
@@ -187,22 +311,44 @@ def verified(receipts: DataFrame, keys: dict[str, bytes] | None = None, seq_from
         .when(~linked, PREVIOUS)
         .when(~stepped, SEQUENCE)
         .when(F.col("signature").isNotNull(), SIGNATURE)
-        .otherwise(OK)
     )
-    return rows.select("pos", "seq", "hash", code.alias("code"))
-
-
-def verdict(codes: DataFrame, count: int | None = None, last_hash: str | None = None) -> DataFrame:
-    """One row: receipts, code (that of the first unsound receipt; a pin that fails gives 11) and its position."""
+    anchored = F.col("anchor").isNotNull()
+    if anchors is not None:
+        a = F.from_json("anchor", "log STRING, ref STRING")
+        ref = F.coalesce(F.when(a["ref"] != "", a["ref"]), F.col("hash"))
+        last = latest_by_ref(anchors).select(F.col("hash").alias("_ref"), F.col("proof").alias("_proof"), F.col("outcome").alias("_outcome"))
+        rows = rows.withColumn("_log", a["log"]).join(last, ref == F.col("_ref"), "left")
+        lost = F.col("_log").isNull() | F.col("_ref").isNull() | F.coalesce(F.col("_proof") == "", F.lit(True)) | F.coalesce(F.col("_outcome") == "failed", F.lit(False))
+        code = code.when(anchored & lost, ANCHOR).when(anchored & ~F.coalesce(F.col("_outcome").isin("verified", "pending"), F.lit(False)), ANCHOR_UNKNOWN)
+    return rows.select("pos", "seq", "hash", anchored.alias("anchored"), code.otherwise(OK).alias("code"))
+
+
+def latest_by_ref(anchors: DataFrame) -> DataFrame:
+    """The last row (by seq) of an anchor log for each hash that it anchors."""
+    others = [c for c in anchors.columns if c not in ("hash", "seq")]
+    last = anchors.groupBy("hash").agg(F.max_by(F.struct("seq", *others), "seq").alias("_last"))
+    return last.select("hash", "_last.*")
+
+
+def verdict(
+    codes: DataFrame, count: int | None = None, last_hash: str | None = None, anchors: bool = False, head_anchor: bool = False
+) -> DataFrame:
+    """One row: receipts, code (that of the first unsound receipt) and its position. Then pins are held against the end: a
+    wrong count or last hash gives 11; a head without an anchor, where one is required, 14; an anchor check that met no
+    anchor at all, 15, as nothing was compared."""
     bad = F.when(F.col("code") != OK, F.struct("pos", "code"))
-    out = codes.agg(F.count("*").alias("receipts"), F.min(bad).alias("bad"), F.max_by("hash", "pos").alias("last_hash"))
+    out = codes.agg(
+        F.count("*").alias("receipts"), F.min(bad).alias("bad"), F.max_by("hash", "pos").alias("last_hash"),
+        F.count_if("anchored").alias("anchored"), F.coalesce(F.max_by("anchored", "pos"), F.lit(False)).alias("head_anchored"),
+    )
     pins = F.lit(False)
     if count is not None:
         pins = pins | (F.col("receipts") != count)
     if last_hash is not None:
         pins = pins | (F.lower("last_hash") != last_hash.lower())
-    code = F.when(F.col("bad").isNotNull(), F.col("bad.code")).when(pins, PREVIOUS).otherwise(OK)
-    return out.select("receipts", code.alias("code"), F.col("bad.pos").alias("pos"), "last_hash")
+    code = F.when(F.col("bad").isNotNull(), F.col("bad.code")).when(pins, PREVIOUS)
+    code = code.when(~F.col("head_anchored") & F.lit(head_anchor), ANCHOR).when((F.col("anchored") == 0) & (F.col("receipts") > 0) & F.lit(anchors), ANCHOR_UNKNOWN)
+    return out.select("receipts", code.otherwise(OK).alias("code"), F.col("bad.pos").alias("pos"), "last_hash", "anchored", "head_anchored")
 
 
 def unsigned_after_signed(log: DataFrame, signature: str = "signature", by: list[str] | None = None) -> DataFrame:
@@ -232,24 +378,42 @@ def objects(receipts: DataFrame) -> DataFrame:
     return receipts.select(F.col("r.chain.seq").alias("seq"), F.explode(named).alias("object"))
 
 
-def sequence_gaps(seqs: DataFrame, seq: str = "seq", pinned: int | None = None) -> DataFrame:
-    """expected_seq and found_seq of each missing number between the first and the last.
-
-    Neighbours come from a range-partitioned sort with one boundary row per partition, not from a single task."""
-    # two overlapping blockings find each neighbour pair in one block or the next
-    block = 1 << 16
-    rows = seqs.select(F.col(seq).cast("long").alias("s")).distinct().withColumn("b", F.floor(F.col("s") / block))
-    inside = rows.withColumn("n", F.lead("s").over(Window.partitionBy("b").orderBy("s")))
-    edges = rows.groupBy("b").agg(F.min("s").alias("low"), F.max("s").alias("high"))
-    across = edges.withColumn("n", F.lead("low").over(Window.orderBy("b"))).select(F.col("high").alias("s"), "n")
-    pairs = inside.where("n IS NOT NULL").select("s", "n").unionByName(across.where("n IS NOT NULL"))
-    gaps = pairs.where("n > s + 1").select(F.explode(F.sequence(F.col("s") + 1, F.col("n") - 1)).alias("expected_seq"), F.col("n").alias("found_seq"))
+#: Bits of the numbers of a block, and numbers of a piece of a gap that is written out at once.
+BLOCK_BITS, PIECE = 16, 100_000
+
+
+def next_numbers(numbers: DataFrame) -> DataFrame:
+    """s and n: each number (s, distinct) with the next one. Neighbours meet in blocks; the edges of blocks meet in blocks of
+    blocks, twice; so the last window sees no more than 2**63 / 2**48 rows, whatever the table."""
+    rows, found = numbers.select(F.col("s").alias("low"), F.col("s").alias("high")), None
+    for level in range(1, 4):
+        rows = rows.withColumn("b", F.shiftright("low", BLOCK_BITS * level))
+        pairs = rows.select(F.col("high").alias("s"), F.lead("low").over(Window.partitionBy("b").orderBy("low")).alias("n")).where("n IS NOT NULL")
+        found = pairs if found is None else found.unionByName(pairs)
+        rows = rows.groupBy("b").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    last = rows.select(F.col("high").alias("s"), F.lead("low").over(Window.orderBy("low")).alias("n")).where("n IS NOT NULL")
+    return found.unionByName(last)
+
+
+def gap_ranges(seqs: DataFrame, seq: str = "seq", pinned: int | None = None) -> DataFrame:
+    """first, last and found_seq of each run of missing numbers between the first and the last: one row per gap, however
+    long; ``pinned`` is the number at which the sequence should start, if it does not."""
+    numbers = seqs.select(F.col(seq).cast("long").alias("s")).where("s IS NOT NULL").distinct()
+    gaps = next_numbers(numbers).where("n > s + 1").select((F.col("s") + 1).alias("first"), (F.col("n") - 1).alias("last"), F.col("n").alias("found_seq"))
     if pinned is not None:
-        first = rows.agg(F.min("s").alias("found_seq")).where(F.col("found_seq") != pinned)
-        gaps = gaps.unionByName(first.select(F.lit(pinned).cast("long").alias("expected_seq"), "found_seq"))
+        begin = numbers.agg(F.min("s").alias("found_seq")).where(F.col("found_seq") != pinned)
+        gaps = gaps.unionByName(begin.select(F.lit(pinned).cast("long").alias("first"), F.lit(pinned).cast("long").alias("last"), "found_seq"))
     return gaps
 
 
+def sequence_gaps(seqs: DataFrame, seq: str = "seq", pinned: int | None = None) -> DataFrame:
+    """expected_seq and found_seq of each missing number of ``gap_ranges``, written out in pieces."""
+    starts = F.explode(F.sequence("first", "last", F.lit(PIECE).cast("long")))
+    pieces = gap_ranges(seqs, seq, pinned).select(starts.alias("at"), "last", "found_seq")
+    each = F.explode(F.sequence("at", F.least(F.col("at") + PIECE - 1, "last")))
+    return pieces.select(each.alias("expected_seq"), "found_seq")
+
+
 def decisions(receipts: DataFrame, column: str = "decision") -> DataFrame:
     """Counts of allow, partial and deny; an unknown decision is an error."""
     known = F.when(F.col(column).isin("allow", "partial", "deny"), F.col(column)).otherwise(
@@ -277,7 +441,7 @@ def coverage(receipts: DataFrame, declared: DataFrame, pinned: int | None = None
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("count"),
         F.min("start").alias("start"), F.max("end").alias("end"),
     )
-    gaps = sequence_gaps(rows, pinned=pinned).agg(F.count("*").alias("gaps"))
+    gaps = gap_ranges(rows, pinned=pinned).agg(F.coalesce(F.sum(F.col("last") - F.col("first") + 1), F.lit(0)).cast("long").alias("gaps"))
     inside = scope(declared, objects(receipts)).agg(F.count("*").alias("declared"), F.count_if("recorded").alias("accessed"))
     loose = unassigned(receipts).agg(F.count("*").alias("unassigned"))
     out = summary.crossJoin(decisions(rows)).crossJoin(gaps).crossJoin(inside).crossJoin(loose)  # one row each
@@ -347,17 +511,53 @@ def once_per_digest(submits: DataFrame) -> DataFrame:
 
 
 def anchor_due(receipts: DataFrame, every: int = 100, seconds: int = 3600, by: str = "log") -> DataFrame:
-    """Rows (log, seq, ts) after which an anchor is due: ``every`` receipts or ``seconds`` since the last one.
-
-    The last anchor depends on all before, so each log is folded in order."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out, n, since = pdf.sort_values("seq"), [], 0, None
-        for seq, ts in zip(pdf["seq"], pdf["ts"], strict=True):
-            n, since = n + 1, ts if since is None else since
-            if n >= every or ts - since >= seconds:
-                out.append(seq)
-                n, since = 0, ts
-        return pd.DataFrame({by: pdf[by].iloc[:1].repeat(len(out)), "seq": out})
-
-    return receipts.select(by, "seq", F.col("ts").cast("long").alias("ts")).groupBy(by).applyInPandas(fold, f"{by} string, seq long")
+    """Rows (log, seq) after which an anchor is due: ``every`` receipts or ``seconds`` since the last one.
+
+    The last anchor depends on all before, so each log is folded in order; its rows stream through a sorted partition, and
+    a count and a time are all that is held."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, n, since = object(), 0, None
+        for pdf in parts:
+            due = []
+            for name, ts in zip(pdf["log"], pdf["ts"], strict=True):
+                if name != last:
+                    last, n, since = name, 0, None
+                n, since = n + 1, ts if since is None else since
+                due.append(n >= every or ts - since >= seconds)
+                if due[-1]:
+                    n, since = 0, ts
+            yield pdf.loc[due, ["log", "seq"]]
+
+    rows = receipts.select(F.col(by).cast("string").alias("log"), F.col("seq").cast("long").alias("seq"), F.col("ts").cast("long").alias("ts"))
+    dealt = rows.repartition("log").sortWithinPartitions("log", "seq")
+    return dealt.mapInPandas(run, "log string, seq long").withColumnRenamed("log", by)
+
+
+def declaration_hash(declaration: dict) -> str:
+    """Digest of a coverage declaration without its signature, in canonical form."""
+    body = {k: v for k, v in declaration.items() if k != "sig"}
+    return "sha256:" + hashlib.sha256(canon.canonical(body).encode()).hexdigest()
+
+
+def signed_declaration(found: DataFrame, scope_: list[str], key_id: str, seed: bytes, id_: str, ts: str) -> dict:
+    """The row of ``coverage`` as a signed declaration; an error if there are no receipts or nothing is declared."""
+    row = found.first()
+    if not row["count"] or not scope_:
+        raise ValueError("nothing to declare coverage over")
+    body = {
+        "v": "coverage/1", "id": id_, "ts": ts, "period": {"start": row["start"], "end": row["end"]}, "declaredScope": sorted(scope_),
+        "chain": {"firstSeq": row["first_seq"], "lastSeq": row["last_seq"], "count": row["count"], "contiguous": row["contiguous"]},
+        "decisions": {k: row[k] for k in ("allow", "partial", "deny")},
+        "coverage": {k: row[k] for k in ("declared", "accessed", "unassigned", "not_recorded")},
+    }
+    return body | {"sig": canon.signature_of(declaration_hash(body), key_id, seed)}
+
+
+def declaration_holds(declaration: dict, keys: dict[str, bytes]) -> bool:
+    """Whether the signature of a declaration is one of the known keys and covers all of it."""
+    sig = declaration.get("sig")
+    if not isinstance(sig, dict) or sig.get("alg") != "Ed25519" or sig.get("keyId") not in keys:
+        return False
+    raw = canon.canonical_base64(sig.get("value"))
+    return raw is not None and canon.ed25519_ok(keys[sig["keyId"]], declaration_hash(declaration).encode(), raw)

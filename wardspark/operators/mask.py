@@ -15,7 +15,6 @@ from wardspark.functions import patterns as P
 from wardspark.functions.checks import national_id_column
 from wardspark.functions.names import label_by_name
 from wardspark.functions.scan import Detectors, Scanner
-from wardspark.operators.evidence import positions
 
 #: Values of masked columns that are carried over into texts come from a capped result: at most its rows.
 SHORTEST_VALUE = 3
@@ -206,10 +205,17 @@ def split_ids(df: DataFrame) -> DataFrame:
 
 
 def pseudonyms(names: DataFrame, name: str, kind: str) -> DataFrame:
-    """token and name of each distinct name: ``Kind #n``, longest names first, ties by name. A sort over all executors
-    numbers them; no task holds all names."""
-    rows = names.select(F.trim(col(name)).alias("name")).where("name <> ''").distinct().orderBy(F.desc(F.length("name")), "name")
-    return positions(rows).select(F.concat(F.lit(f"{kind} #"), F.col("pos") + 1).alias("token"), "name")
+    """token and name of each distinct name: ``Kind #n``, longest names first, ties by name. Names are numbered in groups
+    of equal length and beginning, and the sizes of the groups before are added."""
+    from pyspark.sql import Window
+
+    rows = names.select(F.trim(col(name)).alias("name")).where("name <> ''").distinct()
+    rows = rows.select("name", F.length("name").alias("size"), F.substring("name", 1, 2).alias("head"))
+    before = Window.orderBy(F.desc("size"), "head").rowsBetween(Window.unboundedPreceding, -1)
+    groups = rows.groupBy("size", "head").agg(F.count("*").alias("n")).withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("size", "head").orderBy("name"))
+    numbered = rows.withColumn("k", own).join(groups.drop("n"), ["size", "head"])
+    return numbered.select(F.concat(F.lit(f"{kind} #"), F.col("at") + F.col("k")).alias("token"), "name")
 
 
 def pseudonymise(df: DataFrame, text: str, tokens: DataFrame) -> DataFrame:

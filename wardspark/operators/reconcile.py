@@ -197,6 +197,11 @@ def rule_id(sql: Column) -> Column:
     return F.when(sql.rlike(r"(?i)^\s*select\s+set_config\b"), "set_config").when(word != "", word).otherwise("catalog")
 
 
+#: The outcomes, and those that are exceptions.
+OUTCOMES = ("matched", "excluded", "observed-without-receipt", "receipted-without-observation", "indeterminate")
+EXCEPTIONS = OUTCOMES[2:]
+
+
 def outcomes(patterns: DataFrame, found: DataFrame, silent: DataFrame, profile: Profile | None) -> DataFrame:
     """item, outcome and reason of every pattern and unobserved receipt in the five-outcome form."""
     rows = found.join(patterns.select("queryid", "query"), "queryid")
@@ -221,6 +226,29 @@ def outcomes(patterns: DataFrame, found: DataFrame, silent: DataFrame, profile:
     return observed.unionByName(quiet)
 
 
+def projected(items: DataFrame, profile: Profile | None, inputs: dict[str, str], window: tuple[int, int], source: str) -> dict:
+    """The result document of the five-outcome form: counts, what was not matched, the bounds that somebody declared, and
+    the digests of the inputs (``start``, ``end``, ``receipts`` and ``profile``, as raw texts). Items other than matches
+    are what a person reads one by one; there is a row for each statement pattern and each unobserved receipt."""
+    import hashlib
+
+    digest = lambda name: "sha256:" + hashlib.sha256(inputs[name].encode()).hexdigest()
+    known = dict.fromkeys(OUTCOMES, 0) | {r["outcome"]: r["n"] for r in items.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
+    rows = items.where("outcome <> 'matched'").orderBy("outcome", "item").toLocalIterator()
+    declared = lambda x: "operator-declared" if x else "undeclared"
+    return {
+        "v": "reconciliation/2", "window": {"start": window[0], "end": window[1]}, "source": source,
+        "snapshots": {"start": digest("start"), "end": digest("end")}, "receipts": digest("receipts"),
+        "profile": {"digest": digest("profile"), "version": profile.version} if profile else None,
+        "bounds": {
+            "multiplicity": declared(profile and profile.max_statements is not None), "skew": declared(profile and profile.skew_ms is not None),
+            "exclusion": declared(profile and profile.exclusions),
+        },
+        "outcome": "exceptions" if any(known[o] for o in EXCEPTIONS) else "no-exceptions",
+        "items": [{k: v for k, v in r.asDict().items() if v is not None} for r in rows], "counts": known,
+    }
+
+
 def two_clocks(source: DataFrame, desk: DataFrame, start, end, skipped: tuple[str, ...] = ("catalog",)) -> DataFrame:
     """object and verdict: both ledgers have object and ts, the window is half open, each ledger keeps its own clock."""
     inside = (F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardspark.plans.policy import PolicyError
+from wardspark.sources import shared
 
 #: Bounds of a folder of documents.
 FILE_BYTES, FILES = 256_000, 1000
@@ -96,15 +97,36 @@ def api_request(spec: dict[str, Any], sql: str) -> str:
 def shaped(spark: SparkSession, body: str, rows: int) -> DataFrame:
     """A JSON array as rows, an object as one row, anything else as ``value``; at most ``rows``."""
     value = json.loads(body)
-    items = value if isinstance(value, list) else [value]
-    lines = [json.dumps(i if isinstance(i, dict) else {"value": i}) for i in items[:rows]]
-    kinds = T.StructType([T.StructField("line", T.StringType())])
-    return spark.read.json(spark.createDataFrame([(x,) for x in lines], kinds).rdd.map(lambda r: r["line"])) if lines else spark.createDataFrame([], kinds)
-
-
-def append_records(df: DataFrame, path: str) -> None:
-    """Records as JSON lines, through Spark's commit protocol; a failed write leaves nothing behind."""
-    df.write.mode("append").json(path)
+    items = [i if isinstance(i, dict) else {"value": i} for i in (value if isinstance(value, list) else [value])[:rows]]
+    if not items:
+        return spark.createDataFrame([], "line string")
+    text = F.lit(json.dumps(items))
+    shape = spark.range(1).select(F.schema_of_json(text).alias("s")).first()["s"]
+    return spark.range(1).select(F.explode(F.from_json(text, shape)).alias("r")).select("r.*")
+
+
+def append_records(df: DataFrame, path: str, order: str | None = None) -> None:
+    """Records as JSON lines, through Spark's commit protocol; a failed write leaves nothing behind. With ``order``, the
+    lines of this write are in its order: a sort over all executors, whose files are named in the order of their ranges."""
+    (df.orderBy(order) if order else df).write.mode("append").json(path)
+
+
+def append_chain(lines: DataFrame, path: str, order: str = "seq") -> int:
+    """Lines of a chain (seq, value) at the end of a log: refused, with nothing written, unless they start where the log
+    ends. Gives the last seq. The lines are stored first, so that what is checked is what is written."""
+    spark = lines.sparkSession
+    lines = shared.stored(lines.select(order, "value"))
+    chain = F.from_json("value", "chain STRUCT<seq:BIGINT,prevHash:STRING,hash:STRING>")["chain"]
+    ends = lambda df: df.select(chain.alias("c")).agg(F.min(F.struct("c.seq", "c.prevHash")).alias("a"), F.max(F.struct("c.seq", "c.hash")).alias("z")).first()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    tail, new = ends(spark.read.text(path))["z"] if there else None, ends(lines)
+    if new["a"] is None:
+        return tail["seq"] if tail else 0
+    if tail is None and new["a"]["seq"] != 1 or tail is not None and (new["a"]["seq"], new["a"]["prevHash"]) != (tail["seq"] + 1, tail["hash"]):
+        raise ValueError("the lines do not go on where the log ends")
+    lines.orderBy(order).select("value").write.mode("append").text(path)
+    return new["z"]["seq"]
 
 
 def snapshot(statements: DataFrame, roles: DataFrame, role: str, source: str, ts: str) -> DataFrame:
