@@ -472,14 +472,15 @@ def det_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "det_token_ends",
-    r"""WITH t AS (SELECT conv_id, turn, concat('use sk-abcdefghijklmn', md5(text), CASE turn % 4 WHEN 0 THEN '-' WHEN 1 THEN '.' WHEN 2 THEN '_' ELSE '' END, ' and eyJ',
-md5(text), '.', md5(text), CASE turn % 3 WHEN 0 THEN '.' WHEN 1 THEN '-.' ELSE '' END, ' ghp_', md5(text), 'é') AS t FROM conversations)
+    r"""WITH m AS (SELECT conv_id, turn, translate(md5(text), '0123456789', 'ghijklmnop') AS m FROM conversations),
+t AS (SELECT conv_id, turn, concat('use sk-abcdefghijklmn', m, CASE turn % 4 WHEN 0 THEN '-' WHEN 1 THEN '.' WHEN 2 THEN '_' ELSE '' END, ' and eyJ',
+m, '.', m, CASE turn % 3 WHEN 0 THEN '.' WHEN 1 THEN '-.' ELSE '' END, ' ghp_', m, 'é') AS t FROM m)
 SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'use [MASKED_SECRET]-' WHEN 1 THEN 'use [MASKED_SECRET].' ELSE 'use [MASKED_SECRET]' END || ' and [MASKED_SECRET]' ||
 CASE turn % 3 WHEN 0 THEN '.' WHEN 1 THEN '-.' ELSE '' END || ' [MASKED_SECRET]é' AS masked FROM t""",
 )
 def det_token_ends(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens that end in signs: a match ends where a word ends."""
-    text, turn = F.md5(F.col("text").cast("binary")), F.col("turn")
+    text, turn = F.translate(F.md5(F.col("text").cast("binary")), "0123456789", "ghijklmnop"), F.col("turn")
     t = F.concat(
         F.lit("use sk-abcdefghijklmn"), text, F.when(turn % 4 == 0, "-").when(turn % 4 == 1, ".").when(turn % 4 == 2, "_").otherwise(""), F.lit(" and eyJ"), text,
         F.lit("."), text, F.when(turn % 3 == 0, ".").when(turn % 3 == 1, "-.").otherwise(""), F.lit(" ghp_"), text, F.lit("é"),
