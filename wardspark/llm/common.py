@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: tables, Arrow maps, and tables written to the shared folder."""
+"""What the operators of this subpackage share: tables, and Arrow maps in slices of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardspark.sources.shared import release, shared_dir, stored
+
+__all__ = ["arrow_map", "first_rows", "release", "shared_dir", "slices", "stored", "table"]
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,40 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 SLICE_ROWS, SLICE_BYTES = 2048, 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets a temporary folder;
-    on a cluster, whose machines share no such folder, it is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='wardspark-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/wardspark-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-#: Folders that this process has handed out, by application.
-_written: dict[str, list[str]] = {}
-
-
-def release(spark: SparkSession) -> int:
-    """Delete the intermediate tables of this application, once the results that read them are written; their number."""
-    paths = _written.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    return len(paths)
-
-
-def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder as Parquet and read it again. Survives lost executors."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch of at most ``rows`` rows and about ``size`` bytes of texts, one row at least."""
     held = np.zeros(batch.num_rows, np.int64)

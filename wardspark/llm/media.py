@@ -139,6 +139,19 @@ def split_channels(channels: int, kind: int, block: int, bits: int, data: bytes)
     return [whole[:, k].tobytes() for k in range(channels)]
 
 
+def expand(medium: bytes | None, rate: int) -> bytes | None:
+    """A WAV of 16-bit PCM at ``rate`` with the channels of the medium; None if that is not understood."""
+    parsed = parse_channels(medium) if medium else (1, PCM, rate, 2, 16, b"")
+    if parsed is None or parsed[1] == IMA_ADPCM and parsed[0] > 1 and parsed[3] % (4 * parsed[0]):
+        return None
+    n, kind, own_rate, block, bits, data = parsed
+    sounds = [samples(kind, block // n if kind == IMA_ADPCM else block, bits, x) for x in split_channels(n, kind, block, bits, data)]
+    if sounds[0] is None:
+        return None
+    made = np.column_stack([resample(x, own_rate, rate) for x in sounds])
+    return wav(PCM, rate, made.astype("<i2").tobytes(), 2 * n, 16, n)
+
+
 def to_pcm(df: DataFrame, media: str = "media", rate: int = TARGET_RATE, out: str = "pcm") -> DataFrame:
     """All columns of ``df`` and a WAV of 16-bit PCM at ``rate`` in ``out`` with its channels (null if the medium is not understood)."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -148,22 +161,11 @@ def to_pcm(df: DataFrame, media: str = "media", rate: int = TARGET_RATE, out: st
     schema = StructType([*kept, StructField(out, BinaryType())])
     target = to_arrow_schema(schema)
 
-    def expand(medium: bytes | None) -> bytes | None:
-        parsed = parse_channels(medium) if medium else (1, PCM, rate, 2, 16, b"")
-        if parsed is None or parsed[1] == IMA_ADPCM and parsed[0] > 1 and parsed[3] % (4 * parsed[0]):
-            return None
-        n, kind, own_rate, block, bits, data = parsed
-        sounds = [samples(kind, block // n if kind == IMA_ADPCM else block, bits, x) for x in split_channels(n, kind, block, bits, data)]
-        if sounds[0] is None:
-            return None
-        made = np.column_stack([resample(x, own_rate, rate) for x in sounds])
-        return wav(PCM, rate, made.astype("<i2").tobytes(), 2 * n, 16, n)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 names = part.schema.names
-                made = pa.array([expand(m) for m in part.column(names.index(media)).to_pylist()], pa.binary())
+                made = pa.array([expand(m, rate) for m in part.column(names.index(media)).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(names.index(f.name)) for f in kept), made], schema=target)
 
     return df.mapInArrow(run, schema)
@@ -174,16 +176,16 @@ def store_payload(docs: DataFrame) -> DataFrame:
     shared folder and read back."""
 
     def rows(x: dict) -> dict:
-        out: dict[str, list] = {"n_bytes": [], "media": []}
+        out: dict[str, list] = {"n_bytes": [], "media": [], "pcm": []}
         for text in x["text"]:
             raw = (text or "").encode()
             payload = raw + bytes([PAD]) * (-len(raw) % BLOCK if raw else BLOCK)
             out["n_bytes"].append(len(raw))
             out["media"].append(wav(MULAW, RATE, payload))
+            out["pcm"].append(expand(out["media"][-1], STORED_RATE))
         return {"doc_id": x["doc_id"], **out}
 
-    kept = arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, n_bytes long, media binary", rows)
-    return stored(to_pcm(kept, rate=STORED_RATE))
+    return stored(arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, n_bytes long, media binary, pcm binary", rows))
 
 
 FEATURES = (
