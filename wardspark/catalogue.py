@@ -209,6 +209,13 @@ statement(
     "SELECT n_nationkey, lower(n_name) AS lo, concat_ws('-', n_name, upper(n_name)) AS two, replace(n_name, 'A', 'x') AS rep, split_part(n_name, 'A', 1) AS part, "
     "CAST(length(n_name) AS INTEGER) AS len, regexp_replace(n_name, '[AEIOU]', '', 'g') AS bare, trim(n_name) AS t FROM nation",
 )
+statement(
+    "gov_more_strings",
+    "SELECT c_custkey, overlay(c_mktsegment PLACING 'xx' FROM 2 FOR 3) AS laid, btrim(concat('  ', c_mktsegment, ' ')) AS bare, octet_length(c_mktsegment) AS n, "
+    "array(c_mktsegment, 'y')[0] AS first, position('U' IN c_mktsegment) AS at, c_acctbal > 0 AND NOT c_nationkey IN (1, 2) AS some FROM tpch.customer ORDER BY c_custkey",
+    "SELECT c_custkey, substring(c_mktsegment, 1, 1) || 'xx' || substring(c_mktsegment, 5) AS laid, c_mktsegment AS bare, CAST(strlen(c_mktsegment) AS INTEGER) AS n, "
+    "c_mktsegment AS first, CAST(strpos(c_mktsegment, 'U') AS INTEGER) AS at, c_acctbal > 0 AND c_nationkey NOT IN (1, 2) AS some FROM customer ORDER BY c_custkey LIMIT 10000",
+)
 statement(
     "gov_math_functions",
     "SELECT s_suppkey, abs(s_acctbal) AS a, ceil(s_acctbal) AS c, floor(s_acctbal) AS f, greatest(s_acctbal, 100.0D) AS g, least(s_acctbal, 100.0D) AS l, "
@@ -276,6 +283,7 @@ decisions("gate_decisions", [
     ("set-op", "SELECT r_name FROM tpch.region INTERSECT SELECT r_name FROM tpch.region", "deny", _READ),
     ("exists", "SELECT r_name FROM tpch.region WHERE EXISTS (SELECT 1 AS a)", "deny", "Function 'exists' is not permitted by policy."),
     ("sample", "SELECT r_name FROM tpch.region TABLESAMPLE (10 PERCENT)", "deny", _READ),
+    ("within-group", "SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice) AS m FROM tpch.orders", "deny", "Function 'percentile_cont' is not permitted by policy."),
     ("lateral-view", "SELECT x FROM tpch.region LATERAL VIEW explode(array(1)) t AS x", "deny", _READ),
 ])
 
@@ -362,6 +370,18 @@ def cap_payload_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return caps.payload_bytes(read(spark, folder, "nation").select("n_nationkey", "n_name"))
 
 
+@query(
+    "cap_refused",
+    """SELECT 'nation' AS name, sum(strlen('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}')) > 50000 AS refused FROM nation
+UNION ALL SELECT 'events', sum(strlen('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}')) > 50000 FROM events""",
+)
+def cap_refused(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the payload of a table would be refused: the sum that the refusal looks at."""
+    parts = {"nation": ("n_nationkey", "n_name"), "events": ("event_id", "event_type")}
+    sums = [caps.payload_bytes(read(spark, folder, t).select(*c)).select(F.lit(t).alias("name"), (F.col("bytes") > caps.PAYLOAD_BYTES).alias("refused")) for t, c in parts.items()]
+    return functools.reduce(DataFrame.unionByName, sums)
+
+
 # Column names.
 
 _COLUMNS = ("c_email", "Phone_no", "discard_reason", "api-key", "apikey", "key", "monkey", "tckn", "tckn_1", "user.password", "c_name", "access_key", "iban", "id")
@@ -568,6 +588,22 @@ def det_iban(spark: SparkSession, folder: str) -> DataFrame:
     return values(spark, [(t,) for t in texts], "t string").withColumn("ok", checks.iban_column(F.col("t")))
 
 
+@query(
+    "det_iban_made",
+    """WITH b AS (SELECT c_custkey, lpad(CAST((CAST(c_custkey AS HUGEINT) * 1234567890123) % 1000000000000000000 AS VARCHAR), 18, '0') AS b FROM customer),
+d AS (SELECT c_custkey, b, 98 - CAST(CAST(b || '131400' AS HUGEINT) % 97 AS BIGINT) AS d FROM b)
+SELECT c_custkey, 'DE' || lpad(CAST(CASE WHEN c_custkey % 2 = 0 THEN d ELSE (d + 50) % 100 END AS VARCHAR), 2, '0') || b AS t, c_custkey % 2 = 0 AS ok FROM d""",
+)
+def det_iban_made(spark: SparkSession, folder: str) -> DataFrame:
+    """Account numbers made from customer keys, every second one with wrong check digits."""
+    key = F.col("c_custkey").cast("decimal(38,0)")
+    b = F.lpad(((key * F.lit(1234567890123)) % F.lit(10**18)).cast("decimal(18,0)").cast("string"), 18, "0")
+    d = F.lit(98) - (F.concat(b, F.lit("131400")).cast("decimal(38,0)") % 97).cast("long")
+    digits = F.when(F.col("c_custkey") % 2 == 0, d).otherwise((d + 50) % 100)
+    rows = read(spark, folder, "customer").select("c_custkey", F.concat(F.lit("DE"), F.lpad(digits.cast("string"), 2, "0"), b).alias("t"))
+    return rows.withColumn("ok", checks.iban_column(F.col("t")))
+
+
 @query("det_split_id", "SELECT * FROM (VALUES (1, '[MASKED_PII]', '[MASKED_PII]', CAST(2 AS BIGINT)), (2, '12345', '678901', 0), (3, '[MASKED_PII]', '[MASKED_PII]', 2), (4, NULL, '1', 0)) v(id, tckn_1, tckn_2, _split)")
 def det_split_id(spark: SparkSession, folder: str) -> DataFrame:
     rows = [(1, "10000", "000146"), (2, "12345", "678901"), (3, "000146", "10000"), (4, None, "1")]
@@ -722,6 +758,76 @@ def seq_gaps(spark: SparkSession, folder: str) -> DataFrame:
     return evidence.sequence_gaps(read(spark, folder, "events").where(~(F.col("event_id") % 13).isin(4, 5)), "event_id")
 
 
+@query(
+    "seq_gap_ranges",
+    """WITH s AS (SELECT event_id AS s FROM events WHERE event_id % 13 NOT IN (4, 5)), n AS (SELECT s, lead(s) OVER (ORDER BY s) AS n FROM s)
+SELECT s + 1 AS "first", n - 1 AS "last", n AS found_seq FROM n WHERE n > s + 1""",
+)
+def seq_gap_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    return evidence.gap_ranges(read(spark, folder, "events").where(~(F.col("event_id") % 13).isin(4, 5)), "event_id")
+
+
+def _bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """A receipt without its chain for each event."""
+    none, n = F.lit(None).cast("string"), F.col("event_id")
+    st = lambda **c: F.struct(*(v.alias(k) for k, v in c.items()))
+    body = st(
+        v=F.lit("receipt/0.1"), id=n.cast("string"), ts=F.lit("t"), period=st(start=F.lit("a"), end=F.lit("b")), actor=st(type=F.lit("service")),
+        request=st(tool=F.lit("query")), dataRefs=F.array(F.col("event_type")), policy=st(decision=F.lit("allow")), flags=F.array(F.lit("f")),
+        masking=st(maskedCount=F.col("user_id")), outcome=st(status=F.lit("complete")), consentRef=none, anchor=none,
+    )
+    return read(spark, folder, "events").select(F.lit("log").alias("log"), n.alias("n"), F.to_json(body, {"ignoreNullFields": "false"}).alias("value"))
+
+
+@query("receipts_verified", "SELECT CASE WHEN event_id % 97 = 5 THEN 10 ELSE 0 END AS code, count(*) AS n FROM events GROUP BY ALL")
+def receipts_verified(spark: SparkSession, folder: str) -> DataFrame:
+    """A chain written over all events, some of whose lines are changed afterwards, and verified."""
+    made = evidence.chained(_bodies(spark, folder), "n", "log")
+    changed = F.when(F.get_json_object("value", "$.id").cast("long") % 97 == 5, F.regexp_replace("value", '"start":"a"', '"start":"x"')).otherwise(F.col("value"))
+    return evidence.verified(made.select((F.col("seq") - 1).alias("pos"), changed.alias("value"))).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query(
+    "receipt_hashes",
+    """SELECT event_id, 'sha256:' || sha256('{"a":"' || event_type || '","chain":{"seq":' || event_id || '},"z":[' || user_id || ',null,true]}') AS digest FROM events""",
+)
+def receipt_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys in another order, spaces, and what a hash leaves out."""
+    line = F.format_string('{"z": [%d.0, null, true], "sig": {}, "chain": {"hash": "h", "seq": %d}, "anchor": 1, "a": "%s"}', "user_id", "event_id", "event_type")
+    return read(spark, folder, "events").select("event_id", evidence.receipt_hashes(line).alias("digest"))
+
+
+@query("entry_hashes", """SELECT event_id, sha256('{"z":' || user_id || ',"a":"' || event_type || '","prevHash":"p"}') AS digest FROM events""")
+def entry_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    line = F.format_string('{"z": %d, "a": "%s", "prevHash": "p", "hash": "h", "signature": "s"}', "user_id", "event_type")
+    return read(spark, folder, "events").select("event_id", evidence.entry_hashes(line).alias("digest"))
+
+
+@query(
+    "anchor_faults",
+    """WITH l AS (SELECT event_id AS seq, sha256('{"seq":' || event_id || '}') AS h FROM events)
+SELECT seq, CASE WHEN seq % 89 = 3 THEN 'prevHash mismatch' WHEN seq % 101 = 9 THEN 'missing entry hash' ELSE 'entry hash mismatch' END AS reason FROM l
+WHERE seq % 89 = 3 OR seq % 101 = 9 OR seq % 103 = 7""",
+)
+def anchor_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """An anchor log made from events: some links, some hashes and some entries are wrong."""
+    n = F.col("event_id")
+    value = lambda k: F.concat(F.lit('{"seq":'), k.cast("string"), F.lit("}"))
+    stated = lambda k: F.when(k % 101 == 9, None).when(k % 103 == 7, "x").otherwise(F.sha2(value(k), 256))
+    before = F.when(n == 0, "0" * 64).otherwise(F.coalesce(stated(n - 1), F.lit("0" * 64)))
+    rows = read(spark, folder, "events").select(n.alias("seq"), value(n).alias("value"), stated(n).alias("hash"), F.when(n % 89 == 3, "y").otherwise(before).alias("prev_hash"))
+    return evidence.anchor_faults(rows)
+
+
+@query(
+    "anchor_latest_by_ref",
+    "SELECT md5(CAST(user_id AS VARCHAR)) AS hash, max(event_id) AS seq, arg_max(event_type, event_id) AS state FROM events GROUP BY user_id",
+)
+def anchor_latest_by_ref(spark: SparkSession, folder: str) -> DataFrame:
+    hashed = F.md5(F.col("user_id").cast("string").cast("binary"))
+    return evidence.latest_by_ref(read(spark, folder, "events").select(F.col("event_id").alias("seq"), hashed.alias("hash"), F.col("event_type").alias("state")))
+
+
 @query(
     "decision_breakdown",
     "SELECT count(*) FILTER (WHERE event_type <> 'error' AND value <= 50) AS allow, count(*) FILTER (WHERE event_type <> 'error' AND value > 50) AS partial, "
