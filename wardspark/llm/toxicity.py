@@ -170,7 +170,7 @@ def _beginnings(texts: list[str], toxic: np.ndarray, rate: float) -> Iterator[tu
             return 0.0, 0, 0, 1, len(bad), lo, hi
         fine = documents(lo, hi, 1)
         sides = [(sum(n >= k for n in bad.values()), sum(n >= k for n in fine.values()), k) for k in (1, 2)]
-        return max((_evidence(b, f, rate), b, f, k, len(bad), lo, hi) for b, f, k in sides)
+        return max(((_evidence(b, f, rate), b, f, k, len(bad), lo, hi) for b, f, k in sides), key=lambda n: (n[0], -n[3]))
 
     open_nodes = [node(0, len(words))] if words else []
     while open_nodes:
