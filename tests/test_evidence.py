@@ -376,3 +376,49 @@ def test_result_documents(spark):
     assert made["counts"]["matched"] == 1 and made["outcome"] == "exceptions" and made["items"] == [{"item": "q2", "outcome": "indeterminate", "reason": "unattributed"}]
     assert made["bounds"] == {"multiplicity": "operator-declared", "skew": "undeclared", "exclusion": "undeclared"} and made["profile"]["version"] == "7"
     assert reconcile.projected(items.where("outcome = 'matched'"), None, texts, (0, 9), "db")["outcome"] == "no-exceptions"
+
+
+def test_session_gate_against_a_plain_fold(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(900), k, rng.choice(["s", "t", "u", "v", None]), rng.choice(["me", "me", "you", None]), rng.random() < 0.3) for k in range(600)]
+    want, live = {}, {}
+    for where, at, key, name, who, new in sorted(rows, key=lambda r: r[1:3]):
+        mine = live.setdefault(where, {})
+        if new:
+            mine = live[where] = {n: s for n, s in mine.items() if at - s[1] <= 40}
+            code = 429 if len(mine) >= 3 and name not in mine else 201
+        elif name not in mine:
+            code = 404
+        elif mine[name][0] != who:
+            code = 403
+        else:
+            code = 404 if at - mine[name][1] > 40 else 200
+            mine.pop(name)
+        if code in (200, 201):
+            mine[name] = (who, at)
+        want[key] = (where, at, name, who, code)
+    df = spark.createDataFrame(rows, "w string, at long, k long, code string, owner string, server boolean")
+    got = clients.session_gate(df, "w", "at", "k", "code", "owner", F.col("server"), 3, 40).collect()
+    assert {r["key"]: (r["server"], r["ts"], r["session"], r["owner"], r["code"]) for r in got} == want
+    assert {c for *_, c in want.values()} == {200, 201, 403, 404, 429}
+    assert clients.session_gate(df.limit(0), "w", "at", "k", "code", "owner", F.col("server")).count() == 0
+
+
+def test_documents_have_scopes_of_their_paths(spark, tmp_path):
+    from wardspark.operators import search
+
+    for name, text in (("b/Read Me.md", "Long " * 40), ("a/read-me.md", "short one"), ("--.txt", "long"), ("a/x.bin", "long")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    docs = files.read_docs(spark, str(tmp_path)).select(F.col("relative").alias("path"), "file", "scope", "content")
+    assert {r["path"]: (r["file"], r["scope"]) for r in docs.collect()} == {
+        "a/read-me.md": ("read-me.md", "a_read_me_md"), "b/Read Me.md": ("Read Me.md", "b_read_me_md"), "--.txt": ("--.txt", "txt"),
+    }
+    found = {r["path"]: r["contentSnippet"] for r in search.search_docs(docs, "LONG").collect()}
+    assert found == {"--.txt": "long", "b/Read Me.md": ("Long " * 30) + "..."}
+    assert [r["_table"] for r in search.search_docs(docs, "read", tables=["docs.a_read_me_md"]).collect()] == ["docs.a_read_me_md"]
+    assert search.search_docs(docs, "read", budget=10).count() == 0
+    odd = docs.limit(0).unionByName(spark.createDataFrame([("read", "f", "s", None)], docs.schema))
+    assert search.search_docs(odd, "read").first()["contentSnippet"] is None

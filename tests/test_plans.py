@@ -7,7 +7,7 @@ import pytest
 from wardspark import governed
 from wardspark.functions.custom import CustomPattern, CustomPatternError, unsafe, vetted
 from wardspark.functions.names import column_matches, glob
-from wardspark.plans import caps, dialects, gate
+from wardspark.plans import calls, caps, dialects, gate
 from wardspark.plans.policy import Actor, Policy, PolicyError, Profile
 
 
@@ -246,3 +246,28 @@ def test_plans_that_cannot_be_traced_are_refused(spark, people):
     odd = spark.table("shop.people").select(F.explode(F.array("name")).alias("c"))
     with pytest.raises(PolicyError, match="cannot be traced"):
         lineage.trace(tree.analyzed(odd), people)
+
+
+@pytest.mark.parametrize(("sql", "want"), [
+    ("SELECT encode(a, 'hex') FROM t", "SELECT lower(hex(a)) FROM t"),
+    ("SELECT ENCODE (convert_to(a, 'UTF8'), 'base64')", "SELECT replace(base64(encode(a, 'UTF-8')), chr(13), '')"),
+    ("SELECT regexp_split_to_array(concat(a, ', ('), ',', 'i')[0]", "SELECT split(concat(a, ', ('), concat('(?i)', ','))[0]"),
+    ("SELECT 'encode(a, ''hex'')', `encode`(a), x.encode(a, 'hex') -- encode(a, 'hex')", None),
+    ("SELECT encode(a, 'UTF-8'), encode(a, b), encode(a, 'hex'", None),
+    ("SELECT regexp_split_to_array(a), regexp_split_to_array(a, b, 'gx'), encode()", None),
+    ("", None),
+])
+def test_calls_in_other_words(sql, want):
+    assert calls.rewritten(sql, calls.RULES) == (sql if want is None else want)
+
+
+def test_only_the_gate_puts_in_further_functions(spark, people):
+    open_ = Policy(allow_tables=("shop.*",), mask_columns=("*.name",))
+    assert governed.decision(spark, "SELECT encode(convert_to(name, 'UTF8'), 'hex') AS h FROM shop.people", open_)[0] == "allow"
+    for bad in ("split(name, 'a')", "hex(name)", "encode(convert_to(hex(name), 'UTF8'), 'hex')", "regexp_split_to_array(base64(name), 'a')", "chr(13)"):
+        decision, reason = governed.decision(spark, f"SELECT {bad} AS h FROM shop.people", open_)
+        assert decision == "deny" and "is not permitted by policy" in reason
+    masked = governed.query(spark, "SELECT regexp_split_to_array(name, 'a') AS parts, encode(convert_to(name, 'UTF8'), 'base64') AS b FROM shop.people", open_)
+    assert {tuple(r) for r in masked.df.collect()} <= {("[MASKED_PII]", "[MASKED_PII]"), (None, None)}
+    kept = Policy(allow_tables=("shop.*",), protected_columns=("*.name",))
+    assert governed.decision(spark, "SELECT encode(convert_to(name, 'UTF8'), 'hex') AS h FROM shop.people", kept)[0] == "deny"

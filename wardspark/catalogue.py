@@ -216,6 +216,21 @@ statement(
     "SELECT c_custkey, substring(c_mktsegment, 1, 1) || 'xx' || substring(c_mktsegment, 5) AS laid, c_mktsegment AS bare, CAST(strlen(c_mktsegment) AS INTEGER) AS n, "
     "c_mktsegment AS first, CAST(strpos(c_mktsegment, 'U') AS INTEGER) AS at, c_acctbal > 0 AND c_nationkey NOT IN (1, 2) AS some FROM customer ORDER BY c_custkey LIMIT 10000",
 )
+statement(
+    "gov_encoded_strings",
+    "SELECT c_custkey, regexp_split_to_array(c_mktsegment, '[iou]', 'i')[1] AS part, encode(convert_to(substring(c_mktsegment, 1, 2), 'UTF8'), 'hex') AS hexed, "
+    "encode(convert_to(c_mktsegment, 'UTF8'), 'base64') AS packed, regexp_split_to_array(c_name, '#')[1] AS number FROM tpch.customer ORDER BY c_custkey",
+    "SELECT c_custkey, string_split_regex(c_mktsegment, '[IOU]')[2] AS part, lower(hex(encode(substring(c_mktsegment, 1, 2)))) AS hexed, base64(encode(c_mktsegment)) AS packed, "
+    "'[MASKED_PII]' AS number FROM customer ORDER BY c_custkey LIMIT 10000",
+)
+statement(
+    "gov_mssql_functions",
+    "SELECT c_custkey, isnull(c_mktsegment, 'x') AS s, convert(int, c_custkey) AS i, datepart(year, getdate()) > 2000 AS y, len(c_mktsegment) AS n, left(c_mktsegment, 2) AS two, "
+    "charindex('U', c_mktsegment) AS at, datediff(month, dateadd(day, -1, DATE '2024-03-01'), DATE '2024-03-01') AS months FROM tpch.[customer] ORDER BY c_custkey",
+    "SELECT c_custkey, c_mktsegment AS s, CAST(c_custkey AS INTEGER) AS i, TRUE AS y, CAST(length(c_mktsegment) AS INTEGER) AS n, left(c_mktsegment, 2) AS two, "
+    "CAST(strpos(c_mktsegment, 'U') AS INTEGER) AS at, 1 AS months FROM customer ORDER BY c_custkey LIMIT 10000",
+    dialect="mssql",
+)
 statement(
     "gov_math_functions",
     "SELECT s_suppkey, abs(s_acctbal) AS a, ceil(s_acctbal) AS c, floor(s_acctbal) AS f, greatest(s_acctbal, 100.0D) AS g, least(s_acctbal, 100.0D) AS l, "
@@ -610,6 +625,83 @@ def det_split_id(spark: SparkSession, folder: str) -> DataFrame:
     return mask.split_ids(values(spark, rows, "id int, tckn_1 string, tckn_2 string"))
 
 
+#: Texts that are whole values; the others stand inside a text.
+_WHOLE = {"id", "card", "no-card", "order", "base64", "mrz"}
+
+
+@query(
+    "det_text_matrix_made",
+    "WITH m AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({k}, {i not in _WHOLE}, '{_sql(m)}', {n})" for k, (i, _, m, n) in enumerate(_TEXTS))
+    + f""") v(k, inside, masked, hits)),
+c AS (SELECT event_id, event_id % {len(_TEXTS)} AS k, translate(CAST(event_id AS VARCHAR), '0123456789', 'ghijklmnop') AS w FROM events)
+SELECT event_id, CASE WHEN inside THEN 'see ' || w || ', ' || masked || CASE WHEN event_id % 2 = 0 THEN ' | ' || masked ELSE '' END ELSE masked END AS masked,
+CASE WHEN inside AND event_id % 2 = 0 THEN 2 * hits ELSE hits END AS hits FROM c JOIN m USING (k)""",
+)
+def det_text_matrix_made(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as a text with one of the cases in it, every second one with the same case twice."""
+    n = F.col("event_id")
+    at = (n % len(_TEXTS)).cast("int")
+    case = F.array(*(F.struct(F.lit(i not in _WHOLE).alias("inside"), F.lit(t).alias("t")) for i, t, _, _ in _TEXTS))[at]
+    word = F.translate(n.cast("string"), "0123456789", "ghijklmnop")
+    text = F.concat(F.lit("see "), word, F.lit(", "), case["t"], F.when(n % 2 == 0, F.concat(F.lit(" | "), case["t"])).otherwise(""))
+    rows = read(spark, folder, "events").select("event_id", F.when(case["inside"], text).otherwise(case["t"]).alias("masked"))
+    return mask.scan_texts(rows).select("event_id", "masked", F.col("_masked").cast("int").alias("hits"))
+
+
+@query(
+    "det_encoded_email_made",
+    """SELECT event_id, CASE event_id % 4 WHEN 3 THEN event_type || '&#64; ' || user_id ELSE 'to [MASKED_PII], ' || event_type END AS masked FROM events""",
+)
+def det_encoded_email_made(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses with a written at sign in three spellings, and such a sign without an address."""
+    n, kind, user = F.col("event_id"), F.col("event_type"), F.col("user_id").cast("string")
+    at = F.when(n % 4 == 0, "&#64;").when(n % 4 == 1, "%40").otherwise("\\u0040")
+    text = F.when(n % 4 == 3, F.concat(kind, F.lit("&#64; "), user)).otherwise(F.concat(F.lit("to u"), user, at, kind, F.lit(".example.org, "), kind))
+    return read(spark, folder, "events").select("event_id", F.regexp_replace(text, "(?i)" + P.ENCODED_EMAIL, P.PII).alias("masked"))
+
+
+@query(
+    "det_ip_made",
+    """SELECT event_id, CASE WHEN event_id % 3 < 2 THEN 'from [MASKED_PII] by ' ELSE 'from 300.1.1.' || user_id % 256 || ' by ' END || event_type AS masked FROM events""",
+)
+def det_ip_made(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses of both versions, and what only looks like one."""
+    n, octet = F.col("event_id"), (F.col("user_id") % 256).cast("string")
+    address = F.when(n % 3 == 0, F.concat(F.lit("192.0.2."), octet)).when(n % 3 == 1, F.concat(F.lit("2001:db8::"), octet)).otherwise(F.concat(F.lit("300.1.1."), octet))
+    rows = read(spark, folder, "events").select("event_id", F.concat(F.lit("from "), address, F.lit(" by "), "event_type").alias("masked"))
+    return mask.scan_texts(rows, Detectors(ip=True), counts=False)
+
+
+@query(
+    "det_split_id_made",
+    """WITH i AS (SELECT c_custkey, CAST(100000000 + (c_custkey * 7919) % 899999999 AS VARCHAR) AS b FROM customer),
+d AS (SELECT c_custkey, b, [CAST(x AS INTEGER) FOR x IN string_split(b, '')] AS n FROM i),
+e AS (SELECT c_custkey, b, n, (((n[1]+n[3]+n[5]+n[7]+n[9]) * 7 - (n[2]+n[4]+n[6]+n[8])) % 10 + 10) % 10 AS d10 FROM d),
+f AS (SELECT c_custkey, b || d10 || ((list_sum(n) + d10 + c_custkey % 2) % 10) AS id FROM e)
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '[MASKED_PII]' ELSE left(id, 5) END AS tckn_1, CASE WHEN c_custkey % 2 = 0 THEN '[MASKED_PII]' ELSE substring(id, 6) END AS tckn_2,
+CAST(CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS _split FROM f""",
+)
+def det_split_id_made(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of ``det_national_id``, cut in two columns."""
+    ids = det_national_id(spark, folder)
+    return mask.split_ids(ids.select("c_custkey", F.substring("id", 1, 5).alias("tckn_1"), F.substring("id", 6, 6).alias("tckn_2")))
+
+
+@query(
+    "mask_nested_made",
+    """SELECT event_id, '[MASKED_PII],' || event_type AS a, CASE WHEN event_id % 2 = 0 THEN '[MASKED_PII]' ELSE event_type END AS x, user_id AS n,
+CAST(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS hits FROM events""",
+)
+def mask_nested_made(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as a list and a record, with addresses in them."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    address = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.org"))
+    inner = F.struct(F.when(n % 2 == 0, address).otherwise(kind).alias("x"), F.col("user_id").alias("n"))
+    rows = read(spark, folder, "events").select("event_id", F.array(address, kind).alias("a"), inner.alias("s"))
+    return mask.scan_texts(rows).select("event_id", F.array_join("a", ",").alias("a"), "s.x", "s.n", F.col("_masked").alias("hits"))
+
+
 # Masking of whole tables.
 
 
@@ -671,6 +763,26 @@ def search_documents(spark: SparkSession, folder: str) -> DataFrame:
     return search.search_texts(read(spark, folder, "documents"), "LICENSE", "doc_id", "text")
 
 
+_DOCS_SQL = """SELECT lang || '/Notes-' || doc_id % 7 || '/' || doc_id || '.md' AS path, doc_id || '.md' AS file,
+lang || '_notes_' || doc_id % 7 || '_' || doc_id || '_md' AS scope, CASE WHEN doc_id % 3 = 0 THEN left(text, 40) ELSE text END AS content FROM documents"""
+
+
+@query(
+    "search_docs",
+    f"""WITH d AS ({_DOCS_SQL}), h AS (SELECT 'docs.' || scope AS _table, file, path, left(content, 150) || CASE WHEN length(content) > 150 THEN '...' ELSE '' END AS contentSnippet FROM d
+WHERE contains(lower(content), 'notes-3') OR contains(lower(path), 'notes-3') ORDER BY path LIMIT 50),
+s AS (SELECT *, sum(strlen(CAST(to_json({{'_table': _table, 'file': file, 'path': path, 'contentSnippet': contentSnippet}}) AS VARCHAR))) OVER (ORDER BY path) AS total FROM h)
+SELECT _table, file, path, contentSnippet FROM s WHERE total <= 9000""",
+)
+def search_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """A term that stands in paths, with a small budget so that it is what ends the list."""
+    key = F.col("doc_id").cast("string")
+    path = F.concat("lang", F.lit("/Notes-"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), key, F.lit(".md"))
+    content = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 40)).otherwise(F.col("text"))
+    docs = read(spark, folder, "documents").select(path.alias("path"), F.concat(key, F.lit(".md")).alias("file"), content.alias("content"))
+    return search.search_docs(docs.withColumn("scope", files.scope_of(F.col("path"))), " NOTES-3 ", budget=9000)
+
+
 @query(
     "search_endpoints",
     """WITH s AS (SELECT p_partkey, CASE WHEN contains(lower(p_name), 'steel') THEN 10 ELSE 0 END + CASE WHEN contains(lower(p_brand), 'steel') THEN 5 ELSE 0 END
@@ -932,7 +1044,14 @@ def inclusion_suffix(spark: SparkSession, folder: str) -> DataFrame:
     return evidence.inclusion(_log(spark, folder).withColumnRenamed("pos", "seq"), 9000)
 
 
-@query("anchor_due")
+@query(
+    "anchor_due",
+    """WITH RECURSIVE e AS (SELECT event_type AS log, event_id AS seq, epoch_us(ts) // 1000000 AS ts, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events),
+r AS (SELECT log, seq, k, FALSE AS due, CAST(1 AS BIGINT) AS n, ts AS since FROM e WHERE k = 1
+UNION ALL SELECT log, seq, k, due, CASE WHEN due THEN 0 ELSE n END AS n, CASE WHEN due THEN ts ELSE since END AS since
+FROM (SELECT e.log, e.seq, e.k, e.ts, r.n + 1 AS n, r.since, r.n + 1 >= 100 OR e.ts - r.since >= 3600 AS due FROM r JOIN e ON e.log = r.log AND e.k = r.k + 1))
+SELECT log, seq FROM r WHERE due""",
+)
 def anchor_due(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "events").select(F.col("event_type").alias("log"), F.col("event_id").alias("seq"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"))
     return evidence.anchor_due(rows)
@@ -1112,7 +1231,15 @@ def snapshot_document(spark: SparkSession, folder: str) -> DataFrame:
 # Clients.
 
 
-@query("rate_limit_decisions")
+@query(
+    "rate_limit_decisions",
+    """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000000 AS s, event_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS k FROM events),
+r AS (SELECT user_id, s, event_id, k, TRUE AS ok, [s] AS passed, CAST(0 AS BIGINT) AS wait FROM e WHERE k = 1
+UNION ALL SELECT user_id, s, event_id, k, len(live) < 3 AS ok, CASE WHEN len(live) < 3 THEN list_append(live, s) ELSE live END AS passed,
+CASE WHEN len(live) < 3 THEN 0 ELSE greatest(1, live[1] + 86400 - s) END AS wait
+FROM (SELECT e.*, list_filter(r.passed, lambda t: t > e.s - 86400) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+SELECT user_id AS client, s AS ts, event_id AS key, ok AS allowed, wait AS retry_after FROM r""",
+)
 def rate_limit_decisions(spark: SparkSession, folder: str) -> DataFrame:
     """Three accepted requests of a user in any day."""
     rows = read(spark, folder, "events").withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
@@ -1144,6 +1271,48 @@ def sessions_idle_30m(spark: SparkSession, folder: str) -> DataFrame:
     return clients.sessions(read(spark, folder, "events"), "user_id", "ts", "event_id")
 
 
+@query(
+    "session_gate",
+    """WITH RECURSIVE e AS (SELECT 's' || user_id % 40 AS server, epoch_us(ts) // 1000000 AS ts, event_id AS key, CAST(user_id AS VARCHAR) AS session,
+CASE WHEN event_id % 11 = 0 THEN 'x' ELSE 'o' END AS owner, event_id % 3 = 0 AS new FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY server ORDER BY ts, key) AS k FROM e),
+r AS (SELECT server, ts, key, session, owner, k, CASE WHEN new THEN 201 ELSE 404 END AS code,
+CASE WHEN new THEN [{'n': session, 'o': owner, 't': ts}] ELSE [] END AS live FROM n WHERE k = 1
+UNION ALL SELECT server, ts, key, session, owner, k, code, CASE code WHEN 201 THEN list_append(list_filter(kept, lambda s: s.n <> session), {'n': session, 'o': owner, 't': ts})
+WHEN 200 THEN list_append(list_filter(kept, lambda s: s.n <> session), {'n': session, 'o': owner, 't': ts})
+WHEN 404 THEN list_filter(kept, lambda s: s.n <> session) ELSE kept END AS live
+FROM (SELECT *, CASE WHEN new THEN CASE WHEN len(kept) >= 3 AND own IS NULL THEN 429 ELSE 201 END
+WHEN own IS NULL THEN 404 WHEN own.o <> owner THEN 403 WHEN ts - own.t > 86400 THEN 404 ELSE 200 END AS code
+FROM (SELECT *, list_filter(kept, lambda s: s.n = session)[1] AS own
+FROM (SELECT n.*, CASE WHEN n.new THEN list_filter(r.live, lambda s: n.ts - s.t <= 86400) ELSE r.live END AS kept FROM r JOIN n ON n.server = r.server AND n.k = r.k + 1))))
+SELECT server, ts, key, session, owner, code FROM r""",
+)
+def session_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """Forty servers of at most three sessions, which a day's silence ends; every eleventh request comes from somebody else."""
+    n, user = F.col("event_id"), F.col("user_id")
+    rows = read(spark, folder, "events").select(
+        F.concat(F.lit("s"), (user % 40).cast("string")).alias("server"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), n.alias("key"),
+        user.cast("string").alias("session"), F.when(n % 11 == 0, "x").otherwise("o").alias("owner"),
+    )
+    return clients.session_gate(rows, "server", "ts", "key", "session", "owner", F.col("key") % 3 == 0, 3, 86400)
+
+
+@query("client_keys", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN '10.0.0.' || user_id % 256 WHEN 1 THEN event_type ELSE 'unknown' END AS client FROM events""")
+def client_keys(spark: SparkSession, folder: str) -> DataFrame:
+    n, user = F.col("event_id"), (F.col("user_id") % 256).cast("string")
+    header = F.when(n % 3 == 0, F.concat(F.lit("1.1.1.1, 10.0.0."), user)).when(n % 3 == 1, F.concat(F.lit("a ,"), "event_type", F.lit(" , ,"))).otherwise(" , ")
+    return read(spark, folder, "events").select("event_id", clients.client_key(header).alias("client"))
+
+
+@query("event_actors", """SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'user' || user_id ELSE 'service' END AS actor, CASE WHEN user_id % 2 = 0 THEN 'per-user-token' ELSE 'shared-token' END AS assurance FROM events""")
+def event_actors(spark: SparkSession, folder: str) -> DataFrame:
+    """Every second user has a token of their own."""
+    events = read(spark, folder, "events")
+    user = F.col("user_id").cast("string")
+    tokens = events.where("user_id % 2 = 0").select(user.alias("u")).distinct().select(F.sha2(F.concat(F.lit("t"), "u"), 256).alias("digest"), F.concat(F.lit("user"), "u").alias("actor"))
+    return clients.actors(events.select("event_id", F.concat(F.lit("t"), user).alias("token")), tokens).select("event_id", "actor", "assurance")
+
+
 @query("tumbling_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def tumbling_counts(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")

@@ -6,7 +6,7 @@ sorted partition; what is held is at most ``limit`` times per client, however ma
 
 from __future__ import annotations
 
-from collections import deque
+from collections import OrderedDict, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -74,6 +74,62 @@ def sessions(df: DataFrame, client: str, ts: str, order: str, idle_seconds: int
     return numbered.groupBy(client, "session").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("requests"))
 
 
+#: Answers to a request that names or opens a session.
+OPENED, SPOKE, FOREIGN, GONE, FULL = 201, 200, 403, 404, 429
+
+
+def session_gate(
+    df: DataFrame, server: str, ts: str, key: str, session: str, owner: str, opens: Column, most: int = 100, idle_seconds: int = 1800
+) -> DataFrame:
+    """server, ts, key, session, owner and code: what a server answers to each request, in order of ``ts`` and ``key``.
+
+    An opening request gets 201, or 429 if ``most`` sessions are open (0: no limit); sessions idle for more than
+    ``idle_seconds`` (0: never) are swept before they are counted. Opening a session that is open starts it anew. Any
+    other request gets 404 if its session is not open, 403 if another owner opened it, 404 if it was idle for too long,
+    which closes it, else 200. ``ts`` and ``key`` are whole numbers; rows without ``ts`` are left out, null names are names
+    of their own. A server's requests stream through one sorted partition; what is held is its open sessions."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, live = object(), OrderedDict()
+        for pdf in parts:
+            codes = []
+            for where, at, name, who, new in zip(*(pdf[c] for c in ("server", "ts", "session", "owner", "_opens")), strict=True):
+                if where != last:
+                    last, live = where, OrderedDict()
+                if new:
+                    while idle_seconds and live and at - next(iter(live.values()))[1] > idle_seconds:
+                        live.popitem(last=False)
+                    if most and name not in live and len(live) >= most:
+                        codes.append(FULL)
+                        continue
+                    codes.append(OPENED)
+                elif name not in live:
+                    codes.append(GONE)
+                    continue
+                elif live[name][0] != who:
+                    codes.append(FOREIGN)
+                    continue
+                elif idle_seconds and at - live[name][1] > idle_seconds:
+                    del live[name]
+                    codes.append(GONE)
+                    continue
+                else:
+                    codes.append(SPOKE)
+                live[name] = (who, at)
+                live.move_to_end(name)
+            yield pdf.drop(columns="_opens").assign(code=codes)
+
+    text = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
+    rows = df.select(
+        text(server).alias("server"), F.col(ts).cast("long").alias("ts"), F.col(key).cast("long").alias("key"), text(session).alias("session"),
+        text(owner).alias("owner"), F.coalesce(opens, F.lit(False)).alias("_opens"),
+    ).where("ts IS NOT NULL")
+    dealt = rows.repartition("server").sortWithinPartitions("server", "ts", "key")
+    out = dealt.mapInPandas(run, "server string, ts long, key long, session string, owner string, code int")
+    bare = lambda c: F.when(F.startswith(c, F.lit("+")), F.substr(c, F.lit(2)))
+    return out.withColumns({c: bare(F.col(c)) for c in ("server", "session", "owner")})
+
+
 def client_key(forwarded: Column) -> Column:
     """The last named hop of a forwarding header, else ``unknown``."""
     hops = F.filter(F.transform(F.split(forwarded, ","), lambda h: F.trim(h)), lambda h: h != "")

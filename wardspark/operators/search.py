@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardspark.plans.caps import largest_prefix
+from wardspark.plans.caps import PAYLOAD_BYTES, largest_prefix
 from wardspark.plans.policy import Policy, PolicyError
 
 #: Shortest term, results, length of a snippet, best endpoints.
@@ -36,6 +36,19 @@ def search_texts(df: DataFrame, term: str, key: str, text: str, rows: int = RESU
     return found.orderBy(key).limit(rows) if budget is None else largest_prefix(found, [key], rows, budget)
 
 
+def search_docs(docs: DataFrame, term: str, tables: list[str] | None = None, rows: int = RESULTS, budget: int = PAYLOAD_BYTES) -> DataFrame:
+    """_table, file, path and contentSnippet of the documents (path, file, scope, content) whose text or path contains a
+    term, in order of path: the longest prefix of at most ``rows`` rows whose JSON fits ``budget``. ``tables`` are scopes,
+    with or without ``docs.`` before them. A null text matches by its path alone and has a null snippet."""
+    word = F.lit(check_term(term))
+    wanted = [t.strip()[5:] if t.strip().lower().startswith("docs.") else t.strip() for t in tables or []]
+    inside = docs.where(F.col("scope").isin(wanted)) if wanted else docs
+    hit = F.coalesce(F.contains(F.lower("content"), word), F.lit(False)) | F.contains(F.lower("path"), word)
+    snippet = F.concat(F.substring("content", 1, SNIPPET), F.when(F.length("content") > SNIPPET, "...").otherwise(""))
+    found = inside.where(hit).select(F.concat(F.lit("docs."), "scope").alias("_table"), "file", "path", snippet.alias("contentSnippet"))
+    return largest_prefix(found, ["path"], rows, budget)
+
+
 def search_endpoints(df: DataFrame, term: str, name: str, summary: str, description: str, order: str, rows: int = ENDPOINTS) -> DataFrame:
     """Rows with ``score``: 10 for a hit in the name, 5 in the summary, 3 in the description; ties in input order."""
     word = F.lit(check_term(term))

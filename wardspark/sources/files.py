@@ -6,7 +6,7 @@ import json
 import re
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,14 +20,28 @@ DOCS_SCHEMA = T.StructType(
 )
 
 
+def scope_of(path: Column) -> Column:
+    """Name of a document: its path below the folder in small letters, with one underscore for each run of other signs."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(path), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.when(slug == "", "document").otherwise(slug)
+
+
 def read_docs(spark: SparkSession, folder: str) -> DataFrame:
-    """path, content and _table of the .md and .txt files below a folder; larger files are left out by their length."""
+    """path, content and _table of the .md and .txt files below a folder, and file, relative (path below the folder) and
+    scope, which names a file even where two folders hold the same file name. Larger files are left out by their length, and files whose names
+    begin with a dot or an underscore because Spark does not list them."""
     names = r".*\.(md|txt)$"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     picked = files.where(F.lower("path").rlike(names) & (F.col("length") <= FILE_BYTES))
     content = F.decode("content", "UTF-8")
     slug = F.regexp_replace(F.regexp_replace(F.lower("path"), r"^.*/", ""), r"\.(md|txt)$", "")
-    return picked.select("path", content.alias("content"), F.concat(F.lit("docs."), slug).alias("_table")).orderBy("path").limit(FILES)
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    relative = F.substr("path", F.lit(len(root) + 2))
+    return picked.select(
+        "path", content.alias("content"), F.concat(F.lit("docs."), slug).alias("_table"), F.regexp_extract("path", r"[^/]*$", 0).alias("file"),
+        relative.alias("relative"), scope_of(relative).alias("scope"),
+    ).orderBy("path").limit(FILES)
 
 
 def endpoints(spec: dict[str, Any]) -> list[dict[str, str]]:
