@@ -7,7 +7,7 @@ import pytest
 from wardspark import governed
 from wardspark.functions.custom import CustomPattern, CustomPatternError, unsafe, vetted
 from wardspark.functions.names import column_matches, glob
-from wardspark.plans import calls, caps, dialects, gate
+from wardspark.plans import calls, caps, dialects, gate, postgres
 from wardspark.plans.policy import Actor, Policy, PolicyError, Profile
 
 
@@ -271,3 +271,34 @@ def test_only_the_gate_puts_in_further_functions(spark, people):
     assert {tuple(r) for r in masked.df.collect()} <= {("[MASKED_PII]", "[MASKED_PII]"), (None, None)}
     kept = Policy(allow_tables=("shop.*",), protected_columns=("*.name",))
     assert governed.decision(spark, "SELECT encode(convert_to(name, 'UTF8'), 'hex') AS h FROM shop.people", kept)[0] == "deny"
+
+
+@pytest.mark.parametrize(("sql", "want"), [
+    ('SELECT "a" FROM "s"."T"', "SELECT `a` FROM `s`.`T`"),
+    ("SELECT 'say \"a\" [1] -> x'", "SELECT 'say \"a\" [1] -> x'"),
+    ("SELECT ARRAY[1, ARRAY[2][1]] AS a", "SELECT ARRAY(1, try_element_at(ARRAY(2), 1)) AS a"),
+    ("SELECT t.a[1][2], f(x, 1)[3], (a)[1]", "SELECT try_element_at(try_element_at(t.a, 1), 2), try_element_at(f(x, 1), 3), try_element_at((a), 1)"),
+    ("SELECT a::jsonb -> 'b c' ->> 0", "SELECT get_json_object(get_json_object(a::string , '$[''b c'']') , '$[0]')"),
+    ("SELECT a -> b, a -> 'it''s', -> 'a', [1]", "SELECT a -> b, a -> 'it''s', -> 'a', [1]"),
+    ("SELECT cast(a AS text), (SELECT 1 AS text)", "SELECT cast(a AS string), (SELECT 1 AS text)"),
+    ("SELECT '\\d', 'open", "SELECT '\\\\d', 'open"),
+    ("WHERE a IN (1)[2] -- 'x\n", None),
+    ("", ""),
+])
+def test_postgres_in_other_words(sql, want):
+    got = postgres.to_spark(sql)
+    assert want is None or got == want
+
+
+def test_postgres_statements_meet_the_same_gate(spark, people):
+    rules = Policy(allow_tables=("shop.people",), deny_tables=("shop.secrets",), mask_columns=("people.name",), dialect="postgres")
+    for sql, reason in (
+        ('SELECT id FROM "shop"."secrets"', "Access to table 'shop.secrets' is not permitted by policy."),
+        ('SELECT id FROM "shop"."People"', "Quoted mixed-case identifier"),
+        ("SELECT (SELECT id FROM shop.secrets)[1]", "Access to table"),
+        ("SELECT upper('a') -> 'b', pg_sleep(1)[1] FROM shop.people", "Function 'pg_sleep'"),
+        ("SELECT 'a\\'; DROP TABLE shop.people; --'", "Blocked write operation"),
+    ):
+        decision, why = governed.decision(spark, sql, rules)
+        assert decision == "deny" and reason in why, (sql, why)
+    assert [r["m"] for r in governed.query(spark, "SELECT ARRAY['x', name][2] AS m FROM shop.people WHERE id = 1", rules).df.collect()] == ["[MASKED_PII]"]

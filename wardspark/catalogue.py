@@ -223,6 +223,20 @@ statement(
     "SELECT c_custkey, string_split_regex(c_mktsegment, '[IOU]')[2] AS part, lower(hex(encode(substring(c_mktsegment, 1, 2)))) AS hexed, base64(encode(c_mktsegment)) AS packed, "
     "'[MASKED_PII]' AS number FROM customer ORDER BY c_custkey LIMIT 10000",
 )
+statement(
+    "gov_postgres_forms",
+    """SELECT event_id, props ->> 'k' AS k, (props::jsonb -> 'k')::text AS same, props -> 'none' ->> 0 AS absent, ARRAY[event_type, 'b'][1] AS first, ARRAY[1, 2][3] AS beyond,
+(regexp_split_to_array(event_type, '[\\s\\d]|i'))[1] AS "headOf", cast(user_id AS text) AS u, 'a "b" \\ [1]' AS quoted FROM "tpch"."events" WHERE (props ->> 'k')::int4 > 10 ORDER BY event_id""",
+    """SELECT event_id, props ->> 'k' AS k, props ->> 'k' AS same, CAST(NULL AS VARCHAR) AS absent, event_type AS first, CAST(NULL AS INTEGER) AS beyond,
+string_split(event_type, 'i')[1] AS "headOf", CAST(user_id AS VARCHAR) AS u, 'a "b" \\ [1]' AS quoted FROM events WHERE CAST(props ->> 'k' AS INTEGER) > 10 ORDER BY event_id LIMIT 10000""",
+    dialect="postgres",
+)
+statement(
+    "gov_postgres_masks",
+    "SELECT c_custkey, ARRAY[c_name, 'x'][1] AS who, (regexp_split_to_array(\"c_name\", '#'))[2] AS number, 'x' AS plain FROM tpch.customer ORDER BY c_custkey",
+    "SELECT c_custkey, '[MASKED_PII]' AS who, '[MASKED_PII]' AS number, 'x' AS plain FROM customer ORDER BY c_custkey LIMIT 10000",
+    dialect="postgres",
+)
 statement(
     "gov_mssql_functions",
     "SELECT c_custkey, isnull(c_mktsegment, 'x') AS s, convert(int, c_custkey) AS i, datepart(year, getdate()) > 2000 AS y, len(c_mktsegment) AS n, left(c_mktsegment, 2) AS two, "
