@@ -422,3 +422,22 @@ def test_documents_have_scopes_of_their_paths(spark, tmp_path):
     assert search.search_docs(docs, "read", budget=10).count() == 0
     odd = docs.limit(0).unionByName(spark.createDataFrame([("read", "f", "s", None)], docs.schema))
     assert search.search_docs(odd, "read").first()["contentSnippet"] is None
+
+
+def test_masks_of_whole_documents_against_the_scanner(spark):
+    import hashlib
+    from pathlib import Path
+
+    from wardspark import catalogue
+    from wardspark.functions.scan import Detectors, Scanner
+
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("test tables are absent")
+    scanner = Scanner(Detectors())
+    want = {}
+    for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").where("text IS NOT NULL").collect():
+        text, hits, *_ = scanner.scan(r["text"], "text")
+        want[r["doc_id"]] = (hashlib.md5(text.encode()).hexdigest(), hits)
+    got = catalogue.QUERIES["mask_pipeline_documents"](spark, folder).where("masked IS NOT NULL").collect()
+    assert {r["doc_id"]: (r["masked"], r["hits"]) for r in got} == want
