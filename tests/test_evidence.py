@@ -441,3 +441,24 @@ def test_masks_of_whole_documents_against_the_scanner(spark):
         want[r["doc_id"]] = (hashlib.md5(text.encode()).hexdigest(), hits)
     got = catalogue.QUERIES["mask_pipeline_documents"](spark, folder).where("masked IS NOT NULL").collect()
     assert {r["doc_id"]: (r["masked"], r["hits"]) for r in got} == want
+
+
+def test_one_log_is_written_by_many_tasks_as_if_by_one(spark):
+    odd = [{"chain": {"seq": 9}, "a": 1.50, "z": "é", "n": 2**60, "sig": {"x": 1}, "anchor": None, "hash": "h"}, {}, {"b": "c"}, {"d": [":1.5", 1e21], "": 1, "\U0001f600": 2}]
+    records_ = [odd[k] if k < len(odd) else {"k": k, "anchor": {"log": "x"}} for k in range(60)]
+    want, before = [], evidence.RECEIPT_GENESIS
+    for k, record in enumerate(records_):
+        body = record | {"chain": {"seq": k + 1, "prevHash": before}}
+        before = body["chain"]["hash"] = canon.receipt_hash(body)
+        want.append((k + 1, canon._write(body, True)))
+    rows = spark.createDataFrame([("a", k, json.dumps(r)) for k, r in enumerate(records_)], "log string, k int, value string")
+    made = evidence.chained(rows, "k", "log").withColumn("part", F.spark_partition_id()).collect()
+    assert sorted((r["seq"], r["value"]) for r in made) == want
+    assert len({r["part"] for r in made}) > 1  # only the fold is one task for each log
+
+
+@pytest.mark.parametrize("value", [
+    1, -0.0, 2.0, 1e21, 2**60, [1.5, 10**16], {"b": 1, "a": [-(10**15), 10**15]}, {"": 1, "\U0001f600": 2, "é": ":1.5"}, 'x":1.5,2e3', "sha256:" + "0" * 64, "\x7f\x01",
+])
+def test_canonical_text_is_the_same_by_both_ways(value):
+    assert canon.canonical(value) == canon._write(value, True) and canon._fast(value, False) == canon._write(value, False)

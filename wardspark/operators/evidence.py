@@ -7,11 +7,13 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardspark.functions import canon
+from wardspark.operators import mask
 
 RECEIPT_SCHEMA = """
 v STRING, id STRING, ts STRING, period STRUCT<start:STRING,end:STRING>,
@@ -135,32 +137,61 @@ def chained(records: DataFrame, order: str, log: str, key_id: str | None = None,
     """log, seq and value of the records (a JSON object in ``value``) of each log, linked in ``order`` and signed if there is
     a key: the writer of a chain. ``tails`` has the last seq and hash of logs that go on.
 
-    A hash covers the one before, so a log is folded in order; records stream through partitions sorted by log, and what
-    is held is the last link. Logs are independent. A record that is no JSON object is an error."""
+    A hash covers the one before, so a log is folded in order, in one task; the fold does no more than hash: what it hashes
+    is written in canonical form before, and records are put together and signed after it, both in as many tasks as there
+    are. Records stream through partitions sorted by log, and what is held is the last link. Logs are independent. A record
+    that is no JSON object is an error."""
     known = tails or {}
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, seq, before = object(), 0, ""
-        for pdf in parts:
-            seqs, lines = [], []
-            for name, line in zip(pdf["log"], pdf["value"], strict=True):
-                if name != last:
-                    last, (seq, before) = name, known.get(name, (0, RECEIPT_GENESIS))
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads, ends, rest = [], [], []
+            for name, line in zip(batch["log"].to_pylist(), batch["value"].to_pylist(), strict=True):
                 body = json.loads(line)
                 if not isinstance(body, dict):
                     raise ValueError(f"a record of log {name} is no object")
+                rest.append(json.dumps({k: body[k] for k in canon.NOT_HASHED if k in body}))
+                low = canon.canonical({k: v for k, v in body.items() if k < "chain" and k not in canon.NOT_HASHED})[:-1]
+                high = canon.canonical({k: v for k, v in body.items() if k > "chain" and k not in canon.NOT_HASHED})[1:]
+                heads.append((low + "," if low != "{" else low).encode())
+                ends.append(("," + high if high != "}" else high).encode())
+            yield pa.RecordBatch.from_arrays([batch["log"], batch["_order"], pa.array(heads, pa.binary()), pa.array(ends, pa.binary()), pa.array(rest, pa.string())], names=written.names)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seq, before = object(), 0, b""
+        sha256 = hashlib.sha256
+        for batch in batches:
+            seqs, links, hashes = [], [], []
+            for name, head, end in zip(batch["log"].to_pylist(), batch["head"].to_pylist(), batch["end"].to_pylist(), strict=True):
+                if name != last:
+                    last, (seq, text) = name, known.get(name, (0, RECEIPT_GENESIS))
+                    before = canon.js_string(text).encode()
                 seq += 1
-                body["chain"] = {"seq": seq, "prevHash": before}
-                before = body["chain"]["hash"] = canon.receipt_hash(body)
-                if seed is not None:
-                    body["sig"] = canon.signature_of(before, key_id, seed)
+                links.append(before)
+                before = b'"sha256:%b"' % sha256(b'%b"chain":{"prevHash":%b,"seq":%d}%b' % (head, before, seq, end)).hexdigest().encode()
                 seqs.append(seq)
-                lines.append(canon.canonical(body))
-            yield pd.DataFrame({"log": pdf["log"], "seq": seqs, "value": lines})
+                hashes.append(before)
+            made = [pa.array(seqs, pa.int64()), pa.array(links, pa.binary()), pa.array(hashes, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch["log"], *made, batch["head"], batch["end"], batch["rest"]], names=["log", "seq", "link", "hash", "head", "end", "rest"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = []
+            for seq, link, own, head, end, rest in zip(*(batch[c].to_pylist() for c in ("seq", "link", "hash", "head", "end", "rest")), strict=True):
+                text = b'%b"chain":{"hash":%b,"prevHash":%b,"seq":%d}%b' % (head, own, link, seq, end)
+                added = json.loads(rest)
+                if seed is not None:
+                    added["sig"] = canon.signature_of(own[1:-1].decode(), key_id, seed)
+                lines.append(canon.canonical(json.loads(text) | added) if added else text.decode())
+            yield pa.RecordBatch.from_arrays([batch["log"], batch["seq"], pa.array(lines, pa.string())], names=["log", "seq", "value"])
 
     rows = records.select(F.col(log).cast("string").alias("log"), F.col(order).alias("_order"), "value")
-    dealt = rows.repartition("log").sortWithinPartitions("log", "_order")
-    return dealt.mapInPandas(run, "log string, seq long, value string")
+    written = T.StructType([rows.schema["log"], rows.schema["_order"]]).add("head", "binary").add("end", "binary").add("rest", "string")
+    parts = mask.spread(rows).mapInArrow(parts_of, written)
+    dealt = parts.repartition("log").sortWithinPartitions("log", "_order")
+    linked = dealt.mapInArrow(fold, "log string, seq long, link binary, hash binary, head binary, end binary, rest string")
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return linked.repartition(tasks, "seq").mapInArrow(whole, "log string, seq long, value string")
 
 
 def tails(receipts: DataFrame, log: str = "log") -> dict[str, tuple[int, str]]:
@@ -296,7 +327,7 @@ def verified(receipts: DataFrame, keys: dict[str, bytes] | None = None, seq_from
     found = F.from_json(_json_udf(look, "string")("value"), "array<string>")
     r = F.from_json("value", "chain STRUCT<seq:BIGINT,prevHash:STRING,hash:STRING>, anchor STRING")
     rows = receipts.select("pos", found.alias("f"), r.alias("r")).select(
-        "pos", F.col("f").isNotNull().alias("read"), F.col("f")[0].alias("schema"), F.col("f")[1].alias("computed"), F.col("f")[2].alias("signature"),
+        "pos", F.col("f").isNotNull().alias("read"), F.col("f")[0].alias("schema"), (F.col("f")[1] != F.col("r.chain.hash")).alias("altered"), F.col("f")[2].alias("signature"),
         "r.chain.seq", "r.chain.prevHash", "r.chain.hash", "r.anchor",
     )
     rows = with_previous(rows, {"_hash": "hash", "_seq": "seq"})
@@ -307,7 +338,7 @@ def verified(receipts: DataFrame, keys: dict[str, bytes] | None = None, seq_from
     stepped = F.when(first, start).otherwise(F.coalesce(F.col("seq") == F.col("_seq") + 1, F.lit(False)))
     code = (
         F.when(~F.col("read") | F.col("schema").isNotNull(), SCHEMA)
-        .when(F.col("computed") != F.col("hash"), HASH)
+        .when(F.col("altered"), HASH)
         .when(~linked, PREVIOUS)
         .when(~stepped, SEQUENCE)
         .when(F.col("signature").isNotNull(), SIGNATURE)
