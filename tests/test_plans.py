@@ -184,6 +184,33 @@ def test_cap_never_rises(spark, people):
     assert caps.truncated(df, 4)[1] and not caps.truncated(df, 10)[1]
 
 
+@pytest.fixture(scope="module")
+def many(spark, people):
+    from dataclasses import replace
+
+    ids = spark.range(3, 4, 1, 1)
+    for i in (9, 1, 8, 2, 7, 4, 6, 5, 0):
+        ids = ids.union(spark.range(i, i + 1, 1, 1))
+    ids.selectExpr("id", "concat('Name ', chr(int(80 - id))) AS name", "map('k', id) AS m").write.mode("overwrite").saveAsTable("shop.many")
+    ids.selectExpr("id", "id % 2 AS odd").write.mode("overwrite").saveAsTable("shop.marks")
+    return replace(people, allow_tables=("shop.many", "shop.marks"), mask_columns=("many.name",), max_rows=4, allow_set_ops=True)
+
+
+@pytest.mark.parametrize("sql,want", [
+    ("SELECT id FROM shop.many INTERSECT SELECT id FROM shop.many", [0, 1, 2, 3]),
+    ("SELECT name, m, id FROM shop.many", [0, 1, 2, 3]),  # masked names, whose order is the other way round, choose no rows
+    ("SELECT id + 1 AS x, id FROM shop.many WHERE id > 2", [3, 4, 5, 6]),
+    ("SELECT id, name FROM shop.many ORDER BY id DESC", [9, 8, 7, 6]),
+    ("SELECT id FROM shop.many ORDER BY id + 0 DESC LIMIT 9 OFFSET 1", [8, 7, 6, 5]),
+    ("WITH w AS (SELECT id, m FROM shop.many) SELECT id FROM w ORDER BY id DESC", [9, 8, 7, 6]),
+    ("WITH RECURSIVE t(id) AS (SELECT 1 UNION ALL SELECT id + 1 FROM t WHERE id < 9) SELECT id FROM t ORDER BY id DESC", [9, 8, 7, 6]),
+    ("SELECT -id AS id FROM (SELECT id FROM shop.many ORDER BY id) AS x", [-9, -8, -7, -6]),
+    ("SELECT CASE WHEN id >= 8 THEN id END AS id FROM shop.many", [8, 9, None, None]),
+])
+def test_a_cap_takes_the_first_rows(spark, many, sql, want):
+    assert [r["id"] for r in governed.query(spark, sql, many).df.collect()] == want
+
+
 def test_duplicate_names_are_masked_by_position(spark, people):
     df = governed.query(spark, "SELECT id AS x, name AS x FROM shop.people", people).df
     assert [r[1] for r in df.collect()] == ["[MASKED_PII]"] * 3
