@@ -204,6 +204,7 @@ def many(spark, people):
     ("SELECT id FROM shop.many ORDER BY id + 0 DESC LIMIT 9 OFFSET 1", [8, 7, 6, 5]),
     ("WITH w AS (SELECT id, m FROM shop.many) SELECT id FROM w ORDER BY id DESC", [9, 8, 7, 6]),
     ("WITH RECURSIVE t(id) AS (SELECT 1 UNION ALL SELECT id + 1 FROM t WHERE id < 9) SELECT id FROM t ORDER BY id DESC", [9, 8, 7, 6]),
+    ("SELECT id, odd FROM shop.many JOIN shop.marks USING (id)", [0, 1, 2, 3]),
     ("SELECT -id AS id FROM (SELECT id FROM shop.many ORDER BY id) AS x", [-9, -8, -7, -6]),
     ("SELECT CASE WHEN id >= 8 THEN id END AS id FROM shop.many", [8, 9, None, None]),
 ])
