@@ -212,6 +212,22 @@ def test_a_cap_takes_the_first_rows(spark, many, sql, want):
     assert [r["id"] for r in governed.query(spark, sql, many).df.collect()] == want
 
 
+def test_recursion_may_make_any_number_of_rows(spark, many):
+    key = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "15")  # 10 rows at first, 30 in the end
+    try:
+        sql = "WITH RECURSIVE t(n, id) AS (SELECT 1, id FROM shop.many UNION ALL SELECT n + 1, id FROM t{}) SELECT id, n FROM t ORDER BY n DESC, id"
+        for scan in (True, False):
+            got = governed.query(spark, sql.format(" WHERE n < 3"), many, scan=scan).df
+            assert [tuple(r) for r in got.collect()] == [(i, 3) for i in range(4)]
+        with pytest.raises(Exception, match="RECURSION_LEVEL_LIMIT_EXCEEDED"):
+            governed.query(spark, sql.format(""), many)
+        assert spark.conf.get(key) == "15"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_duplicate_names_are_masked_by_position(spark, people):
     df = governed.query(spark, "SELECT id AS x, name AS x FROM shop.people", people).df
     assert [r[1] for r in df.collect()] == ["[MASKED_PII]"] * 3
