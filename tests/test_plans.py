@@ -212,6 +212,14 @@ def test_a_cap_takes_the_first_rows(spark, many, sql, want):
     assert [r["id"] for r in governed.query(spark, sql, many).df.collect()] == want
 
 
+def test_without_a_cap_all_rows_are_given_and_masked(spark, many):
+    got = governed.query(spark, "SELECT id, name FROM shop.many", many, cap=False, carry=False)
+    assert sorted(r["id"] for r in got.df.collect()) == list(range(10)) and {r["name"] for r in got.df.collect()} == {"[MASKED_PII]"}
+    assert governed.query(spark, "SELECT id, name FROM shop.many", many, cap=False).df.count() == 10  # no other text
+    with pytest.raises(ValueError, match="capped results only"):
+        governed.query(spark, "SELECT name, 'x' AS note FROM shop.many", many, cap=False)
+
+
 def test_recursion_may_make_any_number_of_rows(spark, many):
     key = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(key)
